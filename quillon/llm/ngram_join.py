@@ -175,3 +175,18 @@ def ngram_join(documents: DataFrame, id_column: str = "doc_id", text_column: str
     docs = shared_codes.members(counted).join(label, F.col("key") == F.col("node"), "left").select("doc_id", "size", F.coalesce("label", "key").alias("label"))
     least = docs.groupBy("label").agg(F.min("doc_id").alias("least"))
     return docs.join(least, "label").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(documents: DataFrame) -> DataFrame:
+    """documents without the rows that a component has besides the one of its least doc_id; null ids stay."""
+    from .store import table
+
+    spark = documents.sparkSession
+    found = table(ngram_join(documents), "components")
+    rest = documents.join(found.where("component_id <> doc_id").select(F.col("doc_id").alias("drop_id")).distinct().hint("shuffle_hash"), F.col("doc_id") == F.col("drop_id"), "left_anti")
+    twice = found.where("component_id = doc_id and n_shingles > 0").groupBy(F.col("doc_id").alias("twice_id")).count().where("count > 1").select("twice_id")
+    if twice.isEmpty():
+        return rest
+    twice = table(twice, "twice")  # one id on several rows: equal ones are copies, of which one stays
+    pairs = F.col("doc_id") == F.col("twice_id")
+    return rest.join(twice, pairs, "left_anti").unionByName(rest.join(twice, pairs, "left_semi").dropDuplicates(["doc_id"]))

@@ -6,28 +6,58 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, passage_dedup, substring_dedup
+from pyspark.sql import functions as F
+
+from . import decontaminate, mixing, multi_index, ngram_join, passage_dedup, pii, quality, secrets, substring_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_private(_read(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_read(spark, sf_dir, "documents"))
 
 
+def op3_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated_bytes(_read(spark, sf_dir, "documents"))
 
 
+def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(_read(spark, sf_dir, "documents"))
+
+
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(rows).drop("text")
+
+
+def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_dedup.remove_repeated_passages(_read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
-    "op4_suffix_array_dedup": op4_suffix_array_dedup,
-    "op10_substring_dedup": op10_substring_dedup,
+    f.__name__: f
+    for f in (op1_pii_surrogates, op2_ngram_jaccard_join, op3_warc_packages, op4_suffix_array_dedup, op5_secret_ledger, op6_multi_index, op7_pfair_mixing, op8_template_decontamination, op9_quality_classifier, op10_substring_dedup)
 }
 ORACLES: dict[str, str] = {}
