@@ -222,8 +222,9 @@ def removals(documents: DataFrame, kind: Kind, name: str, kept: Callable[[str, n
     marks = marks.groupBy("piece").agg(F.collect_set("marks").alias("marks"))
 
     counts = pieces.groupBy("piece").agg(F.count("*").alias("n_texts"))
-    placed = pieces.select("piece", "key", "low", "n").join(counts.join(marks, "piece", "left"), "piece")
-    placed = placed.where("n_texts > 1 or marks is not null").groupBy("key").agg(F.collect_list(F.struct("low", "n", "n_texts", "marks")).alias("parts"))
+    verdicts = store.table(counts.join(marks, "piece", "left").where("n_texts > 1 or marks is not null"), f"{name}-verdicts")
+    placed = pieces.select("piece", "key", "low", "n").join(verdicts, "piece")  # of two fresh exchanges, so a popular piece can be split
+    placed = placed.groupBy("key").agg(F.collect_list(F.struct("low", "n", "n_texts", "marks")).alias("parts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
