@@ -1,10 +1,14 @@
-"""Queries over the library's operators, and their SQL."""
+"""Queries over the library's operators, and the same results as SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .audit import ORACLES as _audit_sql
+from .audit import QUERIES as _audit
+from .corpus import ORACLES as _corpus_sql
+from .corpus import QUERIES as _corpus
+from .corpus import lore_release_articles as flagship
 
+QUERIES = _corpus | _audit
+ORACLES = _corpus_sql | _audit_sql
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLES", "QUERIES", "flagship"]
