@@ -8,6 +8,7 @@ import textwrap
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 EDGES = "(?U)^\\s+|\\s+$"
 # The most common special character entities of wiki text.
@@ -49,7 +50,7 @@ def collapsed(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "(?U)[\\s\\x1c-\\x1f]+", " "), "^ | $", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else t.casefold())
 

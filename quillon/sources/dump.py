@@ -20,18 +20,20 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 
 def check(spark: SparkSession, path: str, database: str) -> None:
     """Raise unless the dump names the database before its first page and is complete."""
-    rows = records(spark, path)
+    rows = records(spark, path).withColumn("pos", F.monotonically_increasing_id())
     name = F.regexp_extract("value", "<siteinfo[\\s\\S]*?<dbname>\\s*([^<]*?)\\s*</dbname>", 1)
     before = F.regexp_extract("value", "^([\\s\\S]*?)(?:<page>|\\z)", 1).contains("</dbname>")
     found = rows.agg(
         F.count_if(F.col("value").contains("</mediawiki>")).alias("ends"),
         F.max(F.when(F.col("value").contains("<dbname>"), name)).alias("name"),
         F.max(F.when(F.col("value").contains("<dbname>"), before)).alias("early"),
+        F.min(F.when(F.col("value").contains("<dbname>"), F.col("pos"))).alias("name_pos"),
+        F.min(F.when(F.col("value").contains("<page>"), F.col("pos"))).alias("page_pos"),
         F.count_if(F.col("value").contains("<page>") & F.col("value").contains("</mediawiki>")).alias("open"),
     ).first()
     if not found["name"]:
         raise SourceError("dump names no database")
-    if not found["early"]:
+    if not found["early"] or (found["page_pos"] is not None and found["page_pos"] < found["name_pos"]):
         raise SourceError("dump names its database after a page")
     if found["name"] != database:
         raise SourceError(f"dump is of {found['name']}, not {database}")
