@@ -69,7 +69,8 @@ class RunIndex:
         self.n = len(text)
         eight = _eight(text)
         order = suffix_array(eight, 8)
-        bwt = text[order - 1]
+        bwt = text[order - 1].astype(np.int16)
+        bwt[order == 0] = -1  # nothing comes before the first suffix: it ends the runs around it
         change = np.flatnonzero(bwt[1:] != bwt[:-1])
         self.runs = len(change) + bool(self.n)
         heads, tails = change + 1, change
