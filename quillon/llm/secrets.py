@@ -97,5 +97,9 @@ def findings(documents: DataFrame, ledger: str | None = None, rules: tuple[Rule,
     got = scan(documents.select(F.col("doc_id").alias("path"), "text"), ledger, rules)
     names = F.array(*[F.lit(r.kind) for r in rules])
     text = F.array_join(F.transform("found", lambda x: F.concat(F.element_at(names, x["kind"] + 1), F.lit(":"), x["start"], F.lit(":"), x["stop"])), ",")
-    counts = [F.size(F.filter("found", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(rules)]
+
+    def of(order: int):
+        return lambda x: x["kind"] == order  # one parameter: filter gives a second one the position
+
+    counts = [F.size(F.filter("found", of(i))).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(rules)]
     return got.select(F.col("path").alias("doc_id"), *counts, F.sha2(F.encode(text, "UTF-8"), 256).alias("base_sha256"), text.alias("spans"))
