@@ -18,6 +18,7 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -156,7 +157,7 @@ def pack(records: list[tuple[str, bytes]]) -> bytes:
     data, lines, at = io.BytesIO(), [], 0
     for url, member in records:
         data.write(member)
-        lines.append(f"{url or '-'} 19700101000000 " + json.dumps({"filename": DATA.split("/")[1], "offset": str(at), "length": str(len(member))}))
+        lines.append(f"{quote(url or '-', safe=':/?#&=+,;@~%')} 19700101000000 " + json.dumps({"filename": DATA.split("/")[1], "offset": str(at), "length": str(len(member))}))
         at += len(member)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
