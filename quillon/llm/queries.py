@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, mixing, multi_index, ngram_join, passage_dedup, pii, quality, secrets, substring_dedup, warc
+from .oracles import ORACLES  # noqa: F401
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,4 +61,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_pii_surrogates, op2_ngram_jaccard_join, op3_warc_packages, op4_suffix_array_dedup, op5_secret_ledger, op6_multi_index, op7_pfair_mixing, op8_template_decontamination, op9_quality_classifier, op10_substring_dedup)
 }
-ORACLES: dict[str, str] = {}
