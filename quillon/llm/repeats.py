@@ -210,7 +210,8 @@ def removals(documents: DataFrame, kind: Kind, name: str, kept: Callable[[str, n
     pieces = store.table(pieces, f"{name}-pieces")
 
     bodies = pieces.where("body is not null").select("route", "piece", "body")
-    parts = bodies.groupBy("route").agg(F.sum(F.length("body")).alias("bytes"))
+    # Written, so that the join below has two fresh exchanges and a popular route can be split.
+    parts = store.table(bodies.groupBy("route").agg(F.sum(F.length("body")).alias("bytes")), f"{name}-routes")
     total = parts.agg(F.sum("bytes")).first()[0] or 0
     shards = int(total // SHARD_BYTES) + 1
     parts = parts.where(F.col("bytes") > SHARD_BYTES).select("route", F.ceil(2 * F.col("bytes") / SHARD_BYTES).cast("int").alias("parts"))
