@@ -177,7 +177,7 @@ def write_packages(pages: DataFrame, folder: str) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     repeated = rows.where(F.length("payload") >= LEAST_REVISIT).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("first")).where("n > 1 and first is not null")
-    rows = rows.join(repeated.select("digest", "first"), "digest", "left")
+    rows = rows.join(store.table(repeated.select("digest", "first"), "repeated"), "digest", "left")
     refers = F.when((F.length("payload") >= LEAST_REVISIT) & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first"))), F.col("first"))
     rows = rows.withColumn("refers_to", refers).select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")).alias("payload"), "digest", "refers_to")
 
@@ -241,6 +241,9 @@ def round_trip(pages: DataFrame) -> DataFrame:
     found = read_packages(write_packages(pages, store.new_path(spark, "warc")))
     found = found.select("page_id", "record_type", "refers_to", F.length("payload").cast("long").alias("n"), F.sha1("payload").alias("digest"))
     found = store.table(found, "records")
-    full = found.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to")).agg(F.max(F.struct("n", "digest")).alias("full"))
-    found = found.join(full, "refers_to", "left")
+    full = found.where("record_type = 'response'").groupBy(F.col("page_id").alias("first")).agg(F.max(F.struct("n", "digest")).alias("full"))
+    full = store.table(full.where("first is not null"), "responses")  # of two fresh exchanges, so the revisits of one response can be split
+    again = found.where("refers_to is not null").join(full, F.col("refers_to") == F.col("first"), "left").drop("first")
+    alone = found.where("refers_to is null").withColumn("full", F.lit(None).cast(full.schema["full"].dataType))
+    found = again.unionByName(alone)
     return found.select("page_id", F.coalesce("full.n", "n").alias("payload_bytes"), F.coalesce("full.digest", "digest").alias("payload_digest"), "record_type", "refers_to")
