@@ -2,7 +2,8 @@
 
 Words become lower-case literals without outer punctuation, or typed placeholders: numbers, units that
 follow a number, and names (capitalised words that do not begin a sentence). Windows of the canonical
-words are hash-joined with those of the benchmark. Matching windows on one diagonal form an alignment;
+words are hash-joined with those of the benchmark, and so are windows of the plain words, which find
+verbatim passages of few literals; an item shorter than a window is one window. Matching windows on one diagonal form an alignment;
 it counts when it is consistent: equal slot values of the item meet equal values in the document, and
 different names different names. So a question with other numbers or names is found, and two texts that
 only share a frame of placeholders are not.
@@ -10,7 +11,7 @@ only share a frame of placeholders are not.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,23 +46,28 @@ def _unit_codes() -> np.ndarray:
 class Canonical:
     codes: np.ndarray  # literal hashes, or NUMBER, UNIT, NAME
     values: np.ndarray  # hashes of the words as they stand, outer punctuation apart
+    plain: np.ndarray  # hashes of the lower-case words, whatever they stand for
     of: np.ndarray
 
     def windows(self, size: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(start, hash) of the windows inside a row with enough literals."""
+        """(start, hash) of the windows inside a row: canonical ones with enough literals, and plain ones."""
         n = len(self.codes) - size + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         literal = np.r_[0, np.cumsum(self.codes > NAME)]
-        good = blocks.whole(self.of, len(self.codes), size) & (literal[size:] - literal[:-size] >= least)
-        start = np.flatnonzero(good)
-        return start, blocks.window_hashes(self.codes, size)[start]
+        whole = blocks.whole(self.of, len(self.codes), size)
+        many = np.flatnonzero(whole & (literal[size:] - literal[:-size] >= least))
+        plain = np.flatnonzero(whole & (literal[size:] - literal[:-size] < size))  # without slots both are equal
+        return np.r_[many, plain], np.r_[blocks.window_hashes(self.codes, size)[many], blocks.window_hashes(self.plain, size)[plain]]
+
+    def cut(self, low: int, high: int) -> Canonical:
+        return Canonical(self.codes[low:high], self.values[low:high], self.plain[low:high], np.array([0, high - low]))
 
 
 def canonical(part: blocks.Slice) -> Canonical:
     found = blocks.words(part)
     if not len(found.start):
-        return Canonical(np.zeros(0, np.uint64), np.zeros(0, np.uint64), found.of)
+        return Canonical(*[np.zeros(0, np.uint64)] * 3, found.of)
     data, low = part.data, blocks.lowered(part.data)
     start, end = found.start.copy(), found.end.copy()
     for _ in range(4):
@@ -74,7 +80,8 @@ def canonical(part: blocks.Slice) -> Canonical:
         if not trim.any():
             break
         end[trim] -= 1
-    codes = blocks.range_hashes(blocks.byte_codes(low), start, end)
+    plain = blocks.range_hashes(blocks.byte_codes(low), start, end)
+    codes = plain.copy()
     values = blocks.range_hashes(blocks.byte_codes(data), start, end)
     digits = np.r_[0, np.cumsum(_DIGIT[data])]
     number = digits[end] > digits[start]
@@ -91,100 +98,132 @@ def canonical(part: blocks.Slice) -> Canonical:
     codes[name] = NAME
     codes[unit] = UNIT
     codes[number] = NUMBER
-    return Canonical(codes, values, found.of)
+    return Canonical(codes, values, plain, found.of)
 
 
 @dataclass
 class Table:
-    """Windows of benchmark items, by hash."""
+    """Windows of benchmark items: by size, their sorted hashes with item and start. Short items have their own size."""
 
-    hashes: np.ndarray
-    item: np.ndarray
-    start: np.ndarray
-    words: dict[int, tuple[np.ndarray, np.ndarray]]  # codes and values of an item
+    sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    items: list[Canonical]
     ids: list[int]
 
 
 def _tables(benchmark: DataFrame, size: int, least: int) -> Iterator[Table]:
-    """The benchmark's windows in tables of bounded size; items shorter than a window are matched whole elsewhere."""
+    """The benchmark's windows in tables of bounded size; an item shorter than a window is one window."""
     held: list[tuple] = []
     total = 0
-
-    def built() -> Table:
-        return Table(*_ordered(held), {i: (c, v) for i, (_, c, v, _, _) in enumerate(held)}, [h[0] for h in held])
-
     for row in benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").orderBy("item_id", "text").toLocalIterator():
         can = canonical(next(blocks.slices(pa.array([row["text"]]))))
-        start, hashes = can.windows(size, least)
-        held.append((row["item_id"], can.codes, can.values, start, hashes))
+        own = min(size, len(can.codes))
+        if not own:
+            continue
+        start, hashes = can.windows(own, _literals(own, size, least))
+        held.append((row["item_id"], can, own, start, hashes))
         total += len(start)
         if total >= TABLE_WINDOWS:
-            yield built()
+            yield _table(held)
             held, total = [], 0
     if held:
-        yield built()
+        yield _table(held)
+
 
+def _literals(own: int, size: int, least: int) -> int:
+    """The literals that a window of own words needs: the same part of it."""
+    return -(-least * own // size)
 
-def _ordered(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    hashes = np.concatenate([h[4] for h in held])
-    item = np.repeat(np.arange(len(held)), [len(h[4]) for h in held])
-    start = np.concatenate([h[3] for h in held])
-    order = np.argsort(hashes, kind="stable")
-    return hashes[order], item[order], start[order]
 
+def _table(held: list[tuple]) -> Table:
+    sizes = {}
+    for own in sorted({h[2] for h in held}):
+        some = [(i, h[3], h[4]) for i, h in enumerate(held) if h[2] == own]
+        hashes = np.concatenate([h for _, _, h in some])
+        order = np.argsort(hashes, kind="stable")
+        sizes[own] = hashes[order], np.repeat([i for i, _, _ in some], [len(h) for _, _, h in some])[order], np.concatenate([s for _, s, _ in some])[order]
+    return Table(sizes, [h[1] for h in held], [h[0] for h in held])
 
-def consistent(codes: np.ndarray, theirs: np.ndarray, ours: np.ndarray) -> bool:
-    """Whether the slots of an aligned stretch map item values to document values one to one by type.
 
+def _slots(item: Canonical, own: Canonical) -> tuple[np.ndarray, np.ndarray]:
+    """Word by word: the kind of slot that both have there or 0, and whether the words fit each other."""
+    kinds = np.where((item.codes == own.codes) & (item.codes <= NAME), item.codes, np.uint64(0))
+    return kinds, (kinds > 0) | (item.plain == own.plain)
+
+
+def _longest(item: Canonical, own: Canonical, places: list[int], size: int) -> tuple[int, int, int]:
+    """(words, slots, slots of equal value) of the longest consistent stretch that holds one of the windows at places.
+
+    A stretch is consistent when its slots map item values to document values one to one by type.
     Different numbers may become equal numbers; different names may not.
     """
-    for kind in (NUMBER, UNIT, NAME):
-        slots = codes == kind
-        pairs = set(zip(theirs[slots].tolist(), ours[slots].tolist(), strict=True))
-        if len({a for a, _ in pairs}) < len(pairs) or (kind == NAME and len({b for _, b in pairs}) < len(pairs)):
-            return False
-    return True
-
-
-def _aligned(table: Table, can: Canonical, low: int, start: np.ndarray, hashes: np.ndarray, size: int) -> Iterator[tuple[int, int, int, int]]:
-    """(item number, words, slots, slots of equal value) of the best consistent alignment with each item met."""
-    diagonals: dict[tuple[int, int], list[int]] = defaultdict(list)
-    left, right = np.searchsorted(table.hashes, hashes, "left"), np.searchsorted(table.hashes, hashes, "right")
-    for at, a, b in zip((start - low).tolist(), left.tolist(), right.tolist(), strict=True):
-        for k in range(a, b):
-            diagonals[(int(table.item[k]), at - int(table.start[k]))].append(at)
+    kinds, fits = _slots(item, own)
+    slots = np.r_[0, np.cumsum(kinds > 0)].tolist()
+    equal = np.r_[0, np.cumsum((kinds > 0) & (item.values == own.values))].tolist()
+    pairs = list(zip(kinds.tolist(), item.values.tolist(), own.values.tolist(), strict=True))
+    seen: Counter = Counter()  # pairs of the stretch
+    there: Counter = Counter()  # different document values of an item value
+    back: Counter = Counter()  # and the reverse
+    best, low, k, last = (0, 0, 0), 0, 0, -1
+    for at, (kind, a, b) in enumerate(pairs):
+        if not fits[at]:
+            seen.clear(), there.clear(), back.clear()
+            low = at + 1
+        elif kind:
+            seen[kind, a, b] += 1
+            if seen[kind, a, b] == 1:
+                there[kind, a] += 1
+                back[kind, b] += 1
+            while there[kind, a] > 1 or (kind == NAME and back[kind, b] > 1):
+                old = pairs[low]
+                if old[0]:
+                    seen[old] -= 1
+                    if not seen[old]:
+                        there[old[0], old[1]] -= 1
+                        back[old[0], old[2]] -= 1
+                low += 1
+        while k < len(places) and places[k] + size <= at + 1:
+            last, k = places[k], k + 1
+        if last >= low and at + 1 - low >= best[0]:
+            best = max(best, (at + 1 - low, slots[at + 1] - slots[low], equal[at + 1] - equal[low]))
+    return best
+
+
+def _aligned(table: Table, text: Canonical, met: list[tuple[int, np.ndarray, np.ndarray]], size: int) -> Iterator[tuple[int, int, int, int]]:
+    """(item number, words, slots, slots of equal value) of the best consistent alignment with each item met.
+
+    met: (size, start, hash) of the windows of the text that are in the table.
+    """
+    diagonals: dict[tuple[int, int], set[int]] = defaultdict(set)
+    for own, start, hashes in met:
+        known, item, begin = table.sizes[own]
+        left, right = np.searchsorted(known, hashes, "left"), np.searchsorted(known, hashes, "right")
+        for at, a, b in zip(start.tolist(), left.tolist(), right.tolist(), strict=True):
+            for k in range(a, b):
+                diagonals[int(item[k]), at - int(begin[k])].add(at)
     best: dict[int, tuple[int, int, int]] = {}
     for (item, shift), places in diagonals.items():
-        theirs_codes, theirs = table.words[item]
+        theirs = table.items[item]
+        own = min(size, len(theirs.codes))
         run: list[int] = []
-        for at in [*sorted(set(places)), None]:
-            if run and (at is None or at > run[-1] + size):
-                a, b = run[0], run[-1] + size
-                codes, values = theirs_codes[a - shift : b - shift], theirs[a - shift : b - shift]
-                own_codes, own = can.codes[low + a : low + b], can.values[low + a : low + b]
-                same = codes == own_codes
-                if same.all() and consistent(codes, values, own):
-                    slots = codes <= NAME
-                    best[item] = max(best.get(item, (0, 0, 0)), (b - a, int(slots.sum()), int((values == own)[slots].sum())))
-                elif not same.all() or b - a > size:  # a mixed stretch: its windows are judged one by one
-                    for w in run:
-                        c, v = theirs_codes[w - shift : w - shift + size], theirs[w - shift : w - shift + size]
-                        o = can.values[low + w : low + w + size]
-                        if consistent(c, v, o):
-                            slots = c <= NAME
-                            best[item] = max(best.get(item, (0, 0, 0)), (size, int(slots.sum()), int((v == o)[slots].sum())))
+        for at in [*sorted(places), None]:
+            if run and (at is None or at > run[-1] + own):
+                a, b = run[0], run[-1] + own
+                best[item] = max(best.get(item, (0, 0, 0)), _longest(theirs.cut(a - shift, b - shift), text.cut(a, b), [p - a for p in run], own))
                 run = []
             if at is not None:
                 run.append(at)
     for item, (n, slots, equal) in sorted(best.items()):
-        yield item, n, slots, equal
+        if n:
+            yield item, n, slots, equal
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, least: int = LEAST_LITERALS) -> DataFrame:
     """(doc_id, item_id, n_words, n_slots, n_equal): documents that hold a passage of a benchmark item.
 
     n_words: of the longest consistent alignment; n_slots and n_equal: its slots, and those whose value
-    is the item's own. Null and empty texts and texts or items of fewer than `size` words hold and give
+    is the item's own. An item of fewer than `size` words is looked for as a whole, so one of a single word
+    is found wherever the word stands. Windows with fewer than `least` literals (short items: the same part
+    of their words) count where the words are the item's own. Null and empty texts and items hold and give
     no passage; null ids are left out. Each pair of ids appears once, also for repeated rows.
     """
     spark = documents.sparkSession
@@ -195,22 +234,24 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW,
 
         def run(batches: Iterator[pa.RecordBatch], share=share) -> Iterator[pa.RecordBatch]:
             table = share.value
-            seen = np.zeros(1 << 16, bool)
-            seen[(table.hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
+            seen = {own: np.zeros(1 << 20, bool) for own in table.sizes}
+            for own, (hashes, _, _) in table.sizes.items():
+                seen[own][(hashes & np.uint64(0xFFFFF)).astype(np.int64)] = True
             for batch in batches:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 got = []
                 for part in blocks.slices(batch.column(1)):
                     can = canonical(part)
-                    start, hashes = can.windows(size, least)
-                    hit = seen[(hashes & np.uint64(0xFFFF)).astype(np.int64)]
-                    start, hashes = start[hit], hashes[hit]
-                    hit = np.isin(hashes, table.hashes)
-                    start, hashes = start[hit], hashes[hit]
-                    row = np.searchsorted(can.of, start, side="right") - 1
-                    for i in np.unique(row):
-                        own = row == i
-                        got += [(int(ids[part.first + i]), table.ids[k], *rest) for k, *rest in _aligned(table, can, int(can.of[i]), start[own], hashes[own], size)]
+                    met = []
+                    for own, (known, _, _) in table.sizes.items():
+                        start, hashes = can.windows(own, _literals(own, size, least))
+                        hit = np.flatnonzero(seen[own][(hashes & np.uint64(0xFFFFF)).astype(np.int64)])
+                        hit = hit[np.isin(hashes[hit], known)]
+                        met.append((own, start[hit], hashes[hit], np.searchsorted(can.of, start[hit], side="right") - 1))
+                    for i in np.unique(np.concatenate([row for *_, row in met])).tolist():
+                        low = int(can.of[i])
+                        own = [(n, start[row == i] - low, hashes[row == i]) for n, start, hashes, row in met]
+                        got += [(int(ids[part.first + i]), table.ids[k], *rest) for k, *rest in _aligned(table, can.cut(low, int(can.of[i + 1])), own, size)]
                 cols = list(zip(*got, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "n_words", "n_slots", "n_equal"])
 

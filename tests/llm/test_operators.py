@@ -144,6 +144,16 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_short_items_and_few_literals(spark):
+    items = ["What is 12 + 7 - 3 * 4 + 18 / 6 - 2 + 40 ?", "We met Anna Lee Smith, Bob Ray Jones, Carl May Brown, Dora Sue White and Emil Jan Black", "How many legs do three spiders have in total?", "Name the capital of Peru", "42"]
+    bench = spark.createDataFrame(list(enumerate(items)) + [(8, ""), (9, " ")], "item_id long, text string")
+    rows = [(i, f"Some words before. {t} And some after") for i, t in enumerate(items)]
+    rows += [(10, items[0].replace("12", "13").replace("40", "41").replace("18", "19")), (11, "how many legs do four spiders have in total"), (12, "Please name the capital of Peru."), (13, "Name the capital of Chad now"), (14, " ".join(f"Name{i} {i + 50}" for i in range(40))), (15, None), (16, "")]
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(frame(spark, rows), bench).collect()}
+    assert set(got) == {(i, i) for i in range(5)} | {(12, 3), (13, 3)}
+    assert got[0, 0]["n_words"] == 18 and got[2, 2]["n_words"] == 9 and got[13, 3]["n_equal"] == 0 and got[12, 3]["n_equal"] == 1
+
+
 def test_quality(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choices(WORDS[:200] if i % 4 else [w.upper() + "!!" for w in WORDS[:200]], k=60))) for i in range(400)] + [(900, None), (901, "")]
