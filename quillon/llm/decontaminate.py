@@ -1,7 +1,7 @@
 """Benchmark decontamination by canonical templates.
 
 Words become lower-case literals without outer punctuation, or typed placeholders: numbers, units that
-follow a number, and names (capitalised words that do not begin a sentence). Windows of the canonical
+follow a number, and names (capitalised words; those that begin a sentence are literals as well). Windows of the canonical
 words are hash-joined with those of the benchmark, and so are windows of the plain words, which find
 verbatim passages of few literals; an item shorter than a window is one window. Matching windows on one diagonal form an alignment;
 it counts when it is consistent: equal slot values of the item meet equal values in the document, and
@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from . import blocks
 WINDOW = 12
 LEAST_LITERALS = 8  # in a window
 TABLE_WINDOWS = 1 << 20  # benchmark windows that one pass over the documents holds
+CHUNK = 1 << 15  # windows whose choices of names are worked out at once
+GAPS = (1, 2, 3)
 NUMBER, UNIT, NAME = np.uint64(11), np.uint64(13), np.uint64(17)
 UNITS = "% km m cm mm mi ft in kg g mg lb oz l ml s sec min h hr hrs hours minutes seconds days weeks months years miles meters metres feet inches grams pounds euros dollars cents usd eur gbp percent degrees kmh mph kb mb gb tb".split()
 _DIGIT = np.zeros(256, bool)
@@ -47,27 +50,69 @@ class Canonical:
     codes: np.ndarray  # literal hashes, or NUMBER, UNIT, NAME
     values: np.ndarray  # hashes of the words as they stand, outer punctuation apart
     plain: np.ndarray  # hashes of the lower-case words, whatever they stand for
+    either: np.ndarray  # capitalised words that begin a sentence: coded as literals, and names as well
     of: np.ndarray
 
-    def windows(self, size: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(start, hash) of the windows inside a row: canonical ones with enough literals, and plain ones."""
+    def pairs(self, gap: int) -> np.ndarray:
+        """A hash of each word and the one gap words on."""
+        return blocks.mix(self.codes[:-gap] * np.uint64(2 * gap + 1) + blocks.mix(self.codes[gap:]))
+
+    def settled(self, known: np.ndarray) -> Canonical:
+        """The same with words that are no word of the benchmark as names only, where they may be names."""
+        only = self.either & ~known[(blocks.mix(self.codes) & np.uint64(len(known) - 1)).astype(np.int64)]
+        return Canonical(np.where(only, NAME, self.codes), self.values, self.plain, self.either & ~only, self.of)
+
+    def foreign(self, known: np.ndarray) -> list[np.ndarray]:
+        """For each gap, running counts of pairs that no passage of the benchmark can have; names are left open."""
+        fixed = ~self.either & (self.codes != NAME)
+        return [np.r_[0, np.cumsum(fixed[:-gap] & fixed[gap:] & ~known[(self.pairs(gap) & np.uint64(len(known) - 1)).astype(np.int64)])] for gap in GAPS]
+
+    def windows(self, size: int, least: int, known: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(start, hash) of the windows inside a row: plain ones, and canonical ones with enough literals.
+
+        A window comes once for each choice of its words that may be names and leaves enough literals. With
+        known, the pairs of the benchmark, windows with a pair that is not among them are not tried further.
+        """
         n = len(self.codes) - size + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return
         literal = np.r_[0, np.cumsum(self.codes > NAME)]
+        literals = literal[size:] - literal[:-size]
         whole = blocks.whole(self.of, len(self.codes), size)
-        many = np.flatnonzero(whole & (literal[size:] - literal[:-size] >= least))
-        plain = np.flatnonzero(whole & (literal[size:] - literal[:-size] < size))  # without slots both are equal
-        return np.r_[many, plain], np.r_[blocks.window_hashes(self.codes, size)[many], blocks.window_hashes(self.plain, size)[plain]]
+        plain = np.flatnonzero(whole & (literals < size))  # without slots it is the canonical one
+        yield plain, blocks.window_hashes(self.plain, size)[plain]
+        many = np.flatnonzero(whole & (literals >= least))
+        yield many, blocks.window_hashes(self.codes, size)[many]
+        either = np.r_[0, np.cumsum(self.either)]
+        free = np.minimum(either[size:] - either[:-size], literals - least)
+        place = np.flatnonzero(self.either)
+        many = many[free[many] > 0]
+        if known is not None and len(many):
+            for gap, count in zip(GAPS, self.foreign(known), strict=True):
+                if gap < size:
+                    many = many[count[many + size - gap] == count[many]]
+        for at in range(0, len(many), CHUNK):
+            start = many[at : at + CHUNK]
+            count = either[start + size] - either[start]
+            for k in np.unique(count).tolist():
+                own = start[count == k]
+                where = place[either[own][:, None] + np.arange(k)] - own[:, None]
+                for names in range(1, int(free[own].max()) + 1):
+                    some = free[own] >= names
+                    codes = self.codes[own[some][:, None] + np.arange(size)]
+                    for chosen in combinations(range(k), names):
+                        changed = codes.copy()
+                        changed[np.arange(len(codes))[:, None], where[some][:, chosen]] = NAME
+                        yield own[some], blocks.window_hashes(changed.ravel(), size)[::size]
 
     def cut(self, low: int, high: int) -> Canonical:
-        return Canonical(self.codes[low:high], self.values[low:high], self.plain[low:high], np.array([0, high - low]))
+        return Canonical(self.codes[low:high], self.values[low:high], self.plain[low:high], self.either[low:high], np.array([0, high - low]))
 
 
 def canonical(part: blocks.Slice) -> Canonical:
     found = blocks.words(part)
     if not len(found.start):
-        return Canonical(*[np.zeros(0, np.uint64)] * 3, found.of)
+        return Canonical(*[np.zeros(0, np.uint64)] * 3, np.zeros(0, bool), found.of)
     data, low = part.data, blocks.lowered(part.data)
     start, end = found.start.copy(), found.end.copy()
     for _ in range(4):
@@ -92,13 +137,14 @@ def canonical(part: blocks.Slice) -> Canonical:
     opens[first[first < len(start)]] = True
     # upper-case letters of two bytes in UTF-8: C3 80 to C3 9E
     wide = (data[start] == 0xC3) & (data[np.minimum(start + 1, len(data) - 1)] >= 0x80) & (data[np.minimum(start + 1, len(data) - 1)] <= 0x9E)
-    name = (_UPPER[data[start]] | wide) & ~opens
+    capital = _UPPER[data[start]] | wide
+    name = capital & ~opens
     unit = np.zeros(len(start), bool)
     unit[1:] = number[:-1] & np.isin(codes[1:], _unit_codes())
     codes[name] = NAME
     codes[unit] = UNIT
     codes[number] = NUMBER
-    return Canonical(codes, values, plain, found.of)
+    return Canonical(codes, values, plain, capital & opens & (codes > NAME), found.of)
 
 
 @dataclass
@@ -108,6 +154,7 @@ class Table:
     sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
     items: list[Canonical]
     ids: list[int]
+    pairs: np.ndarray  # by the low bits of its hash, whether a code or a pair of codes may occur
 
 
 def _tables(benchmark: DataFrame, size: int, least: int) -> Iterator[Table]:
@@ -119,7 +166,7 @@ def _tables(benchmark: DataFrame, size: int, least: int) -> Iterator[Table]:
         own = min(size, len(can.codes))
         if not own:
             continue
-        start, hashes = can.windows(own, _literals(own, size, least))
+        start, hashes = map(np.concatenate, zip(*can.windows(own, _literals(own, size, least)), strict=True))
         held.append((row["item_id"], can, own, start, hashes))
         total += len(start)
         if total >= TABLE_WINDOWS:
@@ -141,13 +188,19 @@ def _table(held: list[tuple]) -> Table:
         hashes = np.concatenate([h for _, _, h in some])
         order = np.argsort(hashes, kind="stable")
         sizes[own] = hashes[order], np.repeat([i for i, _, _ in some], [len(h) for _, _, h in some])[order], np.concatenate([s for _, s, _ in some])[order]
-    return Table(sizes, [h[1] for h in held], [h[0] for h in held])
+    seen = np.concatenate([x for h in held for x in (blocks.mix(h[1].codes), *[h[1].pairs(gap) for gap in GAPS])])
+    pairs = np.zeros(max(1 << 16, 1 << (8 * len(seen)).bit_length()), bool)
+    pairs[(seen & np.uint64(len(pairs) - 1)).astype(np.int64)] = True
+    return Table(sizes, [h[1] for h in held], [h[0] for h in held], pairs)
 
 
 def _slots(item: Canonical, own: Canonical) -> tuple[np.ndarray, np.ndarray]:
     """Word by word: the kind of slot that both have there or 0, and whether the words fit each other."""
     kinds = np.where((item.codes == own.codes) & (item.codes <= NAME), item.codes, np.uint64(0))
-    return kinds, (kinds > 0) | (item.plain == own.plain)
+    same = item.plain == own.plain
+    names = ((item.codes == NAME) | item.either) & ((own.codes == NAME) | own.either)
+    kinds[names & ~(same & item.either & own.either)] = NAME  # equal words that begin sentences are literals
+    return kinds, (kinds > 0) | same
 
 
 def _longest(item: Canonical, own: Canonical, places: list[int], size: int) -> tuple[int, int, int]:
@@ -242,13 +295,14 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW,
                 got = []
                 for part in blocks.slices(batch.column(1)):
                     can = canonical(part)
-                    met = []
+                    met, sought = [], can.settled(table.pairs)
                     for own, (known, _, _) in table.sizes.items():
-                        start, hashes = can.windows(own, _literals(own, size, least))
-                        hit = np.flatnonzero(seen[own][(hashes & np.uint64(0xFFFFF)).astype(np.int64)])
-                        hit = hit[np.isin(hashes[hit], known)]
-                        met.append((own, start[hit], hashes[hit], np.searchsorted(can.of, start[hit], side="right") - 1))
-                    for i in np.unique(np.concatenate([row for *_, row in met])).tolist():
+                        for start, hashes in sought.windows(own, _literals(own, size, least), table.pairs):
+                            hit = np.flatnonzero(seen[own][(hashes & np.uint64(0xFFFFF)).astype(np.int64)])
+                            hit = hit[known[np.minimum(np.searchsorted(known, hashes[hit]), len(known) - 1)] == hashes[hit]]
+                            if len(hit):
+                                met.append((own, start[hit], hashes[hit], np.searchsorted(can.of, start[hit], side="right") - 1))
+                    for i in sorted({i for *_, row in met for i in row.tolist()}):
                         low = int(can.of[i])
                         own = [(n, start[row == i] - low, hashes[row == i]) for n, start, hashes, row in met]
                         got += [(int(ids[part.first + i]), table.ids[k], *rest) for k, *rest in _aligned(table, can.cut(low, int(can.of[i + 1])), own, size)]

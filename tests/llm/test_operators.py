@@ -154,6 +154,18 @@ def test_decontamination_of_short_items_and_few_literals(spark):
     assert got[0, 0]["n_words"] == 18 and got[2, 2]["n_words"] == 9 and got[13, 3]["n_equal"] == 0 and got[12, 3]["n_equal"] == 1
 
 
+def test_decontamination_of_names_that_begin_sentences(spark):
+    items = ["Tom has 5 red apples. Sara gives Tom 7 more at school. Tom then eats 3 of the apples. How many apples are left?", "Mary paints every fence post along the old river road before winter"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    other = items[0].replace("Tom", "Ben").replace("Sara", "Lucy").replace("5", "9")
+    mixed = other.replace("Ben then", "Carl then")  # not one name for one: only a part of it is the item's
+    rows = [(0, other), (1, f"He said {items[1]} and left"), (2, f"He said {items[1].replace('Mary', 'Joan')} and left"), (3, f"We know that {other.replace('Lucy gives', 'then Lucy gives')}"), (4, mixed), (5, "Tom. Sara. Ann. Bob. " * 20), (6, items[1].replace("Mary", "nobody"))]
+    got = {(r["doc_id"], r["item_id"]): tuple(r)[2:] for r in decontaminate.contaminated(frame(spark, rows), bench).collect()}
+    assert set(got) >= {(0, 0), (1, 1), (2, 1)} and set(got) <= {(0, 0), (1, 1), (2, 1), (3, 0), (4, 0)}
+    assert got[0, 0] == (21, 5, 2) and got[1, 1] == (12, 1, 1) and got[2, 1] == (12, 1, 0)
+    assert (4, 0) not in got or got[4, 0][0] < 21
+
+
 def test_quality(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choices(WORDS[:200] if i % 4 else [w.upper() + "!!" for w in WORDS[:200]], k=60))) for i in range(400)] + [(900, None), (901, "")]
