@@ -4,7 +4,8 @@ Texts of a source, in an order that a hash of the id gives, fill blocks of BLOCK
 weight w, block b of a source may not start before slot floor(b / w) and has to be done by slot
 ceil((b + 1) / w); of the released blocks the one with the earliest deadline comes next. So after any
 slot each source is less than one block away from its share. Weights are multiples of one part of a
-period, so the schedule of one period, worked out once, repeats.
+period, so the schedule of one period, worked out once, repeats. The period grows with the blocks, so that
+rounding the weights to its parts moves no source by half a block while all have texts.
 """
 
 from __future__ import annotations
@@ -16,34 +17,49 @@ from pyspark.sql.window import Window
 from . import store
 
 BLOCK_CHARS = 1 << 16
-PERIOD = 1000  # slots, or ten for each source if that is more
+PERIOD = 1000  # least slots; ten for each source or two for each block if that is more
 ADDED = ("mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_offset", "mix_on_target")
 
 _EDF = """
 aggregate(
-  sequence(0L, period - 1),
-  named_struct('done', transform(shares, x -> 0L), 'picks', cast(array() as array<int>)),
-  (state, slot) -> transform(
-    array(array_min(transform(shares, (p, i) -> if(
-      (state.done[i] * period) div p <= slot,
-      named_struct('deadline', ((state.done[i] + 1) * period + p - 1) div p, 'i', i), null)))),
-    pick -> named_struct(
-      'done', transform(state.done, (v, i) -> if(i = pick.i, v + 1, v)),
-      'picks', concat(state.picks, array(pick.i))))[0],
-  state -> state.picks)
+  sequence(0L, period - 1, step),
+  named_struct('done', transform(shares, x -> 0L), 'lists', cast(array() as array<array<int>>)),
+  (whole, from) -> transform(
+    array(aggregate(
+      sequence(from, least(from + step, period) - 1),
+      named_struct('done', whole.done, 'picks', cast(array() as array<int>)),
+      (state, slot) -> transform(
+        array(array_min(transform(shares, (p, i) -> if(
+          (state.done[i] * period) div p <= slot,
+          named_struct('deadline', ((state.done[i] + 1) * period + p - 1) div p, 'i', i), null)))),
+        pick -> named_struct(
+          'done', transform(state.done, (v, i) -> if(i = pick.i, v + 1, v)),
+          'picks', concat(state.picks, array(pick.i))))[0])),
+    part -> named_struct('done', part.done, 'lists', concat(whole.lists, array(part.picks))))[0],
+  whole -> flatten(whole.lists))
 """
 
 
-def schedule(sizes: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+def schedule(sizes: DataFrame, weights: DataFrame | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(source, share, period, turn, slot) of one period from (source, chars).
 
     weights: (source, weight); sources it lacks, or gives no positive weight, are not scheduled. Without
     it a source weighs the square root of its characters. The rows are as many as the period's slots.
+
+    No source stays on target for more slots than there are blocks. A share is within one part of its
+    weight, and raising m shares to a whole part takes m parts at most, so a period of 2 (1 + m) slots a
+    block keeps what rounding adds up to under half a block over all these slots.
     """
-    own = sizes.select("source", F.sqrt(F.col("chars").cast("double")).alias("weight")) if weights is None else sizes.join(weights, sizes["source"].eqNullSafe(weights["source"])).select(sizes["source"], weights["weight"].cast("double").alias("weight"))
-    one = own.where("weight > 0").agg(F.sum("weight").alias("total"), F.array_sort(F.collect_list(F.struct("source", "weight"))).alias("all"))
-    one = one.select("all", F.transform("all", lambda x: F.greatest(F.lit(1), F.round(x["weight"] / F.col("total") * F.greatest(F.lit(PERIOD), 10 * F.size("all")))).cast("long")).alias("shares"))
-    one = one.where(F.size("all") > 0).withColumn("period", F.aggregate("shares", F.lit(0).cast("long"), lambda a, x: a + x))
+    root = F.sqrt(F.col("chars").cast("double"))
+    own = sizes.select("source", "chars", root.alias("weight")) if weights is None else sizes.join(weights, sizes["source"].eqNullSafe(weights["source"])).select(sizes["source"], "chars", weights["weight"].cast("double").alias("weight"))
+    one = own.where("weight > 0").agg(F.sum("weight").alias("total"), F.sum(F.ceil(F.col("chars") / block_chars)).alias("blocks"), F.array_sort(F.collect_list(F.struct("source", "weight"))).alias("all"))
+    one = one.where(F.size("all") > 0).withColumn("raised", F.size(F.filter("all", lambda x: x["weight"] * 2 * F.col("blocks") < F.col("total"))))
+    one = one.withColumn("parts", F.greatest(F.lit(PERIOD), 10 * F.size("all"), 2 * F.col("blocks") * (1 + F.col("raised"))))
+    # Rounded running sums: each share is less than one part away from its weight, and together they fill the period.
+    one = one.withColumn("ends", F.expr("aggregate(all, array(0D), (sums, x) -> concat(sums, array(element_at(sums, -1) + x.weight)))"))
+    one = one.withColumn("ends", F.expr("transform(ends, x -> cast(round(x / element_at(ends, -1) * parts) as long))"))
+    one = one.select("all", F.expr("transform(all, (x, i) -> greatest(1L, ends[i + 1] - ends[i]))").alias("shares"))
+    one = one.withColumn("period", F.aggregate("shares", F.lit(0).cast("long"), lambda a, x: a + x)).withColumn("step", F.ceil(F.sqrt("period")).cast("long"))
     turns = one.select("all", "shares", "period", F.posexplode(F.expr(_EDF)).alias("slot", "i"))
     turns = turns.select(F.col("all")[F.col("i")]["source"].alias("source"), F.col("shares")[F.col("i")].alias("share"), "period", F.col("slot").cast("long").alias("slot"), "i")
     return turns.withColumn("turn", F.row_number().over(Window.partitionBy("i").orderBy("slot")).cast("long") - 1).drop("i")
@@ -81,14 +97,14 @@ def mix(documents: DataFrame, weights: DataFrame | None = None, id_column: str =
     sizes = buckets.groupBy(F.col(names["q_source"]).alias("source")).agg(F.sum("chars").alias("chars"))
     if weights is not None:
         weights = weights.select(F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string"))).alias("source"), "weight").where("weight is not null").dropDuplicates(["source"])
-    plan = store.table(schedule(sizes, weights), "schedule")
+    plan = store.table(schedule(sizes, weights, block_chars), "schedule")
     before = F.sum("chars").over(Window.partitionBy(names["q_source"]).orderBy(names["q_bucket"]).rowsBetween(Window.unboundedPreceding, -1))
     buckets = buckets.select(names["q_source"], names["q_bucket"], F.coalesce(before, F.lit(0)).alias(names["q_before"]))
     rows = rows.join(buckets, [names["q_source"], names["q_bucket"]])
     inside = F.sum(names["q_chars"]).over(Window.partitionBy(names["q_source"], names["q_bucket"]).orderBy(names["q_hash"], id_column).rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn(names["q_before"], c("q_before") + F.coalesce(inside, F.lit(0)))
     rows = rows.withColumns({names["mix_block"]: F.floor(c("q_before") / block_chars), names["mix_offset"]: c("q_before") % block_chars})
-    # The plan has a bounded number of rows: PERIOD, or ten for each source.
+    # The plan has two rows for each block of texts, at least PERIOD or ten for each source.
     shares = plan.select(F.col("source").alias(names["q_source"]), F.col("share").alias(names["q_share"]), F.col("period").alias(names["q_period"])).distinct()
     rows = rows.join(F.broadcast(shares), names["q_source"]).withColumn(names["q_turn"], c("mix_block") % c("q_share"))
     slots = plan.select(F.col("source").alias(names["q_source"]), F.col("turn").alias(names["q_turn"]), F.col("slot").alias(names["mix_slot"]))

@@ -201,6 +201,21 @@ def test_schedule_deviates_by_less_than_one_block(spark):
         assert all(abs(done[x["source"]] - t * x["share"] / x["period"]) < 1 for x in plan[:50])
 
 
+@pytest.mark.parametrize("count", [6, 40])
+def test_schedule_follows_the_weights_on_many_blocks(spark, count):
+    chars = {"a": 4_000_000, **{f"s{i:02}": 8_000_000 // count + 7919 * i for i in range(count)}}
+    plan = mixing.schedule(spark.createDataFrame(list(chars.items()), "source string, chars long"), block_chars=1000).orderBy("slot").collect()
+    weight = {s: n**0.5 / sum(x**0.5 for x in chars.values()) for s, n in chars.items()}
+    blocks = {s: -(-n // 1000) for s, n in chars.items()}
+    dry = min(int(blocks[s] / weight[s]) for s in chars)
+    assert 2 * dry <= len(plan)
+    done, off = Counter(), 0.0
+    for t, r in enumerate(plan[:dry], 1):
+        done[r["source"]] += 1
+        off = max(off, *(abs(done[s] - t * w) for s, w in weight.items()))
+    assert off < 1.5 and {r["period"] for r in plan} == {len(plan)}
+
+
 def test_warc(spark):
     big = "ü" * 700
     rows = [(1, "u1", big), (2, "u\r\n2", big), (3, None, "x" * 999), (4, "u4", "x" * 999), (5, "u5", None), (6, "u6", ""), (7, "u7", big + "!"), (7, "u7", big + "!")]
