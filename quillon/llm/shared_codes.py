@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from . import blocks, store
 
 CHUNK_CODES = 1 << 20
+RANGE_BYTES = 16 << 20  # of documents, for each range of codes
+MOST_BITS = 16
 _PACKED = "slot int, kind int, ids binary, keys binary, sizes binary, codes binary"
 _OUT = "target int, kind int, ids binary, keys binary, sizes binary, codes binary"
 
@@ -62,7 +64,7 @@ def _pack(ids: list, keys: list, sizes: list, codes: list, bits: int) -> Iterato
         starts = np.r_[0, np.flatnonzero(np.diff(slot)) + 1, len(slot)]
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             own, count = np.unique(owner[a:b], return_counts=True)
-            rest = flat[a:b] << np.uint64(bits)
+            rest = (flat[a:b] & ~np.uint64(1)) << np.uint64(bits)  # the flag travels apart
             body = (rest >> np.uint64(32)).astype(np.uint32).tobytes() + (((rest >> np.uint64(16)) & np.uint64(0xFFFE)) | (flat[a:b] & np.uint64(1))).astype(np.uint16).tobytes()
             rows.append((int(slot[a]), 1, b"", doc_keys[kept[own]].tobytes(), count.astype(np.uint32).tobytes(), body))
     for at in range(0, len(rows), 256):
@@ -140,12 +142,21 @@ def _counter(bits: int):
 
 def visible(codes: np.ndarray, bits: int) -> np.ndarray:
     """Codes as count() reports them: the bits that are carried, bit 0 clear."""
-    low = max(0, 17 - bits)
+    low = max(1, 17 - bits)
     return (codes >> np.uint64(low)) << np.uint64(low)
 
 
-def carried_bits(spark) -> int:
-    return _bits(store.parallelism(spark, 16))
+def carried_bits(documents: DataFrame) -> int:
+    """Leading bits that name a range: ranges follow the bytes that Spark expects of the documents.
+
+    Never fewer ranges than spark.sql.shuffle.partitions, and never more than 2**MOST_BITS, with which a
+    chunk still packs some 16 codes a row; 100 TB then make ranges of some 200 MB.
+    """
+    spark = documents.sparkSession
+    expected = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if expected >= 1 << 56:  # what Spark says of frames it knows nothing of
+        expected = 0
+    return min(MOST_BITS, max(_bits(store.parallelism(spark, 16)), (expected // RANGE_BYTES).bit_length()))
 
 
 def count(documents: DataFrame, make: Callable[[blocks.Slice], Coded], name: str) -> tuple[DataFrame, int]:
@@ -154,7 +165,7 @@ def count(documents: DataFrame, make: Callable[[blocks.Slice], Coded], name: str
     Rows of kind 0 list documents (ids, keys, sizes), rows of kind 1 shared codes (keys, codes, and in
     sizes the number of distinct texts that hold the code). Documents of one key share a target.
     """
-    bits = carried_bits(documents.sparkSession)
+    bits = carried_bits(documents)
     packed = documents.mapInArrow(_packer(make, bits), _PACKED)
     return store.table(packed.groupBy("slot").applyInArrow(_counter(bits), _OUT), name), bits
 

@@ -8,10 +8,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, mixing, multi_index, ngram_join, passage_dedup, pii, quality, secrets, substring_dedup, suffixes, warc
+from quillon.llm import decontaminate, mixing, multi_index, ngram_join, passage_dedup, pii, quality, secrets, shared_codes, substring_dedup, suffixes, warc
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, size string, label string"
@@ -78,6 +79,32 @@ def test_repeats(spark, run, length, words):
     assert run(frame(spark, rows).limit(0), length=length).count() == 0
 
 
+@pytest.mark.parametrize("bits", [0, 4, 8, 15, 16, 17, 18, 19, 20])
+def test_shared_codes_at_any_number_of_ranges(bits):
+    rng = np.random.default_rng(bits)
+    pool = rng.integers(0, 2**64, 600, dtype=np.uint64) & ~np.uint64(1)
+    texts = [np.unique(pool[rng.integers(0, 600, 200)]) for _ in range(4)]
+    twice = [rng.integers(0, 2, len(t), dtype=np.uint64) for t in texts]
+    keys = rng.integers(0, 2**64, 4, dtype=np.uint64)
+    packed = pa.concat_tables([pa.Table.from_batches([b]) for b in shared_codes._pack([np.arange(4)], [keys], [np.array([len(t) for t in texts])], [t | f for t, f in zip(texts, twice, strict=True)], bits)])
+    slots = packed.column("slot").to_pylist()
+    run = shared_codes._counter(bits)
+    names = ["target", "kind", "ids", "keys", "sizes", "codes"]
+    counted = pa.concat_tables([run(packed.filter(pa.array([s == slot for s in slots]))).rename_columns(names) for slot in sorted(set(slots))])
+    got = shared_codes.gather(counted)
+    seen = Counter(c for t in texts for c in t.tolist())
+    for i, key in enumerate(got.keys):
+        own = int(np.flatnonzero(keys == key)[0])
+        want = np.array([c for c, f in zip(texts[own].tolist(), twice[own].tolist(), strict=True) if seen[c] > 1 or f], np.uint64)
+        assert set(got.codes[got.of[i] : got.of[i + 1]].tolist()) == set(shared_codes.visible(want, bits).tolist())
+
+
+@pytest.mark.parametrize(("run", "length", "words"), [(substring_dedup.remove_repeated_bytes, 400, False), (passage_dedup.remove_repeated_passages, 35, True)])
+def test_repeats_beyond_65536_ranges(spark, run, length, words, monkeypatch):
+    monkeypatch.setattr(shared_codes, "carried_bits", lambda documents: 18)
+    test_repeats(spark, run, length, words)
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_indexes(seed):
     rng = np.random.default_rng(seed)
