@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -218,29 +220,57 @@ def test_mixing(spark):
     assert "mix_slot_" in mixing.mix(frame(spark, rows[:3]).withColumn("mix_slot", F.lit("x"))).columns
 
 
-def test_schedule_deviates_by_less_than_one_block(spark):
-    sizes = spark.createDataFrame([("a", 100), ("b", 4900), ("c", 40000), ("d", 1)], "source string, chars long")
-    plan = mixing.schedule(sizes).orderBy("slot").collect()
+def earliest_deadlines(blocks: dict[str, int], parts: dict[str, int]) -> list[tuple]:
+    """The schedule by the definition, in fractions: (source, block, release, deadline, phase) of every slot."""
+    left, out, number = dict(blocks), [], Counter()
+    phase = start = 0
+    done: Counter = Counter()
+    while any(left.values()):
+        weight = {s: Fraction(parts[s], sum(parts[x] for x in left if left[x])) for s in left if left[s]}
+        at = len(out) - start
+        able = [(math.ceil((done[s] + 1) / w), s) for s, w in weight.items() if math.floor(done[s] / w) <= at]
+        deadline, s = min(able)
+        out.append((s, number[s], start + math.floor(done[s] / weight[s]), start + deadline, phase))
+        assert at < deadline
+        done[s], left[s], number[s] = done[s] + 1, left[s] - 1, number[s] + 1
+        assert all(abs(done[x] - (at + 1) * w) < 1 for x, w in weight.items())
+        if not left[s]:
+            phase, start, done = phase + 1, len(out), Counter()
+    return out
+
+
+@pytest.mark.parametrize("chars", [{"a": 100, "b": 4900, "c": 40000, "d": 1}, {f"s{i:02}": 60 * (i + 1) ** 2 for i in range(40)}, {"only": 5}, {"x": 10_000, "y": 10_000, "z": 10_000}])
+@pytest.mark.parametrize("weighted", [False, True])
+def test_schedule_follows_the_definition(spark, chars, weighted):
+    names = sorted(chars)
+    given = {s: 1 / (i + 3) for i, s in enumerate(names)} if weighted else {s: math.sqrt(n) for s, n in chars.items()}
+    weights = spark.createDataFrame([*given.items(), ("absent", 2.0)], "source string, weight double") if weighted else None
+    got = mixing.schedule(spark.createDataFrame(list(chars.items()), "source string, chars long"), weights, 100).orderBy("slot").collect()
+    parts = {s: max(1, round(given[s] / sum(given.values()) * mixing.PARTS)) for s in names}
+    want = earliest_deadlines({s: -(-chars[s] // 100) for s in names}, parts)
+    assert [r["slot"] for r in got] == list(range(len(want)))
+    assert all(abs(r["weight"] - given[r["source"]] / sum(given.values())) < 1e-9 for r in got)
+    near = [(r["source"], r["block"], r["phase"]) for r in got]
+    assert near == [(s, b, p) for s, b, _, _, p in want] and all(abs(r["release"] - w[2]) + abs(r["deadline"] - w[3]) == 0 for r, w in zip(got, want, strict=True))
+
+
+def test_schedule_of_many_blocks_keeps_to_the_weights(spark):
+    chars = {"hot": 90_000_000, **{f"s{i}": 9_000_000 + 7919 * i for i in range(11)}}
+    got = mixing.schedule(spark.createDataFrame(list(chars.items()), "source string, chars long"), block_chars=1000).where("phase = 0").orderBy("slot").collect()
+    weight = {s: n**0.5 / sum(x**0.5 for x in chars.values()) for s, n in chars.items()}
     done = Counter()
-    for t, r in enumerate(plan, 1):
-        assert r["slot"] == t - 1
+    assert len(got) > 100_000
+    for t, r in enumerate(got, 1):
         done[r["source"]] += 1
-        assert all(abs(done[x["source"]] - t * x["share"] / x["period"]) < 1 for x in plan[:50])
+        assert r["release"] <= r["slot"] < r["deadline"]
+        assert all(abs(done[s] - t * w) < 1 + 1e-6 for s, w in weight.items())
 
 
-@pytest.mark.parametrize("count", [6, 40])
-def test_schedule_follows_the_weights_on_many_blocks(spark, count):
-    chars = {"a": 4_000_000, **{f"s{i:02}": 8_000_000 // count + 7919 * i for i in range(count)}}
-    plan = mixing.schedule(spark.createDataFrame(list(chars.items()), "source string, chars long"), block_chars=1000).orderBy("slot").collect()
-    weight = {s: n**0.5 / sum(x**0.5 for x in chars.values()) for s, n in chars.items()}
-    blocks = {s: -(-n // 1000) for s, n in chars.items()}
-    dry = min(int(blocks[s] / weight[s]) for s in chars)
-    assert 2 * dry <= len(plan)
-    done, off = Counter(), 0.0
-    for t, r in enumerate(plan[:dry], 1):
-        done[r["source"]] += 1
-        off = max(off, *(abs(done[s] - t * w) for s, w in weight.items()))
-    assert off < 1.5 and {r["period"] for r in plan} == {len(plan)}
+def test_blocks_grow_where_the_schedule_would(spark):
+    sizes = spark.createDataFrame([("a", 10**13), ("b", 3)], "source string, chars long")
+    size = mixing.block_size(sizes)
+    assert size == -(-(10**13 + 3) // mixing.MOST_BLOCKS) and -(-(10**13) // size) <= mixing.MOST_BLOCKS
+    assert mixing.block_size(sizes.limit(0)) == mixing.BLOCK_CHARS
 
 
 def test_warc(spark):
