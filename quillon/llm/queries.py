@@ -17,7 +17,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_private(_read(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return pii.replace_private(_read(spark, sf_dir, "documents").select("doc_id", "text"), pii.key_of(spark), counts=True)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,27 +139,79 @@ def test_secrets(spark, tmp_path):
     assert spark.read.parquet(ledger).where("rule = 'hex@2'").count() == 6 and spark.read.parquet(ledger).count() == 24
 
 
+KEY = b"a key for tests"
+
+
 def test_pii(spark):
-    texts = ["Mail a.b@mail7.example.com or A.B@mail7.example.com, a.b@mail7.example.com!", "call +1 (852) 555-5043 4186133740741811", "72.162.198.226 then 10.0.0.1 and 4.0", "Mrs. Anna Smith met Mr. Smith; Frau Müller", "GB82 WEST 1234 5698 7654 32, 123-45-6789", None, "", "x" * 20000]
+    texts = ["Mail a.b@mail7.example.com or A.B@mail7.example.com, c.b@mail7.example.com!", "call +1 (852) 555-5043 4186133740741811", "72.162.198.226 then 10.0.0.1 and 4.0", "Mrs. Anna Smith met Mr. Smith; Frau Müller. Later ANNA SMITH left, and Anna's aunt", "GB82 WEST 1234 5698 7654 32, 123-45-6789", None, "", "x" * 20000]
     rows = list(enumerate(texts * 2))
-    got = {r["doc_id"]: r for r in pii.replace_private(frame(spark, rows), counts=True).collect()}
+    table = frame(spark, rows).withColumn("n_email", F.lit("own"))
+    done = pii.replace_private(table, KEY, counts=True)
+    assert done.columns[: len(table.columns) + 1] == [*table.columns, "n_email_"]
+    got = {r["doc_id"]: r for r in done.collect()}
     for i in range(len(texts)):
         a, b = got[i]["text"], got[i + len(texts)]["text"]
         assert a == b and (a is None) == (texts[i] is None)
-    assert got[7]["text"] == texts[7] and got[6]["text"] == ""
+    assert got[7]["text"] == texts[7] and got[6]["text"] == "" and got[0]["n_email_"] == 3 and got[0]["n_email"] == "own"
     mails = re.findall(r"[\w.]+@[\w.]+\w", got[0]["text"])
-    assert mails[0] == mails[2] != mails[1] and all(m.endswith(".example.com") and re.fullmatch(r"[a-zA-Z]\.[a-zA-Z]", m.split("@")[0]) for m in mails) and "mail7" not in got[0]["text"]
+    assert mails[0].upper() == mails[1].upper() and mails[0] != mails[1] and mails[1][0].isupper() and mails[2] != mails[0]
+    assert all(m.endswith(".example.com") and re.fullmatch(r"[a-zA-Z]\.[a-zA-Z]", m.split("@")[0]) for m in mails) and "mail7" not in got[0]["text"]
     phone, card = re.fullmatch(r"call (\+1 \(\d{3}\) \d{3}-\d{4}) (\d{16})", got[1]["text"]).groups()
     assert phone != "+1 (852) 555-5043" and card != "4186133740741811" and pii.luhn(card) and card[0] == "4"
     assert re.fullmatch(r"[\d.]+ then 10\.[\d.]+ and 4\.0", got[2]["text"]) and "72.162" not in got[2]["text"] and got[2]["n_ip"] == 2
-    names = re.fullmatch(r"Mrs\. (\w+) (\w+) met Mr\. (\w+); Frau (\w+)", got[3]["text"]).groups()
-    assert names[0].endswith("ia") and names[1] == names[2] and "Smith" not in names and got[3]["n_name"] == 4
+    names = re.fullmatch(r"Mrs\. (\w+) (\w+) met Mr\. (\w+); Frau (\w+)\. Later (\w+) (\w+) left, and (\w+)'s aunt", got[3]["text"]).groups()
+    assert names[0].endswith("ia") and names[1] == names[2] and names[4:] == (names[0].upper(), names[1].upper(), names[0]) and got[3]["n_name"] == 7
+    assert not set(re.findall(r"\w+", texts[3].casefold())) & {n.casefold() for n in names} and all(abs(len(n) - len(o)) <= 3 for n, o in zip(names, ("Anna", "Smith", "Smith", "Müller"), strict=False))
     iban = got[4]["text"].split(",")[0].replace(" ", "")
     assert pii._iban_rest(iban) == 1 and iban != "GB82WEST12345698765432" and got[4]["n_ssn"] == 1
-    made = pii.Surrogates()
+    made = pii.Surrogates(KEY)
     assert sorted(made.step(b"t", x, 97) for x in range(97)) == list(range(97)) and all(made.step(b"t", x, 97) != x for x in range(97))
     assert len({made.of("email", f"{c}@x.org") for c in "abcdefghijklmnopqrstuvwxyz"}) == 26
-    assert pii.replace_private(frame(spark, []), counts=True).count() == 0
+    assert made.of("email", "a@x.org") != pii.Surrogates(b"another").of("email", "a@x.org")
+    assert pii.replace_private(frame(spark, []), KEY, counts=True).count() == 0
+
+
+@pytest.mark.parametrize("form", ["+15551234567", "555 123 4567", "+33 6 12 34 56 78", "06 12 34 56 78", "+49 30 1234567", "+49 170 1234567", "(852) 555-5043", "0612345678", "030 12345678", "+44 (0)20 7946 0958"])
+def test_forms_of_phones(form):
+    new, found = pii.Surrogates(KEY).rewrite(f"Call {form}, or not.")
+    assert found == {"phone": 1} and form not in new and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", f"Call {form}, or not.")
+
+
+def test_forms_of_mails_and_plain_numbers():
+    made = pii.Surrogates(KEY)
+    for text in ("汉" * 70 + "bob@mail.example.com联系", "x" * 100 + ".bob@mail.example.com", "jörg@müller.de", "J.Doe+news@sub.example.org"):
+        new, found = made.rewrite(text)
+        assert found == {"email": 1} and len(new) == len(text) and new.count("@") == 1 and "bob@" not in new and "rg@m" not in new and "Doe" not in new
+    for text in ("on 01.02.2024 and 02-03-2024 at 08:30", "1 000 000 or 3.14 and 2024-01-02", "no @ here @x", "a" * 5000, "Smith went home"):
+        assert made.rewrite(text) == (text, Counter())
+
+
+def test_coreference_of_phones():
+    made = pii.Surrogates(KEY)
+    digits = lambda t: "".join(re.findall(r"\d", t))
+    one = [digits(made.of("phone", t))[-10:] for t in ("+1 (852) 555-5043", "(852) 555-5043", "852-555-5043", "852 555 5043", "+18525555043")]
+    assert len(set(one)) == 1 and one[0] != "8525555043"
+    two = [digits(made.of("phone", t))[-9:] for t in ("+33 6 12 34 56 78", "06 12 34 56 78", "0612345678")]
+    assert len(set(two)) == 1 and digits(made.of("phone", "+33 6 12 34 56 78"))[:2] == "33" and made.of("phone", "06 12 34 56 78")[0] == "0"
+
+
+def test_distinctness_and_coreference_over_a_corpus(spark):
+    rng = random.Random(7)
+    first, last = [f"{a}{b}".capitalize() for a in ("an", "be", "cor", "dil", "eve") for b in ("na", "ro", "lia", "mun", "s")], [f"{a}{b}".capitalize() for a in ("smi", "jon", "tay", "bro") for b in ("th", "es", "lor", "wn")]
+    rows, said = [], []
+    for i in range(120):
+        parts = [("name", rng.choice(first)), ("name", rng.choice(last)), ("email", f"{rng.choice(first).lower()}{rng.randrange(9)}@site{rng.randrange(4)}.org"), ("phone", f"({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"), ("ip", f"77.{rng.randrange(256)}.0.{rng.randrange(256)}")]
+        said.append(parts)
+        rows.append((i, f"Ms. {parts[0][1]} {parts[1][1]} | {parts[2][1]} | {parts[3][1]} | {parts[4][1]}"))
+    got = {r["doc_id"]: r["text"] for r in pii.replace_private(frame(spark, rows), KEY).collect()}
+    to, back = {}, {}
+    for i, parts in enumerate(said):
+        name, *rest = got[i].removeprefix("Ms. ").split(" | ")
+        for (kind, old), new in zip(parts, [*name.split(" "), *rest], strict=True):
+            assert to.setdefault((kind, old), new) == new  # one surrogate for a value, everywhere
+            assert back.setdefault((kind, new), old) == old  # and one value for a surrogate
+    for kind in ("name", "email", "phone", "ip"):  # none is a value of the corpus
+        assert not {o.casefold() for k, o in to if k == kind} & {n.casefold() for k, n in back if k == kind}
 
 
 def test_decontamination(spark):
