@@ -25,6 +25,7 @@ from . import blocks
 
 WINDOW = 12
 LEAST_LITERALS = 8  # in a window
+FEWEST_LITERALS = 4  # in a window of an item none of whose windows has more
 TABLE_WINDOWS = 1 << 20  # benchmark windows that one pass over the documents holds
 CHUNK = 1 << 15  # windows whose choices of names are worked out at once
 GAPS = (1, 2, 3)
@@ -67,22 +68,26 @@ class Canonical:
         fixed = ~self.either & (self.codes != NAME)
         return [np.r_[0, np.cumsum(fixed[:-gap] & fixed[gap:] & ~known[(self.pairs(gap) & np.uint64(len(known) - 1)).astype(np.int64)])] for gap in GAPS]
 
-    def windows(self, size: int, least: int, known: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(start, hash) of the windows inside a row: plain ones, and canonical ones with enough literals.
+    def literals(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each window lies inside a row, and how many of its words are literals."""
+        literal = np.r_[0, np.cumsum(self.codes > NAME)]
+        return blocks.whole(self.of, len(self.codes), size), literal[size:] - literal[:-size]
+
+    def windows(self, size: int, least: int, fewest: int, known: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(start, hash) of the windows inside a row: plain ones, and canonical ones with at least `fewest` literals.
 
-        A window comes once for each choice of its words that may be names and leaves enough literals. With
+        A window comes again for each choice of its words that may be names and leaves `least` literals. With
         known, the pairs of the benchmark, windows with a pair that is not among them are not tried further.
         """
         n = len(self.codes) - size + 1
         if n <= 0:
             return
-        literal = np.r_[0, np.cumsum(self.codes > NAME)]
-        literals = literal[size:] - literal[:-size]
-        whole = blocks.whole(self.of, len(self.codes), size)
+        whole, literals = self.literals(size)
         plain = np.flatnonzero(whole & (literals < size))  # without slots it is the canonical one
         yield plain, blocks.window_hashes(self.plain, size)[plain]
-        many = np.flatnonzero(whole & (literals >= least))
+        many = np.flatnonzero(whole & (literals >= fewest))
         yield many, blocks.window_hashes(self.codes, size)[many]
+        many = many[literals[many] >= least]
         either = np.r_[0, np.cumsum(self.either)]
         free = np.minimum(either[size:] - either[:-size], literals - least)
         place = np.flatnonzero(self.either)
@@ -114,17 +119,12 @@ def canonical(part: blocks.Slice) -> Canonical:
     if not len(found.start):
         return Canonical(*[np.zeros(0, np.uint64)] * 3, np.zeros(0, bool), found.of)
     data, low = part.data, blocks.lowered(part.data)
-    start, end = found.start.copy(), found.end.copy()
-    for _ in range(4):
-        trim = (end - start > 1) & _PUNCT[data[start]]
-        if not trim.any():
-            break
-        start[trim] += 1
-    for _ in range(4):
-        trim = (end - start > 1) & _PUNCT[data[end - 1]]
-        if not trim.any():
-            break
-        end[trim] -= 1
+    # Outer punctuation goes; of a word of nothing else its last character stays.
+    solid = np.flatnonzero(~_PUNCT[data])
+    ahead, behind = np.searchsorted(solid, found.start), np.searchsorted(solid, found.end) - 1
+    some = behind >= ahead
+    start, end = found.end - 1, found.end.copy()
+    start[some], end[some] = solid[ahead[some]], solid[behind[some]] + 1
     plain = blocks.range_hashes(blocks.byte_codes(low), start, end)
     codes = plain.copy()
     values = blocks.range_hashes(blocks.byte_codes(data), start, end)
@@ -166,7 +166,9 @@ def _tables(benchmark: DataFrame, size: int, least: int) -> Iterator[Table]:
         own = min(size, len(can.codes))
         if not own:
             continue
-        start, hashes = map(np.concatenate, zip(*can.windows(own, _literals(own, size, least)), strict=True))
+        enough, fewest = _literals(own, size, least), _literals(own, size, min(least, FEWEST_LITERALS))
+        most = int(can.literals(own)[1].max())  # of an item of many numbers and names the windows with most literals stand for it
+        start, hashes = map(np.concatenate, zip(*can.windows(own, enough, enough if most >= enough else max(fewest, most)), strict=True))
         held.append((row["item_id"], can, own, start, hashes))
         total += len(start)
         if total >= TABLE_WINDOWS:
@@ -276,7 +278,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     n_words: of the longest consistent alignment; n_slots and n_equal: its slots, and those whose value
     is the item's own. An item of fewer than `size` words is looked for as a whole, so one of a single word
     is found wherever the word stands. Windows with fewer than `least` literals (short items: the same part
-    of their words) count where the words are the item's own. Null and empty texts and items hold and give
+    of their words) count where the words are the item's own; where no window of an item has so many, those
+    with the most stand for it, if that is FEWEST_LITERALS at least. Null and empty texts and items hold and give
     no passage; null ids are left out. Each pair of ids appears once, also for repeated rows.
     """
     spark = documents.sparkSession
@@ -297,7 +300,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW,
                     can = canonical(part)
                     met, sought = [], can.settled(table.pairs)
                     for own, (known, _, _) in table.sizes.items():
-                        for start, hashes in sought.windows(own, _literals(own, size, least), table.pairs):
+                        for start, hashes in sought.windows(own, _literals(own, size, least), _literals(own, size, min(least, FEWEST_LITERALS)), table.pairs):
                             hit = np.flatnonzero(seen[own][(hashes & np.uint64(0xFFFFF)).astype(np.int64)])
                             hit = hit[known[np.minimum(np.searchsorted(known, hashes[hit]), len(known) - 1)] == hashes[hit]]
                             if len(hit):

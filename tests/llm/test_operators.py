@@ -231,10 +231,42 @@ def test_decontamination_of_short_items_and_few_literals(spark):
     rows = [(i, f"Some words before. {t} And some after") for i, t in enumerate(items)]
     rows += [(10, items[0].replace("12", "13").replace("40", "41").replace("18", "19")), (11, "how many legs do four spiders have in total"), (12, "Please name the capital of Peru."), (13, "Name the capital of Chad now"), (14, " ".join(f"Name{i} {i + 50}" for i in range(40))), (15, None), (16, "")]
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(frame(spark, rows), bench).collect()}
-    assert set(got) == {(i, i) for i in range(5)} | {(12, 3), (13, 3)}
+    assert set(got) == {(i, i) for i in range(5)} | {(10, 0), (12, 3), (13, 3)}
+    assert got[10, 0]["n_equal"] < got[10, 0]["n_slots"]
     assert got[0, 0]["n_words"] == 18 and got[2, 2]["n_words"] == 9 and got[13, 3]["n_equal"] == 0 and got[12, 3]["n_equal"] == 1
 
 
+NOUNS = ["apples", "pears", "coins", "books", "stamps"]
+FRAMES = [
+    "{A} has {x1} {n} and {x2} {m}. How many are there?", "{A} gave {B} {x1} {n} at school. Then {B} lost {x2} of them on the way home. How many {n} does {B} have now?",
+    "A train runs {x1} km in {x2} hours and then {x3} km in {x4} hours. What is its mean speed over the whole way?", "What is {x1} + {x2} - {x3} * {x4} + {x1} / {x2} - {x3} + {x4} ?",
+]
+
+
+def filled(frame_: str, rng: random.Random, n: str, m: str) -> str:
+    people, numbers = rng.sample(["Ann", "Bob", "Cyr", "Dora", "Emil", "Fay"], 2), rng.sample(range(2, 99), 4)
+    return frame_.format_map({"A": people[0], "B": people[1], "n": n, "m": m, **{f"x{i}": x for i, x in enumerate(numbers, 1)}})
+
+
+def test_decontamination_of_templates_with_new_values(spark):
+    """By brute force over frames: a text holds the items of its own frame that share 12 words with it but for names and
+    numbers (those of the second frame do, whatever its nouns), and no others."""
+    rng = random.Random(11)
+    kinds = [(f, n, m) for f in FRAMES for n, m in (("apples", "pears"), ("coins", "books"))]
+    kinds = [k for i, k in enumerate(kinds) if "{n}" in k[0] or i % 2 == 0]  # one item of each frame without nouns
+    items = [filled(f, rng, n, m) for f, n, m in kinds]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows, want = [], set()
+    for i, (f, n, m) in enumerate(kinds):
+        for j in range(4):
+            rows.append((10 * i + j, f"Some words go before it here. {filled(f, rng, n, m)} And others follow it there."))
+            want |= {(10 * i + j, k) for k, kind in enumerate(kinds) if kind == kinds[i] or kind[0] == f == FRAMES[1]}
+    rows += [(1000 + i, filled(f, rng, "stamps", "lamps")) for i, f in enumerate(FRAMES[:2])]
+    want |= {(1001, k) for k, kind in enumerate(kinds) if kind[0] == FRAMES[1]}
+    rows += [(1010, "There are 12 + 7 - 3 reasons"), (1011, "A train runs late in 3 hours and then 4 km of it stand")]
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame(spark, rows), bench).collect()} == want
+
+
 def test_decontamination_of_names_that_begin_sentences(spark):
     items = ["Tom has 5 red apples. Sara gives Tom 7 more at school. Tom then eats 3 of the apples. How many apples are left?", "Mary paints every fence post along the old river road before winter"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
