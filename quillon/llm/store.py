@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_made: dict[str, set[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder of this machine only where the session names none (tests)."""
+    """spark.checkpoint.dir; a temporary folder of this machine only where a local session names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="quillon-")
@@ -30,10 +33,20 @@ def table(frame: DataFrame, name: str) -> DataFrame:
     """frame written once and read back: its lineage ends here, and lost executors cost no recomputation."""
     spark = frame.sparkSession
     path = new_path(spark, name)
+    _made.setdefault(spark.sparkContext.applicationId, set()).add(path)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def clear(spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete the tables written so far but for those that keep reads. Frames that read others can't be used any more."""
+    made = _made.get(spark.sparkContext.applicationId, set())
+    used = {f.rsplit("/", 1)[0] for frame in keep for f in frame.inputFiles()}
+    for path in [p for p in made if not any(u.endswith(p.split("://")[-1]) or u == p for u in used)]:
+        remove(spark, path)
+        made.discard(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder, whatever store it is in."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
