@@ -88,7 +88,8 @@ def scan(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...]
     else:
         new.write.mode("append").parquet(ledger)
         known = spark.read.schema(new.schema).parquet(ledger)
-    merged = known.where(F.col("rule").isin([r.name for r in rules])).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("found"))
+    # Runs that overlap may both append a pair; it counts once.
+    merged = known.where(F.col("rule").isin([r.name for r in rules])).dropDuplicates(["blob", "rule"]).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("found"))
     return paths.join(merged, "blob")
 
 
