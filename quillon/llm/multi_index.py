@@ -11,6 +11,7 @@ ones to blocks, in which pairs are counted and contracted to stars, never listed
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,8 +24,10 @@ from . import store
 
 THRESHOLD = 0.98
 TARGET = 0.995  # share of partners at the threshold that a query's own cells have to hold
-SAMPLE = 8192  # vectors that the codebooks and the number of visits are fitted on
-CODES = 24  # of a codebook
+SAMPLE = 8192  # vectors that the codebooks and the number of visits are fitted on; 16 for each code if that is more
+CODES = 24  # of a codebook at least
+MOST_CODES = 4096
+CELL = 9  # vectors of the largest label that a cell holds on average, if MOST_CODES allow it
 BLOCK = 1024  # entries of a cell group on either side of a block
 _HOMES = "key long, label int, dim int, n long, vector binary, code1 int, code2 int, visits array<int>"
 
@@ -60,10 +63,11 @@ def _codebook(points: np.ndarray, codes: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     book = points[rng.choice(len(points), min(codes, len(points)), replace=False)].copy()
     for _ in range(12):
-        near = ((book * book).sum(1) - 2 * points @ book.T).argmin(1)
-        for c in range(len(book)):
-            if (own := near == c).any():
-                book[c] = points[own].mean(0)
+        norms = (book * book).sum(1)
+        near = np.concatenate([(norms - 2 * points[at : at + 4096] @ book.T).argmin(1) for at in range(0, len(points), 4096)])
+        sums, count = np.zeros_like(book), np.bincount(near, minlength=len(book))
+        np.add.at(sums, near, points)
+        book[count > 0] = sums[count > 0] / count[count > 0, None]
     return book
 
 
@@ -184,10 +188,12 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
     entries = valid.groupBy("key").agg(F.first("label").alias("label"), F.first("dim").alias("dim"), F.count("*").alias("n"), F.first("vector").alias("vector"), F.min("vec_id").alias("least"))
     entries = store.table(entries, "entries")
     indexes: dict[int, Index] = {}
-    for row in entries.select("dim").distinct().orderBy("dim").toLocalIterator():
-        # At most SAMPLE vectors of each length, those of least hash.
-        sample = entries.where(F.col("dim") == row["dim"]).select("vector").orderBy(F.xxhash64("vector")).limit(SAMPLE).toArrow()
-        indexes[row["dim"]] = fit(_units(sample.column(0).to_pylist()), threshold=threshold)
+    largest = entries.groupBy("dim", "label").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n"))
+    for row in largest.orderBy("dim").collect():  # a row for each length
+        # A label's cells grow with it, so a cell and what is compared with it do not. A bounded sample, of least hash.
+        codes = min(MOST_CODES, max(CODES, math.isqrt(row["n"] // CELL)))
+        sample = entries.where(F.col("dim") == row["dim"]).select("vector").orderBy(F.xxhash64("vector")).limit(max(SAMPLE, 16 * codes)).toArrow()
+        indexes[row["dim"]] = fit(_units(sample.column(0).to_pylist()), codes, threshold)
     share = spark.sparkContext.broadcast(indexes)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
