@@ -15,6 +15,8 @@ parity bitmaps leave the similarity possible are verified, exactly.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +29,7 @@ PERCENT = 75
 LENGTHS = (1, 2, 3, 4, 6, 8, 12, 16)
 VERIFY_COST = 20  # list entries that one verification costs
 BITMAP_BITS = 1024
-BLOCK = 2048  # list entries in one block of a long list
+BLOCK = 1024  # list entries on either side of a block of a long list
 _PROFILE = "key long, size long, need long, center double, prefix array<long>, codes array<long>, bitmap binary"
 
 
@@ -102,11 +104,11 @@ def _across(percent: int):
         return out
 
     def run(group: pa.Table) -> pa.Table:
-        cols = {c: group.column(c).to_numpy() for c in ("token", "low", "high", "part", "key", "label", "size", "own")}
+        cols = {c: group.column(c).to_numpy() for c in ("token", "class", "low", "high", "part", "key", "label", "size", "own")}
         maps = group.column("bitmap").to_pylist()
-        order = np.lexsort((cols["high"], cols["low"], cols["token"]))
+        order = np.lexsort((cols["high"], cols["low"], cols["class"], cols["token"]))
         changed = np.zeros(len(order), bool)
-        for c in ("token", "low", "high"):
+        for c in ("token", "class", "low", "high"):
             changed[1:] |= np.diff(cols[c][order]) != 0
         found = set()
         for rows in np.split(order, np.flatnonzero(changed)):
@@ -135,6 +137,40 @@ def _across(percent: int):
     return run
 
 
+def blocks_of_lists(lists: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """lists (token, key, size, label, ...) of several labels, with class, part, low and high: their blocks.
+
+    Only pairs of different labels and of sizes near each other matter. So a list of more than a block is
+    split into classes of size, each with the next smaller one, and in a class into the members of its most
+    common label, which no block pairs off, and the others. A block takes a part of either (low) with one
+    of the others (high); parts of the common label have numbers below zero. A list in which one
+    component prevails costs its own length and that of the others, not its square.
+    """
+    mixed = lists.groupBy("token", "label").agg(F.count("*").alias("n"))
+    mixed = mixed.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1").select("token", (F.col("n") > block).alias("long"))
+    step = math.log(100 / percent)
+    rows = lists.join(mixed, "token")
+    own = F.when(F.col("long"), F.floor(F.log(F.col("size").cast("double")) / step + 1e-9)).otherwise(0).cast("int")
+    rows = rows.withColumn("own_class", own).withColumn("class", F.explode(F.when(F.col("long"), F.array("own_class", F.col("own_class") + 1)).otherwise(F.array("own_class"))))
+    counts = rows.groupBy("token", "class", "label").agg(F.count("*").alias("n"))
+    counts = counts.groupBy("token", "class").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
+    counts = counts.select("token", "class", F.col("top.label").alias("common"), parts(F.col("top.n")).alias("commons"), parts(F.col("n") - F.col("top.n")).alias("others"))
+    rows = rows.join(counts, ["token", "class"])
+    hashed = F.xxhash64("key")
+    is_common = F.col("label") == F.col("common")
+    rows = rows.withColumn("part", F.when(is_common, -1 - F.pmod(hashed, F.col("commons"))).otherwise(F.pmod(hashed, F.col("others"))).cast("int"))
+    # One short list: a single block of all. Else a common part meets each other part, and these each other.
+    single = (F.col("commons") == 1) & (F.col("others") == 1)
+    every = F.sequence(F.lit(0), F.col("others") - 1)
+    low_high = lambda x: F.struct(F.least("part", x).alias("low"), F.greatest("part", x).alias("high"))
+    met = F.transform(every, low_high)
+    met = F.when(is_common, met).otherwise(F.concat(met, F.transform(F.sequence(F.lit(-1), -F.col("commons"), F.lit(-1)), low_high)))
+    alone = F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))
+    rows = rows.withColumn("x", F.explode(F.when(single, alone).otherwise(met))).withColumn("part", F.when(single, 0).otherwise(F.col("part")))
+    return rows.select("token", "class", "key", "label", "size", "own", "bitmap", "part", F.col("x.low").alias("low"), F.col("x.high").alias("high"))
+
+
 def links(profile: DataFrame, percent: int) -> DataFrame:
     """(node, label): components of the profiles' keys under the similarity."""
     spark = profile.sparkSession
@@ -146,13 +182,9 @@ def links(profile: DataFrame, percent: int) -> DataFrame:
     label = store.table(components(first), "labels")
 
     lists = profile.join(label, F.col("key") == F.col("node"), "left").select("key", "size", F.coalesce("label", "key").alias("label"), F.size("codes").cast("long").alias("own"), "bitmap", F.explode("prefix").alias("token"))
-    mixed = lists.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    mixed = mixed.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    lists = lists.join(mixed, "token").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    lists = lists.select("token", "key", "label", "size", "own", "bitmap", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    dealt = blocks_of_lists(lists, percent)
     shards = store.parallelism(spark) * 2
-    lists = lists.withColumn("shard", F.pmod(F.xxhash64("token", "low", "high"), F.lit(shards)).cast("int"))
+    lists = dealt.withColumn("shard", F.pmod(F.xxhash64("token", "class", "low", "high"), F.lit(shards)).cast("int"))
     rest = lists.groupBy("shard").applyInArrow(_across(percent), "a long, b long").distinct()
     second = verified(rest, profile, percent)
     return components(first.unionByName(second))
@@ -178,15 +210,26 @@ def ngram_join(documents: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """documents without the rows that a component has besides the one of its least doc_id; null ids stay."""
-    from .store import table
-
-    spark = documents.sparkSession
-    found = table(ngram_join(documents), "components")
-    rest = documents.join(found.where("component_id <> doc_id").select(F.col("doc_id").alias("drop_id")).distinct().hint("shuffle_hash"), F.col("doc_id") == F.col("drop_id"), "left_anti")
-    twice = found.where("component_id = doc_id and n_shingles > 0").groupBy(F.col("doc_id").alias("twice_id")).count().where("count > 1").select("twice_id")
-    if twice.isEmpty():
-        return rest
-    twice = table(twice, "twice")  # one id on several rows: equal ones are copies, of which one stays
-    pairs = F.col("doc_id") == F.col("twice_id")
-    return rest.join(twice, pairs, "left_anti").unionByName(rest.join(twice, pairs, "left_semi").dropDuplicates(["doc_id"]))
+    """documents with one row of each component: of its least doc_id, and of equal ids that of least text hash.
+
+    Rows are told apart by id and text, so an id on several texts costs none of them its place. Equal rows
+    are copies, of which one stays. Rows without shingles or without an id stay, all of them.
+    """
+    taken = set(documents.columns)
+    own = "row_code"
+    while own in taken:
+        own += "_"
+    code = F.xxhash64("doc_id", "text")
+    narrow = documents.where("doc_id is not null").select("doc_id", "text", code.alias("code"))
+    found = store.table(ngram_join(narrow.select("code", "text"), "code"), "components")
+    # Of the codes of one component the first by (doc_id, code) stays; the others, and repeated rows, go.
+    ids = narrow.select("code", F.col("doc_id").alias("id")).distinct()
+    rows = found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("code"), "component_id").agg(F.count("*").alias("rows")).join(ids, "code")
+    best = rows.groupBy("component_id").agg(F.min(F.struct("id", "code")).alias("best"))
+    dropped = store.table(rows.join(best, "component_id").select("code", "rows", (F.col("code") != F.col("best.code")).alias("gone")).where("gone or rows > 1"), "dropped")
+    gone = dropped.where("gone").select(F.col("code").alias(own))
+    rest = documents.withColumn(own, F.when(F.col("doc_id").isNotNull(), code)).join(gone.hint("shuffle_hash"), own, "left_anti")
+    twice = dropped.where("not gone and rows > 1").select(F.col("code").alias(own))
+    if not twice.isEmpty():
+        rest = rest.join(twice, own, "left_anti").unionByName(rest.join(twice, own, "left_semi").dropDuplicates([own]))
+    return rest.select(*documents.columns)

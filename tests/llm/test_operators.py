@@ -37,7 +37,7 @@ def corpus(seed: int = 3) -> list[tuple[int, str | None]]:
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, t, "en", None if i % 3 else f"s{i % 4}", 0, "k", "s", "l") for i, t in rows], SCHEMA).repartition(3)
+    return spark.createDataFrame([(i, t, "en", None if (i or 0) % 3 else f"s{(i or 0) % 4}", 0, "k", "s", "l") for i, t in rows], SCHEMA).repartition(3)
 
 
 def test_ngram_join(spark):
@@ -63,6 +63,38 @@ def test_ngram_join(spark):
     assert ngram_join.ngram_join(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_blocks_of_lists_meet_every_pair_that_matters_once_or_more(spark):
+    rng = random.Random(9)
+    rows = [(1, k, size := rng.choice([8, 9, 10, 11, 13, 15, 40, 41, 90]), 7 if k % 3 else rng.randrange(20), size, b"") for k in range(400)]
+    rows += [(2, k, 10, k % 2, 10, b"") for k in range(5)] + [(3, k, 10, 1, 10, b"") for k in range(50)]
+    lists = spark.createDataFrame(rows, "token long, key long, size long, label long, own long, bitmap binary")
+    got = ngram_join.blocks_of_lists(lists, 75, block=16).collect()
+    blocks_ = {}
+    for r in got:
+        blocks_.setdefault((r["token"], r["class"], r["low"], r["high"]), []).append(r)
+    met = set()
+    for (token, _, low, high), members in blocks_.items():
+        assert len(members) < 200
+        met |= {(token, min(a["key"], b["key"]), max(a["key"], b["key"])) for a in members if a["part"] == low for b in members if b["part"] == high and a["key"] != b["key"]}
+    for i, (token, k, size, label, *_) in enumerate(rows):
+        for other, l, size_, label_, *_ in rows[:i]:
+            if token == other and label != label_ and 100 * min(size, size_) >= 75 * max(size, size_):
+                assert (token, min(k, l), max(k, l)) in met
+    assert not [x for x in met if x[0] == 3]  # of one component
+    assert len(got) < 400 * 2 * 12
+
+
+def test_keep_one_with_ids_on_several_texts(spark):
+    rng = random.Random(1)
+    one, two, three = (" ".join(rng.choices(WORDS, k=40)) for _ in range(3))
+    rows = [(5, one), (5, two), (5, one), (3, two + " more"), (None, three), (None, three), (8, three), (9, None), (9, None), (2, ""), (1, one + " again")]
+    table = frame(spark, rows).withColumns({"drop_id": F.lit(1), "twice_id": F.lit(2), "code": F.lit(3), "row_code": F.lit(4), "id": F.lit(5)})
+    kept = ngram_join.keep_one(table)
+    assert kept.columns == table.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, one + " again"), (3, two + " more"), (8, three), (None, three), (None, three), (9, None), (9, None), (2, "")], key=str)
+    assert ngram_join.keep_one(table.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize(("run", "length", "words"), [(substring_dedup.remove_repeated_bytes, 400, False), (passage_dedup.remove_repeated_passages, 35, True), (substring_dedup.remove_repeated_bytes, 40, False)])
 def test_repeats(spark, run, length, words):
     rows = corpus(5)
