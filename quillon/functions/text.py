@@ -31,6 +31,10 @@ def redirect_title(target: Column) -> Column:
     return normalized_title(F.substring_index(target, "#", 1))
 
 
+def archive_name(label: Column, prefix: str) -> Column:
+    return F.concat(F.lit(f"{prefix}-"), label, F.lit(".tar.gz"))
+
+
 def category_title(name: Column) -> Column:
     return F.when(F.startswith(name, F.lit("Category:")), name).otherwise(F.concat(F.lit("Category:"), name))
 
@@ -63,6 +67,12 @@ def snippet(text: Column, width: int, whole: bool = False) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(F.left(text, F.lit(max(1, limit - 16))), "(?U)\\s+$", ""), F.lit("... [truncated]")))
 
 
+def shortened(text: str, width: int) -> str:
+    """As snippet, of one text."""
+    limit = max(16, min(160, width - 14))
+    return text if len(text) <= limit else text[: max(1, limit - 16)].rstrip() + "... [truncated]"
+
+
 def wrapped(text: str, width: int) -> list[str]:
     """Lines of at most width characters; long words break, hyphens don't, and there is always a line."""
     return textwrap.wrap(text, max(1, width), break_long_words=True, break_on_hyphens=False) or [""]

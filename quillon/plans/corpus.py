@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import curation, extract, integrity, resolve
@@ -41,16 +42,14 @@ lines AS (SELECT page_id, unnest(string_split(raw, E'\\n')) AS line, generate_su
 marked AS (SELECT *, regexp_matches(line, '^==[^=].*==\\s*$') AS head, trim(line) = '' AS blank FROM lines),
 numbered AS (SELECT *, sum((head OR blank)::INT) OVER (PARTITION BY page_id ORDER BY pos) AS block_no, sum(head::INT) OVER (PARTITION BY page_id ORDER BY pos) AS section FROM marked),
 titles AS (SELECT page_id, section, regexp_extract(line, '^==\\s*(.*?)\\s*==\\s*$', 1) AS title FROM numbered WHERE head),
-blocks AS (SELECT page_id, block_no, section, string_agg(line, E'\\n' ORDER BY pos) AS block FROM numbered WHERE NOT (head OR blank) GROUP BY ALL),
+blocks AS (SELECT page_id, block_no, section, trim(string_agg(line, E'\\n' ORDER BY pos), ' ' || chr(9) || chr(10) || chr(13) || chr(160)) AS block FROM numbered WHERE NOT (head OR blank) GROUP BY ALL),
 placed AS (SELECT b.*, coalesce(t.title, 'Lead') AS heading FROM blocks b LEFT JOIN titles t USING (page_id, section))
 """
 
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", pseudo_wikitext(F.col("html")).alias("raw"))
-    lines = extract.block_lines(pages, "page_id", "raw")
-    blocks = extract.block_rows(lines, "page_id").join(extract.heading_paths(lines, "page_id"), ["page_id", "section"], "left")
-    return blocks.withColumn("path", F.coalesce("path", F.array(F.lit("Lead"))))
+    return extract.placed_blocks(pages, "page_id", "raw")
 
 
 @query("SELECT page_id, trim(replace(regexp_extract(url, '([^/]+)$', 1), '_', ' ')) AS title, upper(left(trim(replace(regexp_extract(url, '([^/]+)$', 1), '_', ' ')), 1)) || substr(trim(replace(regexp_extract(url, '([^/]+)$', 1), '_', ' ')), 2) AS title_key FROM pages")
@@ -59,18 +58,27 @@ def title_key_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", T.normalized_title(slug).alias("title"), T.title_key(slug).alias("title_key"))
 
 
-@query()
+@query("""
+WITH RECURSIVE cats AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS a FROM (SELECT DISTINCT source FROM documents)),
+pages AS (SELECT 0 AS phase, a, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS b, source, doc_id AS page_id, trim(replace(split_part(text, E'\\n', 1), '_', ' ')) AS title FROM documents JOIN cats USING (source)),
+named AS (SELECT 1, 0, unnest(range(3)), NULL, NULL, unnest(['Of', 'of', 'The'])),
+listed AS (SELECT *, replace(lower(title), 'ß', 'ss') AS folded, row_number() OVER (ORDER BY phase, a, b) AS k FROM (SELECT * FROM pages WHERE b <= 100 UNION ALL SELECT * FROM named)),
+fold AS (SELECT 0::BIGINT AS k, -1::BIGINT AS cat, 0 AS had, CAST([] AS BIGINT[]) AS ids, CAST([] AS VARCHAR[]) AS titles, 0 AS n, false AS new
+  UNION ALL SELECT x.k, CASE WHEN phase = 0 THEN a ELSE cat END, x.first_had, CASE WHEN good AND page_id IS NOT NULL THEN list_append(ids, page_id) ELSE ids END, CASE WHEN good THEN list_append(titles, folded) ELSE titles END, n + good::INT, good
+  FROM (SELECT listed.*, cat, ids, titles, n, CASE WHEN phase = 0 AND a <> cat THEN n ELSE had END AS first_had,
+      n < 100 AND (phase = 1 OR b <= 100 - CASE WHEN phase = 0 AND a <> cat THEN n ELSE had END) AND NOT list_contains(titles, folded) AND NOT coalesce(list_contains(ids, page_id), false) AS good
+    FROM fold JOIN listed ON listed.k = fold.k + 1) x)
+SELECT fold.n - 1 AS ord, CASE phase WHEN 0 THEN 'category or API' ELSE 'human nomination' END AS discovery_route,
+  CASE phase WHEN 0 THEN 'https://en.wikipedia.org/wiki/Category:' || source ELSE 'operator nomination' END AS discovery_reference, title AS observed_page_title, page_id AS observed_page_id
+FROM fold JOIN listed USING (k) WHERE new""")
 def greedy_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", F.left("text", F.lit(16)).alias("title"))
-    names = [r["source"] for r in docs.select("source").distinct().orderBy("source").limit(20).collect()]
-
-    def articles(category: str, limit: int):
-        rows = docs.where(F.col("source") == category.removeprefix("Category:")).orderBy("doc_id").limit(limit)
-        return [(r["doc_id"], r["title"]) for r in rows.collect()]
-
-    found = resolve.discover(names, ["Of", "of", "The"], 100, articles, "2026-01-01T00:00:00+00:00")
-    rows = [(i, d.discovery_route, d.discovery_reference, d.observed_page_title, d.observed_page_id) for i, d in enumerate(found)]
-    return spark.createDataFrame(rows, "ord int, discovery_route string, discovery_reference string, observed_page_title string, observed_page_id long")
+    """Sources are categories in order, documents their pages, first lines the titles."""
+    docs = read(spark, sf_dir, "documents")
+    names = docs.select("source").distinct()
+    order = names.withColumn("category_ord", F.row_number().over(Window.orderBy("source")) - 1)  # a row for each source
+    pages = docs.join(F.broadcast(order), "source").select(F.col("source").alias("category"), "category_ord", F.col("doc_id").alias("page_ord"), F.col("doc_id").alias("page_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
+    named = spark.createDataFrame(list(enumerate(["Of", "of", "The"])), "nomination_ord int, title string")
+    return resolve.discover(pages, named, 100)
 
 
 @query("""
@@ -88,16 +96,19 @@ def redirect_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH c AS (SELECT doc_id AS ord, CASE WHEN doc_id % 3 = 0 THEN doc_id END AS pid, 'P' || (doc_id // 2)::VARCHAR AS key FROM documents),
 p AS (SELECT page_id, 'P' || page_id::VARCHAR AS key, (page_id % 7 = 0)::INT AS ns FROM pages),
-m AS (SELECT c.*, coalesce(a.page_id, b.page_id) AS page_id, coalesce(a.ns, b.ns) AS ns FROM c LEFT JOIN p a ON c.pid = a.page_id LEFT JOIN p b ON c.key = b.key)
-SELECT coalesce(CASE WHEN page_id IS NULL THEN 'candidate absent in snapshot' WHEN page_id % 11 = 0 THEN 'redirect loop' WHEN page_id % 13 = 0 THEN 'redirect target absent' WHEN ns <> 0 THEN 'wrong namespace' END, 'acquired') AS outcome, count(*) AS n FROM m GROUP BY 1""")
+m AS (SELECT c.*, coalesce(a.page_id, b.page_id) AS page_id, coalesce(a.ns, b.ns) AS ns FROM c LEFT JOIN p a ON c.pid = a.page_id LEFT JOIN p b ON c.key = b.key),
+w AS (SELECT ord, CASE WHEN page_id IS NULL THEN 0 WHEN page_id % 11 = 0 THEN 1 WHEN page_id % 13 = 0 THEN 2 WHEN ns <> 0 THEN 3 END AS why, page_id, ns FROM m)
+SELECT ord, CASE why WHEN 0 THEN 'source scan' ELSE 'redirect resolution' END AS stage,
+  CASE why WHEN 0 THEN 'candidate absent from source snapshot' WHEN 1 THEN 'redirect loop at P' || page_id WHEN 2 THEN 'redirect target absent from source snapshot' ELSE 'namespace ' || ns || ' is outside namespace 0' END AS reason,
+  why IN (0, 2) AS recoverable FROM w WHERE why IS NOT NULL""")
 def candidate_match_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, pages = read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages")
     candidates = docs.select(F.col("doc_id").alias("ord"), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).alias("observed_page_id"), F.concat(F.lit("P"), F.floor(F.col("doc_id") / 2)).alias("title_key"))
     pages = pages.select("page_id", F.concat(F.lit("P"), "page_id").alias("title_key"), (F.col("page_id") % 7 == 0).cast("int").alias("namespace"), F.col("page_id").alias("scan_pos"))
     rows = resolve.matched(candidates, pages)
-    target = F.when(F.col("page.page_id") % 13 != 0, F.col("page.page_id"))
-    outcome = resolve.failure(F.col("page"), F.col("page.page_id") % 11 == 0, target, F.col("page.namespace"))
-    return rows.groupBy(F.coalesce(outcome, F.lit("acquired")).alias("outcome")).agg(F.count("*").alias("n"))
+    page = F.col("page.page_id")
+    why = resolve.failure(page, F.when(page % 11 == 0, F.col("page.page_key")), F.when(page % 13 != 0, page), F.col("page.namespace"))
+    return rows.select("ord", why.alias("why")).where("why is not null").select("ord", "why.*")
 
 
 @query("SELECT doc_id // 7 AS target, max(doc_id) AS candidate, arg_max(source, doc_id) AS source, min(doc_id) AS first_order FROM documents GROUP BY 1")
@@ -132,9 +143,8 @@ def whitespace_normalize_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT conv_id, turn, 'passage_' || sha256('["conv' || conv_id || '",["' || role || '"],' || turn || ']') AS passage_id FROM conversations""")
 def passage_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Ids and roles are ASCII without quotes: the JSON of identities is a plain concatenation.
-    payload = F.concat(F.lit('["conv'), "conv_id", F.lit('",["'), "role", F.lit('"],'), "turn", F.lit("]"))
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("passage_"), F.sha2(payload, 256)).alias("passage_id"))
+    own = extract.passage_ids(F.concat(F.lit("conv"), "conv_id"), F.array("role"), F.col("turn"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", own.alias("passage_id"))
 
 
 @query("SELECT doc_id, length(text) AS n, CASE WHEN length(text) <= 26 THEN text ELSE rtrim(left(text, 10), E' \\n\\t') || '... [truncated]' END AS at_40, CASE WHEN length(text) <= 66 THEN text ELSE rtrim(left(text, 50), E' \\n\\t') || '... [truncated]' END AS at_80, CASE WHEN length(text) <= 160 THEN text ELSE rtrim(left(text, 144), E' \\n\\t') || '... [truncated]' END AS at_200 FROM documents")
@@ -145,8 +155,6 @@ def snippet_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT conv_id, turn, '{"conv_id":' || conv_id || ',"next_role":' || coalesce('"' || lead(role) OVER w || '"', 'null') || ',"previous_role":' || coalesce('"' || lag(role) OVER w || '"', 'null') || ',"role":"' || role || '","turn":' || turn || '}' AS evidence FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
 def evidence_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("conv_id").orderBy("turn")
     fields = {"role": F.col("role"), "turn": F.col("turn"), "conv_id": F.col("conv_id"), "previous_role": F.lag("role").over(w), "next_role": F.lead("role").over(w)}
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", *[v.alias(f"f_{k}") for k, v in fields.items()]).select("conv_id", "turn", curation.evidence(**{k: F.col(f"f_{k}") for k in fields}).alias("evidence"))
