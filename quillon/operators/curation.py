@@ -66,26 +66,65 @@ def context(passages: DataFrame, group: str, order: str, text: str, before: int,
     return passages.withColumns({"previous": F.collect_list(text).over(w.rowsBetween(-before, -1)), "following": F.collect_list(text).over(w.rowsBetween(1, after))})
 
 
+def _kept(frame: DataFrame) -> DataFrame:
+    return frame.checkpoint() if frame.sparkSession.sparkContext.getCheckpointDir() else frame.cache()
+
+
 def progress(passages: DataFrame, group: str, order: str) -> DataFrame:
     """Numbers of group, passage in its group, and passage in all, each with its total.
 
-    Groups are numbered from their own table, and totals carried over, so no task sees all passages.
+    Groups are dealt by range and numbered inside each range; only the ranges' totals meet in one task.
     """
     sizes = passages.groupBy(group).agg(F.count("*").alias("passages"))
-    w = Window.orderBy(group)
-    sizes = sizes.select(group, "passages", F.row_number().over(w).alias("group_no"), (F.sum("passages").over(w) - F.col("passages")).alias("earlier"))
-    totals = sizes.agg(F.count("*").alias("groups"), F.sum("passages").alias("all_passages"))
+    ranges = _kept(sizes.repartitionByRange(group).withColumn("range", F.spark_partition_id()))
+    total = ranges.groupBy("range").agg(F.count("*").alias("n"), F.sum("passages").alias("p"), F.min(group).alias("least"))
+    ahead = Window.orderBy("least").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    total = total.select("range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n_ahead"), F.coalesce(F.sum("p").over(ahead), F.lit(0)).alias("p_ahead"))
+    inside = Window.partitionBy("range").orderBy(group)
+    sizes = ranges.join(F.broadcast(total), "range").select(group, "passages", (F.col("n_ahead") + F.row_number().over(inside)).cast("int").alias("group_no"), (F.col("p_ahead") + F.sum("passages").over(inside) - F.col("passages")).alias("earlier"))
+    totals = ranges.agg(F.count("*").alias("groups"), F.sum("passages").alias("all_passages"))
     rows = passages.withColumn("passage_no", F.row_number().over(Window.partitionBy(group).orderBy(order)))
     rows = rows.join(sizes, group).withColumn("overall_no", F.col("earlier") + F.col("passage_no"))
     return rows.crossJoin(F.broadcast(totals)).drop("earlier")  # one row
 
 
-def next_after(passages: DataFrame, open_: DataFrame, cursors: DataFrame, position: str) -> DataFrame:
-    """For each cursor the first open position after it, wrapping around; the cursor itself comes last."""
-    bounds = open_.agg(F.min(position).alias("first_open"))
-    ahead = cursors.select(F.col(position).alias("cursor"), F.lit(1).alias("is_cursor"), F.col(position).alias("p")).unionByName(open_.select(F.lit(None).cast("long").alias("cursor"), F.lit(0).alias("is_cursor"), F.col(position).alias("p")))
-    later = F.min(F.when(F.col("is_cursor") == 0, F.col("p"))).over(Window.orderBy("p").rangeBetween(1, Window.unboundedFollowing))
-    return ahead.withColumn("later", later).where("is_cursor = 1").crossJoin(F.broadcast(bounds)).select("cursor", F.coalesce("later", "first_open").alias("next_open"))
+def open_passages(passages: DataFrame, decisions: DataFrame, key: str, mode: str = "undecided", excluded: DataFrame | None = None) -> DataFrame:
+    """Passages that a mode still has to visit: the undecided ones, or those whose decision is to defer; none of the excluded."""
+    rows = undecided(passages, decisions, key) if mode == "undecided" else passages.join(decisions.where("action = 'defer'").select(key), key, "left_semi")
+    return rows if excluded is None else rows.join(excluded.select(key).distinct(), key, "left_anti")
+
+
+def next_after(passages: DataFrame, open_: DataFrame, cursors: DataFrame, position: str, buckets: int = 1024) -> DataFrame:
+    """For each cursor the first open position after it, wrapping around; the cursor itself comes last.
+
+    A cursor that is no passage starts at the first one. Positions are dealt by range to buckets: the next
+    one is in the cursor's bucket, else it is the least of the next bucket that has any.
+    """
+    bounds = F.broadcast(open_.agg(F.min(position).alias("first_open"), F.max(position).alias("last_open")))  # one row
+    width = F.greatest(F.lit(1), F.ceil((F.col("last_open") - F.col("first_open") + 1) / buckets))
+    bucket = F.least(F.lit(buckets), F.greatest(F.lit(-1), F.floor((F.col("p") - F.col("first_open")) / width))).cast("int")
+    known = cursors.select(F.col(position).alias("cursor")).join(passages.select(F.col(position).alias("p")).distinct(), F.col("cursor") == F.col("p"), "left")
+    rows = known.select("cursor", F.lit(1).alias("is_cursor"), "p").unionByName(open_.select(F.lit(None).cast("long").alias("cursor"), F.lit(0).alias("is_cursor"), F.col(position).alias("p")))
+    rows = rows.crossJoin(bounds).withColumn("bucket", bucket)
+    own = F.min(F.when(F.col("is_cursor") == 0, F.col("p"))).over(Window.partitionBy("bucket").orderBy("p").rangeBetween(1, Window.unboundedFollowing))
+    least = rows.where("is_cursor = 0").groupBy("bucket").agg(F.min("p").alias("least"))
+    every = passages.sparkSession.range(-1, buckets + 1).select(F.col("id").cast("int").alias("bucket")).join(F.broadcast(least), "bucket", "left")
+    later = every.select("bucket", F.min("least").over(Window.orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    rows = rows.withColumn("own", own).where("is_cursor = 1").join(F.broadcast(later), "bucket", "left")
+    return rows.select("cursor", F.coalesce("own", "later", "first_open").alias("next_open"))
+
+
+def prior_links(events: DataFrame) -> DataFrame:
+    """(id, prior_id): the active event of the same passage that a classify or defer event takes the place of.
+
+    events: id, action, passage_id, supersedes_event_id of undo events. An event counts as long as no undo
+    before this one took it back.
+    """
+    undone = events.where("action = 'undo'").select(F.col("supersedes_event_id").alias("gone_id"), F.col("id").alias("gone_at"))
+    lived = events.where("action <> 'undo'").join(undone, F.col("id") == F.col("gone_id"), "left").select("id", "passage_id", F.coalesce("gone_at", F.lit((1 << 63) - 1)).alias("until"))
+    before = F.collect_list(F.struct("id", "until")).over(Window.partitionBy("passage_id").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
+    still = F.filter(before, lambda e: e["until"] > F.col("id"))
+    return lived.select("id", F.array_max(F.transform(still, lambda e: e["id"])).alias("prior_id"))
 
 
 def resume(stored: Column, known: Column, following: Column) -> Column:

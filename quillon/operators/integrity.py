@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# Forms of release ids, backup labels, members and digests.
 RELEASE_ID = "^[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?\\z"
 BACKUP_LABEL = "^[a-z0-9][a-z0-9._-]{0,63}\\z"
+REQUIRED_PATHS = ("data/corpus/source/source-snapshot.json", "data/corpus/acquisition-result.json")
+REQUIRED_FOLDERS = ("data/discovery/", "data/corpus/articles/")
+MEMBER = "^(data/corpus/source/source-snapshot[.]json|data/corpus/acquisition-result[.]json|data/(discovery|corpus/articles)/[^/]+[.]json)\\z"
+HEX_40, HEX_64 = "^[0-9a-f]{40}\\z", "^[0-9a-f]{64}\\z"
+CONTACT = "@|^\\s*https?://"
 
 
 def violations(rows: DataFrame, subject: Column, checks: dict[str, Column]) -> DataFrame:
@@ -50,6 +58,27 @@ def out_of_order(rows: DataFrame, group: str, order: str, value: str) -> DataFra
     return rows.withColumn("before", before).where(F.col(value) <= F.col("before"))
 
 
+def dangling(events: DataFrame) -> DataFrame:
+    """Events (id, action, passage_id, supersedes_event_id) whose superseded event is no earlier classify or defer event of the passage."""
+    old = events.where("action <> 'undo'").select(F.col("id").alias("old_id"), F.col("passage_id").alias("old_passage"))
+    same = (F.col("supersedes_event_id") == F.col("old_id")) & (F.col("old_id") < F.col("id")) & (F.col("old_passage") == F.col("passage_id"))
+    return events.where("supersedes_event_id is not null").join(old, same, "left_anti")
+
+
+def out_of_phase(rows: DataFrame, group: str, order: str, rank: Column, once: tuple[int, ...]) -> DataFrame:
+    """Rows of a phase (rank) that a later one was seen before in the group, or of a phase that comes once and was there."""
+    before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("phase", rank)
+    latest = F.max("phase").over(before)
+    return rows.withColumn("latest", latest).where((F.col("phase") < F.col("latest")) | ((F.col("phase") == F.col("latest")) & F.col("phase").isin(*once)))
+
+
+def sidecar(line: Column) -> Column:
+    """(digest, name) of a sidecar's line, or null for any other form."""
+    form = "^([0-9a-f]{64})  (\\S+)\n?\\z"
+    return F.when(line.rlike(form), F.struct(F.regexp_extract(line, form, 1).alias("digest"), F.regexp_extract(line, form, 2).alias("name")))
+
+
 def zoned_timestamp(value: Column) -> Column:
     """ISO 8601 with a T and a zone, and a real moment."""
     return value.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(:[0-9]{2}([.,][0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})\\z") & F.try_to_timestamp(F.left(value, F.lit(16)), F.lit("yyyy-MM-dd'T'HH:mm")).isNotNull()
@@ -63,6 +92,25 @@ def release_id(value: Column) -> Column:
     return value.rlike(RELEASE_ID)
 
 
+def member_path(value: Column) -> Column:
+    """A path that a backup may hold, in no other spelling."""
+    return value.rlike(MEMBER) & (F.trim(value) == value) & ~F.exists(F.split(value, "/"), lambda x: x.isin("", ".", ".."))
+
+
+def contact(value: Column) -> Column:
+    return value.rlike(CONTACT)
+
+
+def label_faults(label: object) -> list[str]:
+    good = isinstance(label, str) and re.match(BACKUP_LABEL.replace("\\z", "\\Z"), label) and ".." not in label and not label.endswith((".tar", ".tar.gz", ".tgz"))
+    return [] if good else [f"bad label {label!r}"]
+
+
+def path_faults(path: str, also: str = "") -> list[str]:
+    good = path == also or (re.match(MEMBER.replace("\\z", "\\Z"), path) and not {"", ".", ".."} & set(path.split("/")) and path == path.strip())
+    return [] if good else [f"member {path!r} is not allowed"]
+
+
 def first_violation(found: DataFrame, order: list[str]) -> None:
     """Raise for the check that comes first in order, if any check failed."""
     ranks = {name: i for i, name in enumerate(order)}

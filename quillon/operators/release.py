@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import gzip
 import hashlib
 import io
 import json
 import os
+import re
 import shutil
 import tarfile
 import tempfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -20,6 +23,8 @@ from . import curation, integrity
 
 LORE = "internal lore"
 MANIFEST = "backup-manifest.json"
+PREFIX = "quillon"
+HEAD, DIGEST, SIDECAR = "[0-9a-f]{40}", "[0-9a-f]{64}", "([0-9a-f]{64})  (\\S+)\n?"
 
 
 def fingerprint(articles: list[tuple[str, str, list[tuple[str, str, list[str], int]]]]) -> str:
@@ -75,8 +80,22 @@ def selection(passages: DataFrame, events: DataFrame) -> DataFrame:
     return lore.groupBy("article_artifact_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("source_pos", "passage_id"))), lambda x: x["passage_id"]).alias("lore_passage_ids"))
 
 
-def publish(folder: Path, files: dict[str, bytes]) -> None:
-    """All files under a new folder, in one rename; FileExistsError if the folder is there or appears meanwhile."""
+def digest(path: Path) -> str:
+    with path.open("rb") as f:
+        return _hashed(f)[1]
+
+
+@contextlib.contextmanager
+def staged(copies: dict[str, Path]) -> Iterator[Path]:
+    """A folder of copies of files, for as long as it is looked at."""
+    with tempfile.TemporaryDirectory() as name:
+        for own, path in copies.items():
+            shutil.copyfile(path, Path(name, own))
+        yield Path(name)
+
+
+def publish(folder: Path, files: dict[str, bytes], copies: dict[str, Path] | None = None) -> None:
+    """All files, and copies of others, under a new folder, in one rename; FileExistsError if it is there or appears meanwhile."""
     if folder.exists():
         raise FileExistsError(folder)
     folder.parent.mkdir(parents=True, exist_ok=True)
@@ -85,6 +104,9 @@ def publish(folder: Path, files: dict[str, bytes]) -> None:
         for name, content in files.items():
             (stage / name).parent.mkdir(parents=True, exist_ok=True)
             (stage / name).write_bytes(content)
+        for name, path in (copies or {}).items():
+            (stage / name).parent.mkdir(parents=True, exist_ok=True)
+            shutil.copyfile(path, stage / name)
         try:
             os.rename(stage, folder)
         except OSError as error:
@@ -111,23 +133,63 @@ def validate_release(expected: str, found: str) -> None:
         raise ValueError("manifest is not in canonical form")
 
 
-def backup_archive(label: str, git_head: str, source: dict, members: dict[str, bytes]) -> tuple[bytes, str]:
-    """(archive, sidecar line): the same bytes for the same members, whenever and by whomever it is made."""
-    if not (0 < len(label) <= 64 and label[0].isalnum() and ".." not in label and not label.endswith((".tar", ".tar.gz", ".tgz")) and all(c in "abcdefghijklmnopqrstuvwxyz0123456789._-" for c in label)):
-        raise ValueError(f"bad label {label!r}")
-    listed = [{"path": p, "size_bytes": len(members[p]), "sha256": hashlib.sha256(members[p]).hexdigest()} for p in sorted(members)]
+def _hashed(stream) -> tuple[int, str]:
+    size, digest = 0, hashlib.sha256()
+    while block := stream.read(1 << 20):
+        size += len(block)
+        digest.update(block)
+    return size, digest.hexdigest()
+
+
+def _member(path: str, size: int) -> tarfile.TarInfo:
+    info = tarfile.TarInfo(path)
+    info.size, info.mode = size, 0o644  # owner, group and time stay 0
+    return info
+
+
+def archive_name(label: str, prefix: str = PREFIX) -> str:
+    return f"{prefix}-{label}.tar.gz"
+
+
+def write_backup(folder: Path, label: str, git_head: str, source: dict, members: dict[str, Path], prefix: str = PREFIX) -> Path:
+    """The archive of members (path in it -> file) and its sidecar, both or neither; FileExistsError over either.
+
+    The bytes follow from the members alone, whenever and by whomever it is made. Members stream through.
+    """
+    if bad := [*integrity.label_faults(label), *(f for p in members for f in integrity.path_faults(p))]:
+        raise ValueError(bad[0])
+    if not re.fullmatch(HEAD, git_head):
+        raise ValueError("no commit of 40 hexadecimal digits")
+    target = folder / archive_name(label, prefix)
+    sidecar = target.with_name(target.name + ".sha256")
+    if target.exists() or sidecar.exists():
+        raise FileExistsError(target)
+    folder.mkdir(parents=True, exist_ok=True)
+    listed = []
+    for path in sorted(members):
+        with members[path].open("rb") as f:
+            listed.append(dict(zip(("size_bytes", "sha256"), _hashed(f), strict=True), path=path))
     manifest = canonical_document({"schema_version": 1, "label": label, "git_head": git_head, "source_snapshot": source, "members": listed}).encode()
-    raw = io.BytesIO()
-    with tarfile.open(fileobj=raw, mode="w", format=tarfile.PAX_FORMAT) as tar:
-        for path, content in sorted({**members, MANIFEST: manifest}.items()):
-            info = tarfile.TarInfo(path)
-            info.size, info.mode = len(content), 0o644  # owner, group and time stay 0
-            tar.addfile(info, io.BytesIO(content))
-    packed = io.BytesIO()
-    with gzip.GzipFile(fileobj=packed, mode="wb", compresslevel=6, mtime=0, filename="") as z:
-        z.write(raw.getvalue())
-    archive = packed.getvalue()
-    return archive, f"{hashlib.sha256(archive).hexdigest()}  {label}.tar.gz\n"
+    part, note = target.with_name(target.name + ".part"), sidecar.with_name(sidecar.name + ".part")
+    try:
+        with part.open("wb") as raw, gzip.GzipFile(fileobj=raw, mode="wb", compresslevel=6, mtime=0, filename="") as packed, tarfile.open(fileobj=packed, mode="w|", format=tarfile.GNU_FORMAT) as tar:
+            sizes = {x["path"]: x["size_bytes"] for x in listed}
+            for path in sorted([*members, MANIFEST]):
+                with io.BytesIO(manifest) if path == MANIFEST else members[path].open("rb") as f:
+                    tar.addfile(_member(path, len(manifest) if path == MANIFEST else sizes[path]), f)
+        with part.open("rb") as f:
+            note.write_text(f"{_hashed(f)[1]}  {target.name}\n")
+        verify_archive(part, label_of=target.name, prefix=prefix)
+        os.link(part, target)
+        try:
+            os.link(note, sidecar)
+        except OSError:
+            target.unlink()
+            raise
+    finally:
+        part.unlink(missing_ok=True)
+        note.unlink(missing_ok=True)
+    return target
 
 
 def members_of(archives: DataFrame) -> DataFrame:
@@ -149,26 +211,77 @@ def members_of(archives: DataFrame) -> DataFrame:
     return archives.select("path", "content").mapInPandas(run, schema)
 
 
-def verify_backup(archive: bytes, sidecar: str, label: str) -> dict:
-    """The manifest of an archive whose sidecar, members, order and digests are right; else ValueError."""
-    digest, _, name = sidecar.rstrip("\n").partition("  ")
-    if len(digest) != 64 or name != f"{label}.tar.gz" or hashlib.sha256(archive).hexdigest() != digest:
-        raise ValueError("sidecar does not match")
-    with tarfile.open(fileobj=io.BytesIO(archive), mode="r:gz") as tar:
-        infos = tar.getmembers()
-        content = {m.name: tar.extractfile(m).read() for m in infos if m.isfile()}
-    names = [m.name for m in infos]
-    if names != sorted(set(names)) or len(content) != len(names):
-        raise ValueError("members are repeated, out of order or no files")
-    if any((m.uid, m.gid, m.mtime, m.mode) != (0, 0, 0, 0o644) for m in infos):
-        raise ValueError("member is not normalised")
-    if any(not all(part not in ("", ".", "..") for part in n.split("/")) or n != n.strip() for n in names):
-        raise ValueError("member path is not allowed")
-    manifest = json.loads(content.pop(MANIFEST))
-    found = [{"path": p, "size_bytes": len(c), "sha256": hashlib.sha256(c).hexdigest()} for p, c in sorted(content.items())]
-    if manifest["members"] != found or manifest["label"] != label:
+def sidecar_parts(text: str) -> tuple[str, str]:
+    """(digest, file name) of a sidecar; ValueError for any other form."""
+    found = re.fullmatch(SIDECAR, text)
+    if not found:
+        raise ValueError("sidecar is no line of a digest and a name")
+    return found[1], found[2]
+
+
+def manifest_faults(manifest: object) -> list[str]:
+    """What is wrong with a backup's manifest, first things first."""
+    if not isinstance(manifest, dict):
+        return ["manifest is no object"]
+    out = [] if type(manifest.get("schema_version")) is int and manifest["schema_version"] == 1 else ["manifest has another version"]
+    out += integrity.label_faults(manifest.get("label"))
+    out += [] if isinstance(manifest.get("git_head"), str) and re.fullmatch(HEAD, manifest["git_head"]) else ["manifest names no commit"]
+    out += [] if isinstance(manifest.get("source_snapshot"), dict) else ["manifest has no source snapshot"]
+    members = manifest.get("members")
+    if not isinstance(members, list) or not members or not all(isinstance(m, dict) for m in members):
+        return [*out, "manifest lists no members"]
+    for m in members:
+        good = isinstance(m.get("path"), str) and type(m.get("size_bytes")) is int and m["size_bytes"] >= 0 and isinstance(m.get("sha256"), str) and re.fullmatch(DIGEST, m["sha256"])
+        out += integrity.path_faults(m["path"]) if good else [f"manifest has a bad member {m.get('path')!r}"]
+    paths = [m.get("path") for m in members]
+    out += ["manifest lists a member twice"] * (len(paths) != len(set(map(str, paths)))) + ["manifest lists itself"] * (MANIFEST in paths)
+    return out + [f"manifest lacks {p}" for p in integrity.REQUIRED_PATHS if p not in paths]
+
+
+def verify_archive(archive: Path, label_of: str, prefix: str = PREFIX) -> dict:
+    """The manifest of an archive whose members, order and digests are right; else ValueError. Members stream through."""
+    held: dict[str, tuple[int, str]] = {}
+    names: list[str] = []
+    manifest = b""
+    with tarfile.open(archive, mode="r|gz") as tar:
+        for m in tar:
+            names.append(m.name)
+            if faults := integrity.path_faults(m.name, MANIFEST):
+                raise ValueError(faults[0])
+            if not m.isfile() or (m.uid, m.gid, m.mtime, m.mode & 0o7777, m.uname, m.gname) != (0, 0, 0, 0o644, "", ""):
+                raise ValueError(f"member {m.name} is not normalised")
+            if m.name == MANIFEST:
+                manifest = tar.extractfile(m).read()
+            else:
+                held[m.name] = _hashed(tar.extractfile(m))
+    if names != sorted(set(names)):
+        raise ValueError("members are repeated or out of order")
+    try:
+        document = json.loads(manifest)
+    except ValueError as error:
+        raise ValueError("manifest is no JSON") from error
+    if faults := manifest_faults(document):
+        raise ValueError(faults[0])
+    if archive_name(document["label"], prefix) != label_of:
+        raise ValueError("archive is not named after its label")
+    if missing := [p for p in (*integrity.REQUIRED_PATHS, *integrity.REQUIRED_FOLDERS) if not any(n == p or (p.endswith("/") and n.startswith(p)) for n in held)]:
+        raise ValueError(f"archive lacks {missing[0]}")
+    listed = [(m["path"], (m["size_bytes"], m["sha256"])) for m in document["members"]]
+    if listed != list(held.items()):
         raise ValueError("members do not match the manifest")
-    return manifest
+    return document
+
+
+def verify_backup(archive: Path, prefix: str = PREFIX) -> dict:
+    """The manifest of an archive that its sidecar beside it and its own members bear out; else ValueError."""
+    sidecar = archive.with_name(archive.name + ".sha256")
+    if not archive.is_file() or not sidecar.is_file():
+        raise ValueError(f"{archive} or its sidecar is missing")
+    digest, name = sidecar_parts(sidecar.read_text())
+    with archive.open("rb") as f:
+        if name != archive.name or _hashed(f)[1] != digest:
+            raise ValueError("sidecar does not match")
+    return verify_archive(archive, archive.name, prefix)
 
 
 def inventory_changes(manifest: DataFrame, files: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ class SourceError(ValueError):
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """(path, value): the dump cut after every page; readers of a compressed file share it by blocks."""
-    return spark.read.option("lineSep", "</page>").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    return spark.read.option("lineSep", "</page>").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
 def check(spark: SparkSession, path: str, database: str) -> None:
@@ -41,9 +41,14 @@ def check(spark: SparkSession, path: str, database: str) -> None:
         raise SourceError("dump is cut short")
 
 
-def pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages that have a revision, in the columns of the page table. scan_pos follows the file's order."""
-    rows = records(spark, path).withColumn("scan_pos", F.monotonically_increasing_id())
+def pages(spark: SparkSession, path: str, database: str | None = None) -> DataFrame:
+    """Pages that have a revision, in the columns of the page table; with a database, only after check().
+
+    scan_pos orders pages as they stand: by file, block of the file and row, whichever task reads which block.
+    """
+    if database is not None:
+        check(spark, path, database)
+    rows = records(spark, path).withColumn("scan_pos", F.struct("path", "block", F.monotonically_increasing_id().alias("row")))
     rows = rows.where(F.col("value").contains("<page>"))
     body = F.concat(F.regexp_replace(F.regexp_extract("value", "(<page>[\\s\\S]*)", 1), "xml:space=\"preserve\"", ""), F.lit("</page>"))
     page = F.from_xml(body, PAGE, {"rowTag": "page", "ignoreSurroundingSpaces": "false", "mode": "FAILFAST"})
