@@ -7,8 +7,10 @@ from .audit import QUERIES as _audit
 from .corpus import ORACLES as _corpus_sql
 from .corpus import QUERIES as _corpus
 from .corpus import lore_release_articles as flagship
+from .lifecycle import ORACLES as _lifecycle_sql
+from .lifecycle import QUERIES as _lifecycle
 
-QUERIES = _corpus | _audit
-ORACLES = _corpus_sql | _audit_sql
+QUERIES = _corpus | _audit | _lifecycle
+ORACLES = _corpus_sql | _audit_sql | _lifecycle_sql
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
