@@ -2,31 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-_made: dict[str, set[str]] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder of this machine only where a local session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="quillon-")
-    return _own[app]
+from ..scratch import new_path, remove, shared_folder  # noqa: F401
 
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+_made: dict[str, set[str]] = {}
 
 
 def table(frame: DataFrame, name: str) -> DataFrame:
@@ -47,12 +28,6 @@ def clear(spark: SparkSession, *keep: DataFrame) -> None:
         made.discard(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder, whatever store it is in."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def parallelism(spark: SparkSession, least: int = 8) -> int:
     """A power of two, no less than spark.sql.shuffle.partitions."""
     n = least
