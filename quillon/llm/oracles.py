@@ -32,21 +32,25 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN again TH
 FROM latest
 """
 
-#: (doc_id, n_bytes, n_removed, n_spans, kept_sha256): every window of 400 bytes, by MD5.
+#: (doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared): every window of 400 bytes, and of 256, by MD5.
 BYTES = """
 WITH texts AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS t, strlen(coalesce(text, '')) AS n FROM documents),
 places AS (SELECT doc_id, t, n, unnest(range(1, n + 1)) AS i FROM texts),
-windows AS (SELECT doc_id, i, CASE WHEN i <= n - 399 THEN md5(t[i : i + 399]) END AS window_md5 FROM places),
-repeated AS (SELECT doc_id, i, window_md5 IS NOT NULL AND count(*) OVER (PARTITION BY window_md5) > 1 AS again FROM windows),
-covered AS (SELECT doc_id, i, coalesce(max(CASE WHEN again THEN i END) OVER (PARTITION BY doc_id ORDER BY i) >= i - 399, false) AS gone FROM repeated),
+windows AS (SELECT doc_id, i, CASE WHEN i <= n - 399 THEN md5(t[i : i + 399]) END AS long_md5, CASE WHEN i <= n - 255 THEN md5(t[i : i + 255]) END AS short_md5 FROM places),
+repeated AS (
+  SELECT doc_id, i, long_md5 IS NOT NULL AND count(*) OVER (PARTITION BY long_md5) > 1 AS again, short_md5 IS NOT NULL AND count(*) OVER (PARTITION BY short_md5) > 1 AS near
+  FROM windows),
+covered AS (
+  SELECT doc_id, i, coalesce(max(CASE WHEN again THEN i END) OVER w >= i - 399, false) AS gone, coalesce(max(CASE WHEN near THEN i END) OVER w >= i - 255, false) AS shared
+  FROM repeated WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 edges AS (SELECT *, gone IS DISTINCT FROM lag(gone) OVER (PARTITION BY doc_id ORDER BY i) AS fresh FROM covered),
 numbered AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM edges),
-runs AS (SELECT doc_id, run, gone, min(i) AS low, max(i) AS high FROM numbered GROUP BY ALL),
+runs AS (SELECT doc_id, run, gone, min(i) AS low, max(i) AS high, sum(shared::INT) AS shared FROM numbered GROUP BY ALL),
 sums AS (
-  SELECT r.doc_id, sum(CASE WHEN gone THEN high - low + 1 ELSE 0 END)::BIGINT AS n_removed, count(*) FILTER (gone) AS n_spans,
+  SELECT r.doc_id, sum(CASE WHEN gone THEN high - low + 1 ELSE 0 END)::BIGINT AS n_removed, count(*) FILTER (gone) AS n_spans, sum(shared)::BIGINT AS n_shared,
     string_agg(hex(t[low : high]), '' ORDER BY low) FILTER (NOT gone) AS kept
   FROM runs r JOIN texts USING (doc_id) GROUP BY r.doc_id)
-SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256, coalesce(n_shared, 0) AS n_shared
 FROM texts LEFT JOIN sums USING (doc_id)
 """
 

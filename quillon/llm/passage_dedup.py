@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, repeats, suffixes
-from .substring_dedup import _assembled
+from .substring_dedup import assembled
 
 LENGTH = 35
 _WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -36,7 +36,7 @@ def _kept(text: str, runs: np.ndarray) -> bytes:
 
 def kind(length: int = LENGTH) -> repeats.Kind:
     gram = max(1, min(3, length // 8))
-    return repeats.Kind(repeats.Sampling(length, gram, max(1, (length - gram + 1) // 4)), _units, _body, _matches)
+    return repeats.Kind(repeats.Sampling(length, length, gram, max(1, (length - gram + 1) // 4)), _units, _body, _matches)
 
 
 def remove_repeated_passages(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH) -> DataFrame:
@@ -47,7 +47,8 @@ def remove_repeated_passages(documents: DataFrame, id_column: str = "doc_id", te
     keep all words. Repeated rows are copies of each other. Rows whose id is null are left out.
     """
     rows = documents.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")).where("id is not null")
-    members, cuts = repeats.removals(rows, kind(length), "words", _kept)
+    own = kind(length)
+    members, cuts = repeats.removals(rows, own, "words", _kept)
     spaced = F.regexp_replace(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", " "), "^ | $", "")
     size = F.when(spaced == "", 0).otherwise(F.length(spaced) - F.length(F.translate(spaced, " ", "")) + 1).cast("long")
-    return _assembled(members, cuts, rows.select("id", F.sha2(F.encode(spaced, "UTF-8"), 256).alias("sha"), size.alias("n")), "n_words")
+    return assembled(members, cuts, rows.select("id", F.sha2(F.encode(spaced, "UTF-8"), 256).alias("sha"), size.alias("n")), "n_words", own.sampling).drop("n_shared")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import blocks, repeats, suffixes
 
 LENGTH = 400
+SHORT = 256  # reported: passages of some fifty words and more are longer
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
@@ -30,30 +31,36 @@ def _kept(text: str, runs: np.ndarray) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def kind(length: int = LENGTH) -> repeats.Kind:
-    gram = max(1, min(24, length // 8))
-    return repeats.Kind(repeats.Sampling(length, gram, max(1, (length - gram + 1) // 4)), _units, _body, _matches)
+def kind(length: int = LENGTH, short: int = SHORT) -> repeats.Kind:
+    short = min(short, length)
+    gram = max(1, min(24, short // 8))
+    return repeats.Kind(repeats.Sampling(length, short, gram, max(1, (short - gram + 1) // 4)), _units, _body, _matches)
 
 
-def remove_repeated_bytes(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document with an id.
+def remove_repeated_bytes(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, short: int = SHORT) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared) of every document with an id.
 
     A byte goes when a string of `length` bytes that covers it also starts anywhere else, in the same
-    document or another. Null counts as empty. Shorter texts keep all bytes. Repeated rows are copies
-    of each other. Rows whose id is null are left out.
+    document or another. n_shared counts the bytes that a string of `short` bytes covers in that way: they
+    stay where they are in no longer one. Null counts as empty. Shorter texts keep all bytes. Repeated
+    rows are copies of each other. Rows whose id is null are left out.
     """
     rows = documents.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")).where("id is not null")
-    members, cuts = repeats.removals(rows, kind(length), "bytes", _kept)
+    own = kind(length, short)
+    members, cuts = repeats.removals(rows, own, "bytes", _kept)
     sums = rows.select("id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"), F.octet_length("text").cast("long").alias("n"))
-    return _assembled(members, cuts, sums, "n_bytes")
+    return assembled(members, cuts, sums, "n_bytes", own.sampling)
 
 
-def _assembled(members: DataFrame, cuts: DataFrame, sums: DataFrame, size: str) -> DataFrame:
+def assembled(members: DataFrame, cuts: DataFrame, sums: DataFrame, size: str, sampling: repeats.Sampling) -> DataFrame:
+    """What becomes of every document, from the parts of repeats.removals and (id, n, sha) of the whole texts."""
+    whole = F.col("copied") & (F.col("size") >= sampling.length)
     found = members.join(cuts, "key", "left").select(
         "doc_id", F.col("size").alias(size),
-        F.when(F.col("whole"), F.col("size")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(F.col("whole"), F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(F.col("whole"), F.lit(EMPTY_SHA256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+        F.when(whole, F.col("size")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(whole, F.lit(EMPTY_SHA256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+        F.when(F.col("copied") & (F.col("size") >= sampling.short), F.col("size")).otherwise(F.coalesce("n_shared", F.lit(0))).alias("n_shared"),
     )
     untouched = sums.select(F.col("id").alias("doc_id"), F.col("n").alias(size), "sha").distinct()
-    return found.join(untouched, ["doc_id", size]).select("doc_id", size, "n_removed", "n_spans", F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    return found.join(untouched, ["doc_id", size]).select("doc_id", size, "n_removed", "n_spans", F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "n_shared")

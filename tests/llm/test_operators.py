@@ -99,16 +99,24 @@ def test_keep_one_with_ids_on_several_texts(spark):
 def test_repeats(spark, run, length, words):
     rows = corpus(5)
     units = [WORD.findall(t or "") if words else (t or "").encode() for _, t in rows]
-    seen = Counter(hash(tuple(u[i : i + length]) if words else u[i : i + length]) for u in units for i in range(len(u) - length + 1))
+
+    def covered(size: int) -> list[np.ndarray]:
+        seen = Counter(hash(tuple(u[i : i + size]) if words else u[i : i + size]) for u in units for i in range(len(u) - size + 1))
+        out = []
+        for u in units:
+            gone = np.zeros(len(u), bool)
+            for i in range(len(u) - size + 1):
+                if seen[hash(tuple(u[i : i + size]) if words else u[i : i + size])] > 1:
+                    gone[i : i + size] = True
+            out.append(gone)
+        return out
+
     want = []
-    for (doc, _), u in zip(rows, units, strict=True):
-        gone = np.zeros(len(u), bool)
-        for i in range(len(u) - length + 1):
-            if seen[hash(tuple(u[i : i + length]) if words else u[i : i + length])] > 1:
-                gone[i : i + length] = True
+    for (doc, _), u, gone, shared in zip(rows, units, covered(length), covered(length if words else min(length, substring_dedup.SHORT)), strict=True):
         kept = " ".join(w for w, g in zip(u, gone, strict=True) if not g).encode() if words else bytes(np.frombuffer(u, np.uint8)[~gone])
         spans = int((np.diff(np.r_[False, gone].astype(int)) == 1).sum())
-        want.append((doc, len(u), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+        want.append((doc, len(u), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), *([] if words else [int(shared.sum())])))
+    assert words or length < substring_dedup.SHORT or any(w[5] > w[2] for w in want)
     assert sorted(map(tuple, run(frame(spark, rows), length=length).collect())) == sorted(want)
     assert run(frame(spark, rows).limit(0), length=length).count() == 0
 
