@@ -107,7 +107,8 @@ def fit(docs: list[np.ndarray], quality: np.ndarray, share: float) -> Model:
 def train(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
     """Fit on the labelled rows outside the held-out fifth: of each class the per_class ids of least hash.
 
-    Ids that are null, unlabelled or labelled both ways are not used.
+    Ids that are null, unlabelled or labelled both ways are not used; of an id on several texts the one of
+    least hash is. What is collected are the texts' buckets, at most 1 MB a text.
     """
     known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most")
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -119,7 +120,8 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_C
         part = known.where(F.col("quality") == side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select(F.col("doc_id").alias("id"), "quality")
         sample = part if sample is None else sample.unionByName(part)
     # At most 2 * per_class rows: small enough to broadcast at every size of the input.
-    texts = documents.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(sample), "id").select("id", "quality", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = documents.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "id")
+    texts = texts.groupBy("id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +168,11 @@ def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of documents whose predicted quality is 1, all columns as they were."""
+    """The rows of documents whose predicted quality is 1, all columns as they were.
+
+    Null and empty texts have the score of no features, so either all of them stay or none. Repeated rows have
+    equal scores. Without labels of both classes the share of the one is every text's score.
+    """
     name = "score"
     while name in documents.columns:
         name += "_"

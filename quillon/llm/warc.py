@@ -13,6 +13,7 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zipfile
@@ -38,9 +39,15 @@ def _base32(digest_hex: str) -> str:
     return "sha1:" + base64.b32encode(bytes.fromhex(digest_hex)).decode()
 
 
+def record_id(page_id: int | None, digest_hex: str) -> str:
+    """The same for a page and its payload in every attempt of a task, so revisits can name it; new for a page without an id."""
+    return f"<urn:uuid:{uuid.uuid4() if page_id is None else uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}:{digest_hex}')}>"
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest_hex: str, refers_to: int | None) -> bytes:
-    """One gzip member with one WARC record."""
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    """One gzip member with one WARC record. The response that a revisit refers to has the same digest."""
+    kind = "response" if refers_to is None else "revisit"
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest_hex if refers_to is None else kind + digest_hex)}", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         head.append("WARC-Target-URI: " + "".join(c for c in url if c not in "\r\n"))
     if page_id is not None:
@@ -50,7 +57,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest_hex: str
     if refers_to is None:
         body += payload
     else:
-        head += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest_hex)}", f"X-Refers-To-Page: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", 1, mtime=0)
 
@@ -70,6 +77,11 @@ def parse(member: bytes) -> dict:
     return {"page_id": number("x-page-id"), "record_type": fields.get("warc-type"), "url": fields.get("warc-target-uri"), "refers_to": number("x-refers-to-page"), "stated_digest": fields.get("warc-payload-digest"), "payload": block}
 
 
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The store of a path and the path in it. Executors open packages themselves, so stores that Arrow doesn't know are an error."""
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+
+
 class Package:
     """Members of a ZIP file that is read by ranges. source: a random access file."""
 
@@ -182,7 +194,7 @@ def write_packages(pages: DataFrame, folder: str) -> DataFrame:
     rows = rows.withColumn("refers_to", refers).select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")).alias("payload"), "digest", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = filesystem(folder)
         held, size = [], 0
 
         def close() -> pa.RecordBatch:
@@ -214,7 +226,7 @@ def read_packages(paths: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                fs, place = pafs.FileSystem.from_uri(path)
+                fs, place = filesystem(path)
                 with fs.open_input_file(place) as source:
                     held, size = [], 0
                     for found in Package(source).records():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import math
 import random
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, mixing, multi_index, ngram_join, passage_dedup, pii, quality, secrets, shared_codes, substring_dedup, suffixes, warc
+from quillon.llm import blocks, decontaminate, mixing, multi_index, ngram_join, passage_dedup, pii, quality, secrets, shared_codes, substring_dedup, suffixes, warc
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, size string, label string"
@@ -330,6 +331,61 @@ def test_quality(spark):
     assert quality.classify(frame(spark, rows), labels.limit(0)).count() == len(rows)
 
 
+def plain_features(text: str) -> tuple[set, set]:
+    words = WORD.findall(text)
+    return set(words), set(zip(words, words[1:], strict=False))
+
+
+def test_quality_by_its_definition():
+    """Features, class ratios, the hinge-loss optimum and scores against plain versions."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(WORDS[:30] if i % 2 else WORDS[20:50], k=rng.randrange(3, 30))) for i in range(16)] + [""]
+    part = next(blocks.slices(pa.array(texts)))
+    row, bucket = quality.features(part)
+    docs = [bucket[row == i] for i in range(len(texts))]
+    assert [len(d) for d in docs] == [sum(map(len, plain_features(t))) for t in texts]
+    one = lambda word: quality.features(next(blocks.slices(pa.array([word]))))[1][0]
+    assert all({one(w) for w in plain_features(t)[0]} <= set(d) for t, d in zip(texts, docs, strict=True))
+    labels = np.array([1.0 if i % 2 else -1.0 for i in range(16)])
+    ratio = quality._log_ratios(docs[:16], labels)
+    size, counts = 1 << quality.BUCKET_BITS, [Counter(b for d, y in zip(docs, labels, strict=False) if y == side for b in d.tolist()) for side in (1, -1)]
+    for b in {int(b) for d in docs for b in d} | {0, size - 1}:
+        p, q = ((c[b] + 1) / (sum(c.values()) + size) for c in counts)
+        assert abs(ratio[b] - math.log(p / q)) < 1e-12
+    weights, bias = quality.descend(docs[:16], labels, ratio, rounds=2000)
+    x = np.zeros((16, size + 1))
+    for i, d in enumerate(docs[:16]):
+        x[i, d], x[i, size] = ratio[d] / math.sqrt(len(d)), 1
+    primal = lambda w: w @ w / 2 + np.maximum(0, 1 - labels * (x @ w)).sum()
+    gram, alpha = (x * labels[:, None]) @ (x * labels[:, None]).T, np.zeros(16)
+    for _ in range(20_000):  # projected gradient ascent of the dual
+        alpha = np.clip(alpha + (1 - gram @ alpha) / np.linalg.norm(gram, 2), 0, 1)
+    dual = alpha.sum() - alpha @ gram @ alpha / 2
+    assert dual - 1e-6 <= primal(np.r_[weights, bias]) <= dual + 1e-2 * max(1, dual)
+
+
+def test_scores_follow_from_the_model(spark):
+    model = quality.Model(np.random.default_rng(1).normal(size=1 << quality.BUCKET_BITS).astype(np.float32), 0.3, 1.5, -0.2)
+    texts = ["", None, "one", "one two", "two one two", "x " * 5000, "Ünï ñandú"]
+    rows = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(texts)], "doc_id long, text string, score double")
+    got = {r["doc_id"]: r["own"] for r in quality.score(rows, model, out="own").collect()}
+    for i, t in enumerate(texts):
+        own = quality.features(next(blocks.slices(pa.array([t or ""]))))[1]
+        margin = float(model.weights[own].astype(np.float64).sum()) / math.sqrt(max(1, sum(map(len, plain_features(t or ""))))) + 0.3
+        assert abs(got[i] - 1 / (1 + math.exp(-(1.5 * margin - 0.2)))) < 1e-9
+
+
+def test_quality_with_repeated_ids_and_clashing_names(spark):
+    rows = [(i % 30, " ".join(random.Random(i).choices(WORDS[:60] if i % 30 % 2 else WORDS[60:120], k=40))) for i in range(120)] + [(None, "w1 w2"), (None, None)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    table = frame(spark, rows).withColumns({"score": F.lit("s"), "score_": F.lit("t"), "quality": F.lit("q"), "id": F.lit("i")})
+    kept = quality.keep_good(table, labels)
+    assert kept.columns == table.columns
+    want = {(r["doc_id"], r["text"]) for r in quality.score(table, quality.train(table, labels), out="own").where(F.col("own") >= 0.3).collect()}
+    assert {(r["doc_id"], r["text"]) for r in kept.collect()} == want and 0 < len(want) < len(set(rows))
+    assert quality.keep_good(table.limit(0), labels).count() == 0
+
+
 def test_mixing(spark):
     rows = [(i, "x" * (1 + i * 37 % 400)) for i in range(400)] + [(1000, None), (1001, "")]
     got = mixing.mix(frame(spark, rows), block_chars=500).collect()
@@ -411,6 +467,13 @@ def test_warc(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_revisits_name_their_response():
+    digest = hashlib.sha1(b"x" * 1000).hexdigest()
+    heads = [dict(line.split(": ", 1) for line in gzip.decompress(warc.record(i, "u", b"x" * 1000, digest, first)).decode().split("\r\n\r\n")[0].split("\r\n")[1:]) for i, first in ((1, 2), (2, None), (3, 2))]
+    assert heads[0]["WARC-Refers-To"] == heads[2]["WARC-Refers-To"] == heads[1]["WARC-Record-ID"] and len({h["WARC-Record-ID"] for h in heads}) == 3
+    assert warc.record(2, "u", b"x", digest, None) == warc.record(2, "u", b"x", digest, None)
+
+
 def test_zip64(tmp_path):
     import zipfile
 
