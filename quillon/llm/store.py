@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +22,25 @@ def table(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def clear(spark: SparkSession, *keep: DataFrame) -> None:
-    """Delete the tables written so far but for those that keep reads. Frames that read others can't be used any more."""
-    made = _made.get(spark.sparkContext.applicationId, set())
-    used = {f.rsplit("/", 1)[0] for frame in keep for f in frame.inputFiles()}
-    for path in [p for p in made if not any(u.endswith(p.split("://")[-1]) or u == p for u in used)]:
-        remove(spark, path)
-        made.discard(path)
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the tables written inside when it ends, but for those that the frames given to it read.
+
+    Frames that read the others can't be used any more.
+    """
+    made = _made.setdefault(spark.sparkContext.applicationId, set())
+    before, kept = set(made), []
+
+    def keep(frame: DataFrame) -> DataFrame:
+        kept.append(frame)
+        return frame
+
+    yield keep
+    files = [f for frame in kept for f in frame.inputFiles()]
+    for path in made - before:
+        if not any(f"/{path.rsplit('/', 1)[-1]}/" in f for f in files):
+            remove(spark, path)
+            made.discard(path)
 
 
 def parallelism(spark: SparkSession, least: int = 8) -> int:

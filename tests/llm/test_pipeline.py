@@ -92,7 +92,11 @@ def test_run_is_its_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         docs = store.table(stage(spark, docs, folder), f"again{k}")
-    assert bag(corpus_pipeline.run(spark, folder), *docs.columns) == bag(docs, *docs.columns)
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.iterdir())
+    result = corpus_pipeline.run(spark, folder)
+    assert {p.name.split("-")[0] for p in set(shared.iterdir()) - before} <= {f"stage{k}" for k in range(5)}  # nothing else is left
+    assert bag(result, *docs.columns) == bag(docs, *docs.columns)
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no tables")
