@@ -6,10 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as T
+
 # Keys and the labels they give.
 CLASSIFICATIONS = {"l": "internal lore", "w": "external creation history", "a": "analysis or reception", "d": "adaptation material", "r": "reference or administrative material"}
 
 
+def action_of(key: Column) -> Column:
+    """(action, classification) that a key stands for, or nulls: labels classify, s defers."""
+    label = F.create_map(*[F.lit(x) for pair in CLASSIFICATIONS.items() for x in pair])[key]
+    return F.struct(F.when(label.isNotNull(), "classify").when(key == "s", "defer").alias("action"), label.alias("classification"))
+
+
 def active(events: DataFrame) -> DataFrame:
     """Classify and defer events that no undo event supersedes."""
     undone = events.where("action = 'undo' and supersedes_event_id is not null").select(F.col("supersedes_event_id").alias("undone_id"))
@@ -135,3 +143,20 @@ def resume(stored: Column, known: Column, following: Column) -> Column:
 def evidence(**fields: Column) -> Column:
     """Compact JSON of the fields in sorted order, nulls included."""
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
+def evidence_frames(passages: DataFrame, rubric: str, wide: bool, width: int = 80) -> DataFrame:
+    """passages with evidence: the canonical JSON of what a curator sees of a passage.
+
+    passages: article_id, article_title, source_pos, passage_id, heading_path, paragraph_ordinal, text. Compact
+    frames show one passage on either side, shortened to the width; wide ones show two, whole.
+    """
+    reach = 2 if wide else 1
+    w = Window.partitionBy("article_id").orderBy("source_pos")
+    near = F.struct(F.col("passage_id").alias("id"), T.snippet(F.col("text"), max(1, width - 1), wide).alias("text"))
+    rows = passages.withColumns({"preceding_": F.collect_list(near).over(w.rowsBetween(-reach, -1)), "following_": F.collect_list(near).over(w.rowsBetween(1, reach))})
+    json = evidence(
+        article=F.struct(F.col("article_id").alias("id"), F.col("article_title").alias("title")), context_mode=F.lit("expanded" if wide else "compact"), following=F.col("following_"), preceding=F.col("preceding_"),
+        rubric_id=F.lit(rubric), target=F.struct("heading_path", F.col("passage_id").alias("id"), "paragraph_ordinal", "text"),
+    )
+    return rows.withColumn("evidence", json).drop("preceding_", "following_")

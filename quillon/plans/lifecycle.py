@@ -351,3 +351,46 @@ def discovery_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "discovery")
     read(spark, sf_dir, "documents").agg(ordered.alias("records")).select(F.lit(1).alias("schema_version"), "records").coalesce(1).write.json(path)
     return articles.discoveries(spark, path)
+
+
+def _evidence_sql(reach: int, mode: str, shown: str) -> str:
+    near = f"list({{'id': 'p' || conv_id || '-' || turn, 'text': {shown}}})"
+    return f"""SELECT conv_id, turn, sha256(to_json({{'article': {{'id': 'c' || conv_id, 'title': 'Talk ' || conv_id}}, 'context_mode': '{mode}',
+  'following': coalesce({near} OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND {reach} FOLLOWING), []), 'preceding': coalesce({near} OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {reach} PRECEDING AND 1 PRECEDING), []),
+  'rubric_id': 'r1', 'target': {{'heading_path': [role], 'id': 'p' || conv_id || '-' || turn, 'paragraph_ordinal': turn, 'text': text}}}})::VARCHAR) AS evidence_sha256 FROM conversations"""
+
+
+def _evidence(spark: SparkSession, sf_dir: str, wide: bool) -> DataFrame:
+    id_ = F.concat(F.lit("p"), "conv_id", F.lit("-"), "turn")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("c"), "conv_id").alias("article_id"), F.concat(F.lit("Talk "), "conv_id").alias("article_title"), F.col("turn").alias("source_pos"), id_.alias("passage_id"), F.array("role").alias("heading_path"), F.col("turn").alias("paragraph_ordinal"), "text")
+    return curation.evidence_frames(rows, "r1", wide).select("conv_id", "turn", F.sha2(F.encode("evidence", "UTF-8"), 256).alias("evidence_sha256"))
+
+
+@query(_evidence_sql(1, "compact", "CASE WHEN length(text) <= 65 THEN text ELSE rtrim(left(text, 49), ' ' || chr(10) || chr(9)) || '... [truncated]' END"))
+def evidence_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evidence(spark, sf_dir, False)
+
+
+@query(_evidence_sql(2, "expanded", "text"))
+def evidence_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evidence(spark, sf_dir, True)
+
+
+@query("SELECT conv_id, turn, length(text) AS n, greatest(1, ceil(length(text) / 40.0))::BIGINT AS least_lines, true AS fits, true AS whole FROM conversations")
+def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns in lines of 40 characters: none is longer, none is lost but white space, and there are at least as many as it takes."""
+
+    @F.pandas_udf("fits boolean, whole boolean")
+    def held(texts: pd.Series) -> pd.DataFrame:
+        lines = texts.map(lambda t: T.wrapped(t, 40))
+        return pd.DataFrame({"fits": lines.map(lambda x: max(map(len, x)) <= 40), "whole": [("".join("".join(x).split()) == "".join(t.split())) for x, t in zip(lines, texts, strict=True)]})
+
+    rows = read(spark, sf_dir, "conversations").withColumn("x", held("text"))
+    return rows.select("conv_id", "turn", F.length("text").alias("n"), F.greatest(F.lit(1), F.ceil(F.length("text") / 40)).alias("least_lines"), "x.fits", "x.whole")
+
+
+@query("""WITH n AS (SELECT unnest(range(8)) AS k), t AS (SELECT doc_id, k, CASE k WHEN 0 THEN 'l' WHEN 1 THEN 'w' WHEN 2 THEN 'a' WHEN 3 THEN 'd' WHEN 4 THEN 'r' WHEN 5 THEN 's' WHEN 6 THEN 'L' ELSE 'x' END AS key FROM documents JOIN n ON k = doc_id % 8)
+SELECT doc_id, CASE key WHEN 's' THEN 'defer' WHEN 'L' THEN NULL WHEN 'x' THEN NULL ELSE 'classify' END AS action, CASE key WHEN 'l' THEN 'internal lore' WHEN 'w' THEN 'external creation history' WHEN 'a' THEN 'analysis or reception' WHEN 'd' THEN 'adaptation material' WHEN 'r' THEN 'reference or administrative material' END AS classification FROM t""")
+def key_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.element_at(F.array(*[F.lit(k) for k in "lwadrsLx"]), (F.col("doc_id") % 8 + 1).cast("int"))
+    return read(spark, sf_dir, "documents").select("doc_id", curation.action_of(key).alias("x")).select("doc_id", "x.action", "x.classification")
