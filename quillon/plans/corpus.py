@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import curation, extract, integrity, resolve
+from ..operators import curation, extract, integrity, release, resolve
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -163,11 +163,15 @@ def evidence_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH d AS (SELECT doc_id, max(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS lore FROM labels GROUP BY 1)
 SELECT source, count(*) AS n_lore, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS lore_ids_sha256, min(doc_id) AS first_id FROM documents JOIN d USING (doc_id) WHERE lore = 1 GROUP BY source""")
 def lore_release_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source with documents of effective label lore: how many, and a digest of their ids in order."""
-    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("lore")).where("lore")
-    rows = read(spark, sf_dir, "documents").select("doc_id", "source").join(labels, "doc_id")
-    ids = F.array_join(F.array_sort(F.collect_list("doc_id")), ",")
-    return rows.groupBy("source").agg(F.count("*").alias("n_lore"), F.sha2(ids, 256).alias("lore_ids_sha256"), F.min("doc_id").alias("first_id"))
+    """Sources as articles, labels as decisions (without one a document is reference material): the lore a release of them has."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source")
+    lore = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("lore"))
+    label = F.when(F.col("lore"), release.LORE).otherwise("reference or administrative material")
+    events = docs.join(lore, "doc_id", "left").select(F.col("doc_id").alias("id"), F.lit("classify").alias("action"), F.col("doc_id").alias("passage_id"), label.alias("classification"), F.lit(None).cast("long").alias("supersedes_event_id"))
+    passages = docs.select(F.col("source").alias("article_artifact_id"), F.col("doc_id").alias("passage_id"), F.col("doc_id").alias("source_pos"))
+    ids = F.col("lore_passage_ids")
+    found = release.selection(passages, events)
+    return found.select(F.col("article_artifact_id").alias("source"), F.size(ids).cast("long").alias("n_lore"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("lore_ids_sha256"), ids[0].alias("first_id"))
 
 
 @query("SELECT sha256(text) AS sha256, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")

@@ -394,3 +394,33 @@ SELECT doc_id, CASE key WHEN 's' THEN 'defer' WHEN 'L' THEN NULL WHEN 'x' THEN N
 def key_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.element_at(F.array(*[F.lit(k) for k in "lwadrsLx"]), (F.col("doc_id") % 8 + 1).cast("int"))
     return read(spark, sf_dir, "documents").select("doc_id", curation.action_of(key).alias("x")).select("doc_id", "x.action", "x.classification")
+
+
+@query("""
+WITH RECURSIVE p AS (SELECT page_id, 'T' || page_id AS title, (page_id % 7 = 0)::INT AS ns, CASE WHEN page_id % 3 = 1 THEN 'T' || (page_id // 2) WHEN page_id % 30 = 2 THEN 'T' || (page_id + 3) WHEN page_id % 30 = 5 THEN 'T' || (page_id - 3) END AS target FROM pages),
+c AS (SELECT page_id AS ord, 't' || (page_id + CASE WHEN page_id % 11 = 0 THEN 1000000 ELSE 0 END) AS name FROM pages WHERE page_id % 2 = 0),
+m AS (SELECT ord, name, title FROM c LEFT JOIN p ON title = upper(left(name, 1)) || substr(name, 2)),
+walk AS (SELECT ord, name, title AS here, [title] AS path, false AS loop FROM m WHERE title IS NOT NULL
+  UNION ALL SELECT ord, name, target, list_append(path, target), list_contains(path, target) FROM walk JOIN p ON p.title = here WHERE target IS NOT NULL AND NOT loop),
+ends AS (SELECT ord, any_value(name) AS name, arg_max(here, len(path)) AS target, bool_or(loop) AS loop, max(len(path)) - 1 AS steps FROM walk GROUP BY ord),
+kept AS (SELECT target, arg_max(name, ord) AS name, arg_max(steps, ord) AS steps FROM ends WHERE NOT loop GROUP BY target)
+SELECT name AS candidate, 'source scan' AS stage, 'candidate absent from source snapshot' AS reason, true AS recoverable, NULL::BIGINT AS page_id, NULL::BIGINT AS steps FROM m WHERE title IS NULL
+UNION ALL SELECT name, 'redirect resolution', 'redirect loop at ' || target, false, NULL, NULL FROM ends WHERE loop
+UNION ALL SELECT name, CASE WHEN page_id IS NULL OR ns <> 0 THEN 'redirect resolution' END, CASE WHEN page_id IS NULL THEN 'redirect target absent from source snapshot' WHEN ns <> 0 THEN 'namespace ' || ns || ' is outside namespace 0' END,
+  CASE WHEN page_id IS NULL THEN true WHEN ns <> 0 THEN false END, CASE WHEN ns = 0 THEN page_id END, CASE WHEN ns = 0 THEN steps END FROM kept LEFT JOIN p ON p.title = kept.target""")
+def acquisition_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second page is a candidate by its title in another case: what becomes of it through redirects, loops and namespaces."""
+    n = F.col("page_id")
+    target = F.when(n % 3 == 1, F.concat(F.lit("T"), F.floor(n / 2))).when(n % 30 == 2, F.concat(F.lit("T"), n + 3)).when(n % 30 == 5, F.concat(F.lit("T"), n - 3))
+    rows = read(spark, sf_dir, "pages")
+    pages = rows.select(n.alias("scan_pos"), F.concat(F.lit("T"), n).alias("title"), (n % 7 == 0).cast("int").alias("namespace"), n, target.alias("redirect_target"))
+    candidates = rows.where("page_id % 2 = 0").select(n.alias("ord"), F.concat(F.lit("t"), n + F.when(n % 11 == 0, 1_000_000).otherwise(0)).alias("observed_page_title"), F.lit(None).cast("long").alias("observed_page_id"))
+    selected, failures = resolve.acquired(candidates, pages)
+    none = lambda kind: F.lit(None).cast(kind)
+    wins = selected.select(F.col("observed_page_title").alias("candidate"), none("string").alias("stage"), none("string").alias("reason"), none("boolean").alias("recoverable"), "page_id", F.size("redirect_chain").cast("long").alias("steps"))
+    return wins.unionByName(failures.select(F.col("candidate_identity").alias("candidate"), "stage", "reason", "recoverable", none("long").alias("page_id"), none("long").alias("steps")))
+
+
+@query("""SELECT page_id, 'article_' || sha256('["20260701",' || page_id || ',' || (page_id + 5) || ',"quillon-wikitext/1",{"exclude_lists_tables_quotes_and_unresolved_templates":true,"lead_heading":"Lead","remove_inline_references":true,"replace_links_with_display_labels":true,"supported_structure":"prose paragraphs","whitespace_normalization":"collapse"}]') AS article_id FROM pages""")
+def article_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", extract.article_ids(F.lit(checks.PINNED["dump_run"]), "page_id", F.col("page_id") + 5).alias("article_id"))
