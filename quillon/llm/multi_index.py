@@ -92,13 +92,19 @@ def fit(unit: np.ndarray, codes: int = CODES, threshold: float = THRESHOLD, targ
     return index
 
 
-def _units(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float32).astype(np.float64).reshape(len(raw), -1)
+def _units(raw: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).astype(np.float64).reshape(len(raw), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _kind(embeddings: DataFrame) -> tuple[str, str]:
+    """The element type that vectors keep, for numpy and for Spark: double where they come as double, else float."""
+    return ("<f8", "array<double>") if embeddings.schema["embedding"].dataType.simpleString() == "array<double>" else ("<f4", "array<float>")
+
+
 def valid_vectors(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, label, dim, key, vector) of rows that can link; vector as float32 bytes."""
+    """(vec_id, label, dim, key, vector) of rows that can link; vector as bytes of its element type."""
+    kind, cast = _kind(embeddings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,13 +112,13 @@ def valid_vectors(embeddings: DataFrame) -> DataFrame:
             for v, label, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if label is None or not e or None in e:
                     continue
-                x = np.array(e, np.float32)
+                x = np.array(e, kind)
                 if np.isfinite(x).all() and x.any():
                     rows.append((v, label, len(x), x.tobytes()))
             cols = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)], names=["vec_id", "label", "dim", "vector"])
 
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<float>").alias("embedding"))
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("embedding").cast(cast).alias("embedding"))
     return rows.mapInArrow(run, "vec_id long, label int, dim int, vector binary").withColumn("key", F.xxhash64("label", "vector"))
 
 
@@ -131,13 +137,13 @@ def _least(first: np.ndarray, second: np.ndarray, n: int) -> np.ndarray:
             return label
 
 
-def _block(threshold: float):
+def _block(threshold: float, kind: str):
     """Links of one block: residents of a cell group against the queries that visit it."""
 
     def run(group: pa.Table) -> pa.Table:
         names = ("role", "key", "n", "code2", "home")
         role, key, n, code2, home = (group.column(c).to_numpy() for c in names)
-        vector = _units(group.column("vector").to_pylist())
+        vector = _units(group.column("vector").to_pylist(), kind)
         asked = group.column("cells").to_pylist()
         residents, queries = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
         count = np.zeros(len(key), np.int64)
@@ -184,6 +190,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """
     spark = embeddings.sparkSession
     rows = embeddings.where("vec_id is not null")
+    kind, cast = _kind(rows)
     valid = store.table(valid_vectors(rows), "vectors")
     entries = valid.groupBy("key").agg(F.first("label").alias("label"), F.first("dim").alias("dim"), F.count("*").alias("n"), F.first("vector").alias("vector"), F.min("vec_id").alias("least"))
     entries = store.table(entries, "entries")
@@ -193,7 +200,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
         # A label's cells grow with it, so a cell and what is compared with it do not. A bounded sample, of least hash.
         codes = min(MOST_CODES, max(CODES, math.isqrt(row["n"] // CELL)))
         sample = entries.where(F.col("dim") == row["dim"]).select("vector").orderBy(F.xxhash64("vector")).limit(max(SAMPLE, 16 * codes)).toArrow()
-        indexes[row["dim"]] = fit(_units(sample.column(0).to_pylist()), codes, threshold)
+        indexes[row["dim"]] = fit(_units(sample.column(0).to_pylist(), kind), codes, threshold)
     share = spark.sparkContext.broadcast(indexes)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +211,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
                 for at in range(0, len(part), 1024):
                     some = part.slice(at, 1024)
                     index = share.value[int(dim)]
-                    cells = index.order(_units(some.column(4).to_pylist()), index.visits).astype(np.int32)
+                    cells = index.order(_units(some.column(4).to_pylist(), kind), index.visits).astype(np.int32)
                     width = len(index.books[1])
                     yield pa.RecordBatch.from_arrays([*some.columns, pa.array(cells[:, 0] // width), pa.array(cells[:, 0] % width), pa.array(list(cells), pa.list_(pa.int32()))], names=["key", "label", "dim", "n", "vector", "code1", "code2", "visits"])
 
@@ -223,7 +230,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
     both = both.withColumn("side", F.explode(F.when(F.col("role") == 0, F.array(F.pmod("key", F.col("sides")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("sides") - 1))))
     both = both.withColumn("ask", F.explode(F.when(F.col("role") == 1, F.array(F.pmod("key", F.col("asks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("asks") - 1))))
     block = both.select(*cell, "side", "ask", "role", "key", "n", "vector", "code2", "home", "cells")
-    found = store.table(block.groupBy(*cell, "side", "ask").applyInArrow(_block(threshold), "key long, links long, hub long"), "links")
+    found = store.table(block.groupBy(*cell, "side", "ask").applyInArrow(_block(threshold, kind), "key long, links long, hub long"), "links")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     label = store.components(found.select(F.col("key").alias("a"), F.col("hub").alias("b")))
     entry = entries.select("key", "n", "least").join(links, "key", "left").join(label, F.col("key") == F.col("node"), "left")
@@ -231,7 +238,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
     least = entry.groupBy("label").agg(F.min("least").alias("component_id"))
     entry = entry.join(least, "label").select("key", "n_links", "component_id")
     linked = valid.select("vec_id", "key").join(entry, "key").select("vec_id", "n_links", "component_id")
-    alone = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<float>").alias("e"))
+    alone = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("embedding").cast(cast).alias("e"))
     size = F.aggregate("e", F.lit(0.0).cast("double"), lambda a, x: a + F.abs(x.cast("double")))
     good = F.col("label").isNotNull() & F.coalesce((size > 0) & (size < float("inf")), F.lit(False))
     alone = alone.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
