@@ -53,7 +53,15 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
         new = F.array(F.struct(start.alias("start"), F.lit(order).alias("kind"), stop.alias("stop")))
         return F.struct(stop.alias("at"), F.when(F.length(x["group"]) >= rule.least, F.concat(state["out"], new)).otherwise(state["out"]).alias("out"))
 
-    found = F.aggregate(each, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda s: s["out"])
+    # In pieces of the root of their number: one list that grew by every match would be copied for each.
+    step = F.ceil(F.sqrt(F.size(each))).cast("int")
+
+    def piece(state: Column, first: Column) -> Column:
+        part = F.aggregate(F.slice(each, first, step), F.struct(state["at"].alias("at"), empty.alias("out")), add)
+        return F.transform(F.array(part), lambda x: F.struct(x["at"].alias("at"), F.concat(state["lists"], F.array(x["out"])).alias("lists")))[0]
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("lists"))
+    found = F.aggregate(F.sequence(F.lit(1), F.size(each), step), start, piece, lambda s: F.flatten(s["lists"]))
     return F.when(F.regexp_like(text, F.lit(rule.pattern)), found).otherwise(empty)
 
 
