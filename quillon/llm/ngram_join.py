@@ -146,8 +146,7 @@ def blocks_of_lists(lists: DataFrame, percent: int, block: int = BLOCK) -> DataF
     of the others (high); parts of the common label have numbers below zero. A list in which one
     component prevails costs its own length and that of the others, not its square.
     """
-    mixed = lists.groupBy("token", "label").agg(F.count("*").alias("n"))
-    mixed = mixed.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1").select("token", (F.col("n") > block).alias("long"))
+    mixed = lists.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("first"), F.max("label").alias("last")).where("first <> last").select("token", (F.col("n") > block).alias("long"))
     step = math.log(100 / percent)
     rows = lists.join(mixed, "token")
     own = F.when(F.col("long"), F.floor(F.log(F.col("size").cast("double")) / step + 1e-9)).otherwise(0).cast("int")

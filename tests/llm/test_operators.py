@@ -183,6 +183,24 @@ def test_secrets(spark, tmp_path):
 KEY = b"a key for tests"
 
 
+def test_secrets_of_many_matches(spark):
+    text = " ".join(f"{i:016x}" for i in range(5000)) + " token=" + "x" * 12
+    got = secrets.findings(frame(spark, [(1, text)])).first()
+    assert got["n_hex"] == 5000 and got["n_assign"] == 1 and got["spans"].split(",")[4999] == f"hex:{17 * 4999}:{17 * 5000 - 1}"
+
+
+def test_codebooks_grow_and_cells_do_not(monkeypatch, spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=8)], 1) for i in range(900)]
+    seen = []
+    fit = multi_index.fit
+    monkeypatch.setattr(multi_index, "fit", lambda unit, codes, threshold: seen.append((len(unit), codes)) or fit(unit, codes, threshold))
+    monkeypatch.setattr(multi_index, "CODES", 2)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert multi_index.near_vectors(table).count() == 900 and multi_index.near_vectors(table.where("vec_id < 36")).count() == 36
+    assert seen == [(900, 10), (36, 2)]
+
+
 def test_pii(spark):
     texts = ["Mail a.b@mail7.example.com or A.B@mail7.example.com, c.b@mail7.example.com!", "call +1 (852) 555-5043 4186133740741811", "72.162.198.226 then 10.0.0.1 and 4.0", "Mrs. Anna Smith met Mr. Smith; Frau Müller. Later ANNA SMITH left, and Anna's aunt", "GB82 WEST 1234 5698 7654 32, 123-45-6789", None, "", "x" * 20000]
     rows = list(enumerate(texts * 2))
@@ -491,7 +509,8 @@ def test_zip64(tmp_path):
         assert [r["payload"] for r in package.records()] == [b"hello"]
 
 
-def test_vectors(spark):
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors(spark, kind):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(40, 16))
     rows = []
@@ -499,7 +518,7 @@ def test_vectors(spark):
         v = base[i % 40] + rng.normal(size=16) * rng.choice([0, 0.02, 0.06, 0.2])
         rows.append((i, [float(x) for x in v.astype(np.float32)], i % 3 if i % 50 else None))
     rows += [(500, None, 1), (501, [], 1), (502, [0.0] * 16, 1), (503, [float("nan")] * 16, 1), (504, [None, 1.0], 1), (505, [1.0, 2.0], 1), (506, [2.0, 4.0], 1), (507, [float("inf")] * 16, 1)]
-    frame_ = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    frame_ = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int").repartition(3)
     got = {r["vec_id"]: r for r in multi_index.near_vectors(frame_).collect()}
     good = [(i, np.array(v, np.float64), y) for i, v, y in rows if y is not None and v and None not in v and np.isfinite(v).all() and any(v)]
     true = found = 0
