@@ -44,7 +44,7 @@ def decided(repository, spark, keys="lal"):
     folder, state = repository / "data/corpus/articles", repository.parent / "state.db"
     _, rows, mark = flows.corpus(spark, folder)
     statefile.bind(state, mark, cockpit.RUBRIC)
-    shown = [cockpit.Shown(r["passage_id"], r["canonical_title"], tuple(r["heading_path"]), r["normalized_text"]) for r in rows.orderBy("article_ord", "source_pos").collect()]
+    shown = [cockpit.Shown(r["passage_id"], r["canonical_title"], tuple(r["heading_path"]), r["normalized_text"], r["article_artifact_id"], r["paragraph_ordinal"]) for r in rows.orderBy("article_ord", "source_pos").collect()]
     ticks = iter(range(0, 10_000, 2))
     screens = []
     made = cockpit.session(shown, state, "undecided", iter(keys), screens.append, clock=lambda: next(ticks))
@@ -76,7 +76,7 @@ def test_lifecycle(spark, repository, tmp_path, capsys):
     with pytest.raises(ValueError, match="release id"):
         flows.manifest(spark, "R1", folder, log)
     good = out.read_text()
-    for text, why in ((good.replace('"r1"', '"r2"'), None), (good.replace('"lore_passages": 2', '"lore_passages": 3'), "follow"), (good + "\n", "canonical"), ("[]", "manifest"), (XX):
+    for text, why in ((good.replace('"r1"', '"r2"'), None), (good.replace('"lore_passages": 2', '"lore_passages": 3'), "follow"), (good + "\n", "canonical"), ("[]", "manifest"), (good.replace('"artifact_sha256": "', '"artifact_sha256": "0'), "inventory")):
         out.write_text(text)
         if why:
             with pytest.raises(ValueError, match=why):
@@ -123,6 +123,17 @@ def test_session_keeps_cursors_apart_and_undoes(spark, repository):
     assert statefile.record(state, cockpit._event(shown[0], "u"), None) and statefile.record(state, cockpit._event(shown[0], "u"), None) and statefile.record(state, cockpit._event(shown[0], "u"), None) == 0
 
 
+def test_evidence_is_the_same_as_of_frames(spark):
+    from quillon.operators import curation
+
+    shown = [cockpit.Shown(f"p{i}", f"T{i // 4}", ("Lead", "Ö"), f"text {i} " * (20 * (i % 3) + 1), f"a{i // 4}", i % 4 + 1) for i in range(10)]
+    rows = spark.createDataFrame([(p.article_id, p.title, i, p.passage_id, list(p.path), p.ordinal, p.text) for i, p in enumerate(shown)], "article_id string, article_title string, source_pos int, passage_id string, heading_path array<string>, paragraph_ordinal int, text string")
+    for wide in (False, True):
+        got = {r["passage_id"]: r["evidence"] for r in curation.evidence_frames(rows, cockpit.RUBRIC, wide, 60).collect()}
+        assert got == {p.passage_id: cockpit.evidence(shown, i, wide, 60) for i, p in enumerate(shown)}
+    assert max(len(line) for line in cockpit.screen(shown, 4, "undecided", True, 10).split("\r\n")[4:-1]) <= 40
+
+
 def test_state_of_one_cursor_is_upgraded(tmp_path):
     import sqlite3
 
