@@ -77,24 +77,23 @@ def _kept(frame: DataFrame) -> DataFrame:
 
 
 def _jumped(edges: DataFrame) -> tuple[DataFrame, bool]:
-    """(key, far, steps, moves) of edges (key, far), and whether pointers still move after more steps than there are edges.
+    """(key, far, steps, moves) of edges (key, far), and whether what still moves does so for ever, all of it on cycles.
 
     Pointers double: each round joins every key with the key that its own pointer reaches, so a chain of n
-    steps takes log2(n) rounds of rows of fixed size.
+    steps takes log2(n) rounds of rows of fixed size. A longer chain would have an end that stops in the next
+    round, and a longer tail of a cycle an end that no pointer reaches any more; so when as many keys move as
+    before, and reach as many keys, every pointer that moves is on its cycle.
     """
-    total, reach = edges.count(), 1
-    jumps = edges.select("key", "far", F.lit(1).cast("long").alias("steps"))
+    jumps, before = edges.select("key", "far", F.lit(1).cast("long").alias("steps")), None
     while True:
         beyond = jumps.select(F.col("key").alias("mid"), F.col("far").alias("far2"), F.col("steps").alias("steps2"))
         step = jumps.join(beyond, F.col("far") == F.col("mid"), "left")
         moves = F.col("far2").isNotNull()
         jumps = _kept(step.select("key", F.coalesce("far2", "far").alias("far"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), moves.alias("moves")))
-        reach *= 2
-        if jumps.where("moves").isEmpty():
-            return jumps, False
-        if reach > total:
-            return jumps, True
-        jumps = jumps.select("key", "far", "steps")
+        now = jumps.where("moves").agg(F.count("*").alias("keys"), F.count_distinct("far").alias("reached")).first()
+        if not now["keys"] or now == before:
+            return jumps, bool(now["keys"])
+        jumps, before = jumps.select("key", "far", "steps"), now
 
 
 def _rings(edges: DataFrame) -> DataFrame:
