@@ -52,6 +52,20 @@ def compared(manifest: DataFrame, found: DataFrame) -> DataFrame:
     return m.join(f, "path", "full").select("path", state.alias("state")).where("state is not null")
 
 
+def with_previous(rows: DataFrame, group: str, order: str, value: str, out: str, width: int = 1 << 16) -> DataFrame:
+    """rows with the value of the row before in the group; order is a number.
+
+    A long group is cut at every `width` numbers, so no task has all of it; what ends a part is carried to the next one.
+    """
+    rows = rows.withColumn("part_", F.floor(F.col(order) / width))
+    ends = rows.groupBy(group, "part_").agg(F.max(F.struct(F.col(order).alias("o"), F.struct(F.col(value).alias("v")).alias("s"))).alias("end"))
+    ends = ends.select(F.col(group).alias("group_"), F.col("part_").alias("of_"), F.lag("end.s.v").over(Window.partitionBy(group).orderBy("part_")).alias("carried_"))
+    inside = Window.partitionBy(group, "part_").orderBy(order)
+    rows = rows.withColumns({"first_": F.row_number().over(inside) == 1, "own_": F.lag(value).over(inside)})
+    rows = rows.join(ends, rows[group].eqNullSafe(F.col("group_")) & (F.col("part_") == F.col("of_")))
+    return rows.withColumn(out, F.when(F.col("first_"), F.col("carried_")).otherwise(F.col("own_"))).drop("part_", "first_", "own_", "group_", "of_", "carried_")
+
+
 def out_of_order(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
     """Rows whose value does not exceed the one before it in the group."""
     before = F.lag(value).over(Window.partitionBy(group).orderBy(order))

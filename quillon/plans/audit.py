@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import curation, integrity
+from ..sources import snapshot
 from .corpus import read
 
 QUERIES: dict = {}
@@ -126,9 +127,28 @@ def timestamp_zone_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(integrity.zoned_timestamp(F.col("stamp"))).alias("valid"))
 
 
-@query("""WITH v AS (SELECT event_id, unnest([CASE WHEN value > 50 THEN NULL ELSE 'value over fifty' END, CASE WHEN event_type <> 'error' THEN NULL ELSE 'error event' END, CASE WHEN user_id % 2 = 0 THEN NULL ELSE 'odd passage' END]) AS check_id FROM events)
-SELECT check_id, count(*) AS n, min(event_id) AS first_subject FROM v WHERE check_id IS NOT NULL GROUP BY 1""")
+@query("""WITH e AS (SELECT event_id AS n, user_id, event_type, event_id + 1 AS id, CASE event_type WHEN 'error' THEN 'undo' WHEN 'view' THEN 'defer' ELSE 'classify' END AS act,
+  CASE WHEN event_type = 'error' AND event_id % 13 = 0 THEN NULL WHEN event_type = 'error' THEN event_id ELSE NULL END AS prior FROM events),
+j AS (SELECT n, user_id, CASE WHEN n % 41 <> 0 THEN id END AS id, CASE WHEN n % 43 = 0 THEN 'remove' ELSE act END AS action, act, prior, 'p' || user_id AS passage FROM e),
+o AS (SELECT *, lag(CASE WHEN n % 37 = 0 THEN id - 5 ELSE id END) OVER (ORDER BY n) AS before, CASE WHEN n % 37 = 0 THEN id - 5 ELSE id END AS own FROM j),
+v AS (SELECT 'event id' AS check_id, n FROM o WHERE own IS NULL OR own <= 0 UNION ALL SELECT 'event order', n FROM o WHERE own <= before UNION ALL SELECT 'event action', n FROM o WHERE action = 'remove'
+  UNION ALL SELECT 'event classification', n FROM o WHERE (action = 'classify' AND n % 17 = 0) OR (action <> 'classify' AND (act = 'classify') ) UNION ALL SELECT 'superseded event', n FROM o WHERE action = 'undo' AND prior IS NULL
+  UNION ALL SELECT 'event question', n FROM o WHERE n % 19 = 0 UNION ALL SELECT 'event evidence', n FROM o WHERE n % 23 = 0 UNION ALL SELECT 'event fields', n FROM o WHERE n % 29 = 0
+  UNION ALL SELECT 'superseded event is none of this passage', n FROM o WHERE own IS NOT NULL AND prior IS NOT NULL AND NOT EXISTS (SELECT 1 FROM o q WHERE q.own = o.prior AND q.own < o.own AND q.passage = o.passage AND q.action <> 'undo'))
+SELECT check_id, count(*) AS n, min(n) AS first_line FROM v GROUP BY 1""")
 def schema_violation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checks = {"value over fifty": F.col("value") > 50, "error event": F.col("event_type") != "error", "odd passage": F.col("user_id") % 2 == 0}
-    found = integrity.violations(read(spark, sf_dir, "events"), F.col("event_id"), checks)
-    return found.groupBy("check_id").agg(F.count("*").alias("n"), F.min("subject").alias("first_subject"))
+    """events as lines of a snapshot with faults that follow from their numbers: how often each rule is broken, and where first."""
+    n, kind = F.col("event_id"), F.col("event_type")
+    act = F.when(kind == "error", "undo").when(kind == "view", "defer").otherwise("classify")
+    own = n + 1 - F.when(n % 37 == 0, 5).otherwise(0)
+    label = F.when(act == "classify", F.when(n % 17 == 0, "x").otherwise("internal lore"))
+    fields = {
+        "record_type": F.lit("audit_event"), "action": F.when(n % 43 == 0, "remove").otherwise(act), "passage_id": F.concat(F.lit("p"), "user_id"), "classification": label, "rubric_id": F.lit("r1"), "question": F.when(n % 19 == 0, "").otherwise("q"),
+        "evidence": F.when(n % 23 != 0, F.lit("e")), "semantic_answer": F.lit("s"), "created_at": F.lit("2026-01-01T00:00:00Z"), "supersedes_event_id": F.when((kind == "error") & (n % 13 != 0), n),
+    }
+    line = F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]), {"ignoreNullFields": "false"})
+    # The id is written as a text in some lines; others have a field more.
+    ident = F.concat(F.lit('{"id":'), F.when(n % 41 == 0, F.concat(F.lit('"'), own, F.lit('"'))).otherwise(own.cast("string")), F.when(n % 29 == 0, ',"extra":1').otherwise(""), F.lit(","))
+    lines = read(spark, sf_dir, "events").select(F.lit("one").alias("log"), n.alias("line_no"), F.concat(ident, F.substring(line, 2, 1 << 20)).alias("value"))
+    found = snapshot.event_violations(lines, tuple(curation.CLASSIFICATIONS.values()))
+    return found.groupBy("check_id").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"))

@@ -7,8 +7,10 @@ import os
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.text import canonical_line
+from ..operators import integrity
 
 # Record fields of the format.
 EVENT = ("id", "action", "passage_id", "classification", "rubric_id", "question", "evidence", "semantic_answer", "created_at", "supersedes_event_id")
@@ -80,6 +82,35 @@ def _event(record: dict, n: int, metadata: dict, events: list[dict], by_id: dict
     events.append(record)
 
 
+def event_violations(lines: DataFrame, labels: tuple[str, ...]) -> DataFrame:
+    """(check_id, line_no) of the rules that event lines (log, line_no, value) break, as rows; lines of other records are left out.
+
+    For logs too long to read line by line; validated() stops at the first fault of a file.
+    """
+    record = F.try_parse_json("value")
+    of = lambda name: F.try_variant_get("r", f"$.{name}", "variant")
+    kind = lambda name: F.schema_of_variant(of(name))
+    text = lambda name: F.try_variant_get("r", f"$.{name}", "string")
+    rows = lines.withColumn("r", record).where(text("record_type") == PHASES[2])
+    prior, action = F.try_variant_get("r", "$.supersedes_event_id", "bigint"), text("action")
+    rows = rows.select(
+        "log", "line_no", F.array_sort(F.json_object_keys("value")).alias("keys"), F.when(kind("id") == "BIGINT", F.try_variant_get("r", "$.id", "bigint")).alias("id"), action.alias("action"), text("passage_id").alias("passage_id"),
+        F.when(kind("classification") == "STRING", text("classification")).alias("classification"), (kind("classification") == "VOID").alias("unclassified"),
+        F.when(kind("supersedes_event_id") == "BIGINT", prior).alias("supersedes_event_id"), kind("supersedes_event_id").isin("VOID", "BIGINT").alias("prior_typed"),
+        *[((kind(f) == "STRING") & (text(f) != "")).alias(f"good_{f}") for f in ("passage_id", "rubric_id", "question", "evidence", "semantic_answer", "created_at")],
+    )
+    rows = integrity.with_previous(rows, "log", "line_no", "id", "before")
+    rules = {
+        "event fields": F.col("keys") == F.array(*[F.lit(k) for k in sorted((*EVENT, "record_type"))]), "event id": F.col("id") > 0, "event order": F.col("before").isNull() | F.col("id").isNull() | (F.col("id") > F.col("before")),
+        "event action": F.col("action").isin("classify", "defer", "undo"), "event classification": F.when(F.col("action") == "classify", F.col("classification").isin(*labels)).otherwise(F.col("unclassified")),
+        "superseded event": F.col("prior_typed") & ((F.col("action") != "undo") | F.col("supersedes_event_id").isNotNull()),
+        **{f"event {c.removeprefix('good_')}": F.col(c) for c in rows.columns if c.startswith("good_")},
+    }
+    plain = integrity.violations(rows, F.col("line_no"), rules).withColumnRenamed("subject", "line_no")
+    old = rows.where("id is not null").select("line_no", "id", "action", "passage_id", "supersedes_event_id")
+    return plain.unionByName(integrity.dangling(old).select(F.lit("superseded event is none of this passage").alias("check_id"), "line_no"))
+
+
 def lines_of(metadata: dict[str, str], events: list[dict], session: dict) -> list[str]:
     """Canonical lines in fixed order."""
     rows = [{"record_type": PHASES[0], "schema_version": 1}]

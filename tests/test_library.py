@@ -249,6 +249,18 @@ def test_integrity(spark):
         integrity.first_violation(found, ["label"])
 
 
+def test_previous_values_across_parts(spark):
+    rng = random.Random(6)
+    rows = [(g, o, rng.choice([None, rng.randrange(50)])) for g in ("a", "b", None) for o in rng.sample(range(200), 60)]
+    got = integrity.with_previous(spark.createDataFrame(rows, "g string, o long, v long"), "g", "o", "v", "before", 16).collect()
+    want = {}
+    for g in ("a", "b", None):
+        last = None
+        for _, o, v in sorted((r for r in rows if r[0] == g), key=lambda r: r[1]):
+            want[g, o], last = last, v
+    assert {(r["g"], r["o"]): r["before"] for r in got} == want
+
+
 def test_stream_of_decisions(spark, tmp_path):
     from quillon.streaming import decisions
 
