@@ -9,8 +9,9 @@ them through it. A piece that is there several times is indexed once and keeps i
 
 Repeated windows of `short` units are reported, those of `length` units are removed. Equal long windows
 begin with equal short ones, so they meet in one shard too: a piece goes on for as many units as the
-long window of its last start needs. Neighbouring pieces of a text overlap by less than a window, so none is
-taken for a repeat of itself; that is why each length has an index of its own over as much of the pieces.
+long window of its last start needs. Neighbouring pieces of a text overlap by less than a long window, so none
+is taken for a repeat of itself. Short windows of a shard are told apart by their 64-bit hashes at the starts that a
+piece has for itself; long ones by the index, over the pieces in which hashes leave a repeat possible.
 
 No shard grows with a popular passage: pieces of one k-gram beyond a bound are dealt to parts, and each
 pair of parts forms a shard of its own.
@@ -61,6 +62,7 @@ class Kind:
     units: Callable[[blocks.Slice], Units]
     body: Callable[[blocks.Slice, Units, int, int], bytes]  # of units low to high
     matches: Callable[[list[bytes], int], list[np.ndarray]]  # a shard's index: repeated starts of each piece
+    near: Callable[[list[bytes], list[int], int], list[np.ndarray]] | None = None  # the same by hashes, at so many first starts, for windows of a size
 
 
 def _least_at(grams: np.ndarray, size: int) -> np.ndarray:
@@ -175,14 +177,15 @@ def _shard(kind: Kind):
         _, first = np.unique(piece, return_index=True)
         body, n = group.column("body").take(pa.array(first)).to_pylist(), group.column("n").to_numpy()[first].tolist()
         if s.short == s.length:
-            longs = [packed(f) for f in kind.matches(body, s.length)]
-            shorts = longs
+            shorts = longs = [packed(f) for f in kind.matches(body, s.length)]
         else:
-            shorts = [packed(f) for f in kind.matches([b[: k - 1 + s.short] for b, k in zip(body, n, strict=True)], s.short)]
-            # A long window is repeated only if the short one that it begins with is.
-            some = [i for i, m in enumerate(shorts) if m and len(body[i]) >= s.length]
-            longs = dict(zip(some, (packed(f) for f in kind.matches([body[i] for i in some], s.length)), strict=True)) if some else {}
-            longs = [longs.get(i) for i in range(len(body))]
+            shorts = [packed(f) for f in kind.near(body, n, s.short)]
+            # A piece none of whose long windows has another's hash has nothing that the index could find.
+            some = [i for i, f in enumerate(kind.near(body, [max(0, len(b) - s.length + 1) for b in body], s.length)) if f.any()]
+            found = kind.matches([body[i] for i in some], s.length) if some else []
+            longs = [None] * len(body)
+            for i, f in zip(some, found, strict=True):
+                longs[i] = packed(f)
         some = [i for i, m in enumerate(shorts) if m]
         return pa.Table.from_arrays([pa.array(piece[first[some]], pa.int64()), pa.array([shorts[i] for i in some], pa.binary()), pa.array([longs[i] for i in some], pa.binary())], names=["piece", "shorts", "longs"])
 

@@ -31,10 +31,22 @@ def _kept(text: str, runs: np.ndarray) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
+def _near(pieces: list[bytes], counts: list[int], size: int) -> list[np.ndarray]:
+    starts = np.cumsum([0, *map(len, pieces)])
+    hashes = blocks.window_hashes(blocks.byte_codes(np.frombuffer(b"".join(pieces), np.uint8)), size)
+    own = np.concatenate([hashes[a : a + n] for a, n in zip(starts[:-1].tolist(), counts, strict=True)])
+    order = np.argsort(own)
+    same = np.zeros(len(own) + 1, bool)
+    same[1:-1] = own[order][1:] == own[order][:-1]
+    found = np.empty(len(own), bool)
+    found[order] = same[1:] | same[:-1]
+    return np.split(found, np.cumsum(counts)[:-1])
+
+
 def kind(length: int = LENGTH, short: int = SHORT) -> repeats.Kind:
     short = min(short, length)
     gram = max(1, min(24, short // 8))
-    return repeats.Kind(repeats.Sampling(length, short, gram, max(1, (short - gram + 1) // 4)), _units, _body, _matches)
+    return repeats.Kind(repeats.Sampling(length, short, gram, max(1, (short - gram + 1) // 4)), _units, _body, _matches, _near)
 
 
 def remove_repeated_bytes(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, short: int = SHORT) -> DataFrame:
