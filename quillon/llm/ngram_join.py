@@ -204,7 +204,8 @@ def ngram_join(documents: DataFrame, id_column: str = "doc_id", text_column: str
     profile = store.table(profiles(counted, percent), "profiles")
     label = links(profile, percent)
     docs = shared_codes.members(counted).join(label, F.col("key") == F.col("node"), "left").select("doc_id", "size", F.coalesce("label", "key").alias("label"))
-    least = docs.groupBy("label").agg(F.min("doc_id").alias("least"))
+    # Written, so that the join has two fresh exchanges and a large component can be split.
+    least = store.table(docs.groupBy("label").agg(F.min("doc_id").alias("least")), "least")
     return docs.join(least, "label").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
