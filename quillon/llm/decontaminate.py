@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import blocks
+from . import blocks, store
 
 WINDOW = 12
 LEAST_LITERALS = 8  # in a window
 FEWEST_LITERALS = 4  # in a window of an item none of whose windows has more
-TABLE_WINDOWS = 1 << 20  # benchmark windows that one pass over the documents holds
+MOST_BITS = 27  # of the bits that tell which windows may be the benchmark's, broadcast as 16 MB
 CHUNK = 1 << 15  # windows whose choices of names are worked out at once
 GAPS = (1, 2, 3)
 NUMBER, UNIT, NAME = np.uint64(11), np.uint64(13), np.uint64(17)
@@ -153,47 +153,80 @@ class Table:
 
     sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
     items: list[Canonical]
-    ids: list[int]
     pairs: np.ndarray  # by the low bits of its hash, whether a code or a pair of codes may occur
 
 
-def _tables(benchmark: DataFrame, size: int, least: int) -> Iterator[Table]:
-    """The benchmark's windows in tables of bounded size; an item shorter than a window is one window."""
-    held: list[tuple] = []
-    total = 0
-    for row in benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").orderBy("item_id", "text").toLocalIterator():
-        can = canonical(next(blocks.slices(pa.array([row["text"]]))))
-        own = min(size, len(can.codes))
-        if not own:
-            continue
-        enough, fewest = _literals(own, size, least), _literals(own, size, min(least, FEWEST_LITERALS))
-        most = int(can.literals(own)[1].max())  # of an item of many numbers and names the windows with most literals stand for it
-        start, hashes = map(np.concatenate, zip(*can.windows(own, enough, enough if most >= enough else max(fewest, most)), strict=True))
-        held.append((row["item_id"], can, own, start, hashes))
-        total += len(start)
-        if total >= TABLE_WINDOWS:
-            yield _table(held)
-            held, total = [], 0
-    if held:
-        yield _table(held)
-
-
 def _literals(own: int, size: int, least: int) -> int:
     """The literals that a window of own words needs: the same part of it."""
     return -(-least * own // size)
 
 
-def _table(held: list[tuple]) -> Table:
+def _windows(can: Canonical, size: int, least: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(size, start, hash) of an item's windows; an item shorter than a window is one window."""
+    own = min(size, len(can.codes))
+    if not own:
+        return 0, np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    enough, fewest = _literals(own, size, least), _literals(own, size, min(least, FEWEST_LITERALS))
+    most = int(can.literals(own)[1].max())  # of an item of many numbers and names the windows with most literals stand for it
+    return own, *map(np.concatenate, zip(*can.windows(own, enough, enough if most >= enough else max(fewest, most)), strict=True))
+
+
+def _pairs(can: Canonical) -> np.ndarray:
+    return np.concatenate([blocks.mix(can.codes), *[can.pairs(gap) for gap in GAPS]])
+
+
+def _table(items: list[Canonical], size: int, least: int) -> Table:
+    held = [(i, *_windows(can, size, least)) for i, can in enumerate(items)]
     sizes = {}
-    for own in sorted({h[2] for h in held}):
-        some = [(i, h[3], h[4]) for i, h in enumerate(held) if h[2] == own]
+    for own in sorted({h[1] for h in held} - {0}):
+        some = [(i, start, hashes) for i, n, start, hashes in held if n == own]
         hashes = np.concatenate([h for _, _, h in some])
         order = np.argsort(hashes, kind="stable")
         sizes[own] = hashes[order], np.repeat([i for i, _, _ in some], [len(h) for _, _, h in some])[order], np.concatenate([s for _, s, _ in some])[order]
-    seen = np.concatenate([x for h in held for x in (blocks.mix(h[1].codes), *[h[1].pairs(gap) for gap in GAPS])])
-    pairs = np.zeros(max(1 << 16, 1 << (8 * len(seen)).bit_length()), bool)
+    seen = np.concatenate([_pairs(can) for can in items])
+    pairs = np.zeros(max(1 << 10, 1 << (8 * len(seen)).bit_length()), bool)
     pairs[(seen & np.uint64(len(pairs) - 1)).astype(np.int64)] = True
-    return Table(sizes, [h[1] for h in held], [h[0] for h in held], pairs)
+    return Table(sizes, items, pairs)
+
+
+def _key(hashes: np.ndarray, own: int) -> np.ndarray:
+    """One key for a window's hash and size."""
+    return blocks.mix(hashes + np.uint64(own))
+
+
+def _met(can: Canonical, sizes: list[int], pairs: np.ndarray, size: int, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, start, hash) of the windows of a text that may be the benchmark's, given its pairs."""
+    sought = can.settled(pairs)
+    for own in sizes:
+        for start, hashes in sought.windows(own, _literals(own, size, least), _literals(own, size, min(least, FEWEST_LITERALS)), pairs):
+            yield own, start, hashes
+
+
+def _bitmap(values: DataFrame) -> np.ndarray:
+    """Packed bits, a power of two of them: those at the low bits of the values (value long) are set.
+
+    16 bits a value up to 2**MOST_BITS in all: beyond that more that is not there passes, and is joined in vain.
+    """
+    n = values.count()
+    bits = min(MOST_BITS, max(MOST_BITS - 10, (16 * n).bit_length()))
+    part = 1 << (MOST_BITS - 10)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = np.unique(batch.column(0).to_numpy().view(np.uint64) & np.uint64((1 << bits) - 1)).astype(np.int64)
+            for p in np.unique(at // part).tolist():
+                seen.setdefault(p, np.zeros(part, bool))[at[at // part == p] - p * part] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array([np.packbits(x).tobytes() for x in seen.values()], pa.binary())], names=["part", "bits"])
+
+    def both(group: pa.Table) -> pa.Table:
+        whole = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in group.column("bits")])
+        return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "bits": pa.array([whole.tobytes()], pa.binary())})
+
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for row in values.mapInArrow(run, "part int, bits binary").groupBy("part").applyInArrow(both, "part int, bits binary").collect():  # 2**MOST_BITS bits at most
+        out[row["part"] * part // 8 : (row["part"] + 1) * part // 8] = np.frombuffer(row["bits"], np.uint8)
+    return out
 
 
 def _slots(item: Canonical, own: Canonical) -> tuple[np.ndarray, np.ndarray]:
@@ -281,41 +314,63 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     of their words) count where the words are the item's own; where no window of an item has so many, those
     with the most stand for it, if that is FEWEST_LITERALS at least. Null and empty texts and items hold and give
     no passage; null ids are left out. Each pair of ids appears once, also for repeated rows.
+
+    One pass over the documents leaves those with a window that may be the benchmark's; their windows are
+    joined with the items' by hash. Each pair of a document and an item is aligned as a row of its own, so
+    a template that very many items share is spread over tasks.
     """
     spark = documents.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item")).where("item_id is not null and item is not null").distinct()
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in enumerate(batch.column(1)):
+                can = canonical(next(blocks.slices(pa.array([text.as_py()]))))
+                own, _, hashes = _windows(can, size, least)
+                if own:
+                    keys, pairs = np.unique(_key(hashes, own)).view(np.int64), np.unique(_pairs(can)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[row : row + 1], pa.array([own], pa.int32()), pa.array([keys], pa.list_(pa.int64())), pa.array([pairs], pa.list_(pa.int64()))], names=["item_id", "own", "keys", "pairs"])
+
+    windows = store.table(items.mapInArrow(known, "item_id long, own int, keys array<long>, pairs array<long>"), "items")
+    keys = windows.select("item_id", F.explode("keys").alias("key"))
+    sizes = sorted(r["own"] for r in windows.select("own").distinct().collect())  # `size` at most
+    share = spark.sparkContext.broadcast((_bitmap(keys.select("key")), _bitmap(windows.select(F.explode("pairs").alias("pair")).distinct())))
+
+    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, pairs = (np.unpackbits(x).view(bool) for x in share.value)
+        mask = np.uint64(len(seen) - 1)
+        for batch in batches:
+            for part in blocks.slices(batch.column(1)):
+                can = canonical(part)
+                rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+                for own, start, hashes in _met(can, sizes, pairs, size, least):
+                    key = _key(hashes, own)
+                    hit = np.flatnonzero(seen[(key & mask).astype(np.int64)])
+                    rows.append(np.searchsorted(can.of, start[hit], side="right") - 1)
+                    found.append(key[hit])
+                row, key = np.concatenate(rows), np.concatenate(found).view(np.int64)
+                some = np.unique(row)
+                if len(some):
+                    taken = batch.take(pa.array(some + part.first))
+                    yield pa.RecordBatch.from_arrays([*taken.columns, pa.array([np.unique(key[row == i]) for i in some], pa.list_(pa.int64()))], names=["doc_id", "text", "keys"])
+
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    out = None
-    for table in _tables(benchmark, size, least):
-        share = spark.sparkContext.broadcast(table)
-
-        def run(batches: Iterator[pa.RecordBatch], share=share) -> Iterator[pa.RecordBatch]:
-            table = share.value
-            seen = {own: np.zeros(1 << 20, bool) for own in table.sizes}
-            for own, (hashes, _, _) in table.sizes.items():
-                seen[own][(hashes & np.uint64(0xFFFFF)).astype(np.int64)] = True
-            for batch in batches:
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                got = []
-                for part in blocks.slices(batch.column(1)):
-                    can = canonical(part)
-                    met, sought = [], can.settled(table.pairs)
-                    for own, (known, _, _) in table.sizes.items():
-                        for start, hashes in sought.windows(own, _literals(own, size, least), _literals(own, size, min(least, FEWEST_LITERALS)), table.pairs):
-                            hit = np.flatnonzero(seen[own][(hashes & np.uint64(0xFFFFF)).astype(np.int64)])
-                            hit = hit[known[np.minimum(np.searchsorted(known, hashes[hit]), len(known) - 1)] == hashes[hit]]
-                            if len(hit):
-                                met.append((own, start[hit], hashes[hit], np.searchsorted(can.of, start[hit], side="right") - 1))
-                    for i in sorted({i for *_, row in met for i in row.tolist()}):
-                        low = int(can.of[i])
-                        own = [(n, start[row == i] - low, hashes[row == i]) for n, start, hashes, row in met]
-                        got += [(int(ids[part.first + i]), table.ids[k], *rest) for k, *rest in _aligned(table, can.cut(low, int(can.of[i + 1])), own, size)]
-                cols = list(zip(*got, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "n_words", "n_slots", "n_equal"])
-
-        found = rows.mapInArrow(run, "doc_id long, item_id long, n_words long, n_slots long, n_equal long")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, n_words long, n_slots long, n_equal long")
+    rows = rows.mapInArrow(suspects, "doc_id long, text string, keys array<long>").withColumn("row", F.monotonically_increasing_id())
+    rows = store.table(rows, "suspects")
+    pairs = rows.select("row", F.explode("keys").alias("key")).join(keys, "key").select("row", "item_id").distinct()
+
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = []
+            for doc, text, item, theirs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, table = canonical(next(blocks.slices(pa.array([text])))), _table([canonical(next(blocks.slices(pa.array([theirs]))))], size, least)
+                met = [(n, start[hit], hashes[hit]) for n, start, hashes in _met(own, list(table.sizes), table.pairs, size, least) if len(hit := np.flatnonzero(np.isin(hashes, table.sizes[n][0])))]
+                got += [(doc, item, *rest) for _, *rest in _aligned(table, own, met, size)]
+            cols = list(zip(*got, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "n_words", "n_slots", "n_equal"])
+
+    both = pairs.join(rows.select("row", "doc_id", "text"), "row").join(items, "item_id").select("doc_id", "text", "item_id", "item")
+    out = both.mapInArrow(aligned, "doc_id long, item_id long, n_words long, n_slots long, n_equal long")
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_words", "n_slots", "n_equal")).alias("x"))
     return best.select("doc_id", "item_id", "x.n_words", "x.n_slots", "x.n_equal")
 
