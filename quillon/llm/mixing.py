@@ -107,9 +107,9 @@ def mix(documents: DataFrame, weights: DataFrame | None = None, id_column: str =
     rows = documents.withColumns({
         names["q_source"]: source,
         names["q_chars"]: F.greatest(F.coalesce(F.length(F.col(text_column).cast("string")), F.lit(0)), F.lit(1)).cast("long"),
-        names["q_hash"]: F.xxhash64(id_column, text_column),
+        names["q_hash"]: F.conv(F.substring(F.md5(F.concat(*[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in (id_column, text_column)])), 1, 15), 16, 10).cast("long"),
     })
-    rows = rows.withColumn(names["q_bucket"], F.shiftrightunsigned(c("q_hash"), 64 - bits))
+    rows = rows.withColumn(names["q_bucket"], F.shiftrightunsigned(c("q_hash"), 60 - bits))
     # A source is not summed up in one task: sums of its buckets first, then running sums inside each.
     buckets = rows.groupBy(names["q_source"], names["q_bucket"]).agg(F.sum(names["q_chars"]).alias("chars"))
     buckets = store.table(buckets, "buckets")

@@ -108,11 +108,46 @@ SELECT v.vec_id, coalesce(n, 0) AS n_links, component_id, v.vec_id = component_i
 FROM embeddings v JOIN least ON least.a = v.vec_id LEFT JOIN counts ON counts.a = v.vec_id
 """
 
+#: (doc_id, source, mix_block, mix_slot, mix_release, mix_deadline, mix_offset, mix_phase): a step of recursion for each slot.
+MIXING = """
+WITH RECURSIVE
+docs AS (
+  SELECT doc_id, source, coalesce('s' || source, 'n') AS k, greatest(length(coalesce(text, '')), 1)::BIGINT AS chars,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || coalesce(text, '')), 1, 15))::BIGINT AS h
+  FROM documents),
+sums AS (SELECT k, sum(chars)::BIGINT AS chars FROM docs GROUP BY k),
+size AS (SELECT greatest(65536, (sum(chars)::BIGINT + 262143) // 262144) AS block FROM sums),
+parts AS (
+  SELECT k, (chars + block - 1) // block AS blocks, greatest(1, round(sqrt(chars::DOUBLE) / sum(sqrt(chars::DOUBLE)) OVER () * 1099511627776.0))::BIGINT AS part
+  FROM sums, size),
+plan AS (SELECT list(k ORDER BY k) AS ks, list(part ORDER BY k) AS p, list(blocks ORDER BY k) AS blocks, sum(part)::BIGINT AS whole, sum(blocks)::BIGINT AS slots FROM parts),
+edf AS (
+  SELECT 0::BIGINT AS slot, list_transform(p, lambda x: 0::BIGINT) AS done, blocks AS rest, 0::BIGINT AS base, whole AS total, 0 AS phase,
+    0::BIGINT AS i, 0::BIGINT AS release, 0::BIGINT AS deadline, 0 AS own_phase
+  FROM plan
+  UNION ALL
+  SELECT slot + 1, list_transform(range(1, len(p) + 1), lambda j: CASE WHEN rest[pick] = 1 THEN 0 WHEN j = pick THEN done[j] + 1 ELSE done[j] END),
+    list_transform(range(1, len(p) + 1), lambda j: CASE WHEN j = pick THEN rest[j] - 1 ELSE rest[j] END),
+    CASE WHEN rest[pick] = 1 THEN slot + 1 ELSE base END, CASE WHEN rest[pick] = 1 THEN total - p[pick] ELSE total END, phase + (rest[pick] = 1)::INT,
+    pick, base + (done[pick] * total) // p[pick], code // 65536, phase
+  FROM (
+    SELECT *, code % 65536 AS pick
+    FROM (
+      SELECT edf.*, p, list_min(list_transform(range(1, len(p) + 1), lambda j: CASE
+        WHEN rest[j] > 0 AND (done[j] * total) // p[j] <= slot - base THEN (base + ((done[j] + 1) * total + p[j] - 1) // p[j]) * 65536 + j END)) AS code
+      FROM edf, plan WHERE slot < slots) tried) picked),
+slots AS (SELECT ks[i] AS k, row_number() OVER (PARTITION BY i ORDER BY slot) - 1 AS b, slot - 1 AS slot, release, deadline, own_phase FROM edf, plan WHERE i > 0),
+placed AS (SELECT *, coalesce(sum(chars) OVER (PARTITION BY k ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM docs)
+SELECT doc_id, source, before // block AS mix_block, slot AS mix_slot, release AS mix_release, deadline AS mix_deadline, before % block AS mix_offset, own_phase AS mix_phase
+FROM placed CROSS JOIN size JOIN slots ON slots.k = placed.k AND slots.b = before // block
+"""
+
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": NGRAM_JOIN,
     "op3_warc_packages": WARC,
     "op4_suffix_array_dedup": BYTES,
     "op5_secret_ledger": SECRETS,
     "op6_multi_index": VECTORS,
+    "op7_pfair_mixing": MIXING,
     "op10_substring_dedup": PASSAGES,
 }
