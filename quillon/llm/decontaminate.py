@@ -26,7 +26,11 @@ from . import blocks, store
 WINDOW = 12
 LEAST_LITERALS = 8  # in a window
 FEWEST_LITERALS = 4  # in a window of an item none of whose windows has more
-MOST_BITS = 27  # of the bits that tell which windows may be the benchmark's, broadcast as 16 MB
+PART_BITS = 17
+# Bits for each place of a window in the filter that is broadcast, and 2**30 (128 MB) at most: one window in a million that
+# isn't the benchmark's passes, up to a million windows. Of pairs, which only spare work, there are 2**26 at most.
+WINDOW_ROOM, WINDOW_BITS = 512, 30
+PAIR_ROOM, PAIR_BITS = 16, 26
 CHUNK = 1 << 15  # windows whose choices of names are worked out at once
 GAPS = (1, 2, 3)
 NUMBER, UNIT, NAME = np.uint64(11), np.uint64(13), np.uint64(17)
@@ -202,33 +206,47 @@ def _met(can: Canonical, sizes: list[int], pairs: np.ndarray, size: int, least:
             yield own, start, hashes
 
 
-def _bitmap(values: DataFrame) -> np.ndarray:
+def _bitmap(values: DataFrame, room: int, most: int) -> np.ndarray:
     """Packed bits, a power of two of them: those at the low bits of the values (value long) are set.
 
-    16 bits a value up to 2**MOST_BITS in all: beyond that more that is not there passes, and is joined in vain.
+    `room` bits for each value, 2**most in all at most: beyond that more passes that isn't there, never less.
     """
-    n = values.count()
-    bits = min(MOST_BITS, max(MOST_BITS - 10, (16 * n).bit_length()))
-    part = 1 << (MOST_BITS - 10)
+    bits = min(most, max(PART_BITS, (room * values.count()).bit_length()))
+    part = 1 << PART_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, np.ndarray] = {}
         for batch in batches:
             at = np.unique(batch.column(0).to_numpy().view(np.uint64) & np.uint64((1 << bits) - 1)).astype(np.int64)
-            for p in np.unique(at // part).tolist():
-                seen.setdefault(p, np.zeros(part, bool))[at[at // part == p] - p * part] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array([np.packbits(x).tobytes() for x in seen.values()], pa.binary())], names=["part", "bits"])
+            cuts = np.flatnonzero(np.diff(at >> PART_BITS)) + 1
+            for own in np.split(at, cuts) if len(at) else []:
+                seen.setdefault(int(own[0] >> PART_BITS), np.zeros(part, bool))[own & (part - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in seen.values()], pa.binary())], names=["part", "bits"])
 
     def both(group: pa.Table) -> pa.Table:
         whole = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in group.column("bits")])
         return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "bits": pa.array([whole.tobytes()], pa.binary())})
 
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for row in values.mapInArrow(run, "part int, bits binary").groupBy("part").applyInArrow(both, "part int, bits binary").collect():  # 2**MOST_BITS bits at most
+    for row in values.mapInArrow(run, "part int, bits binary").groupBy("part").applyInArrow(both, "part int, bits binary").toLocalIterator():  # 2**most bits at most
         out[row["part"] * part // 8 : (row["part"] + 1) * part // 8] = np.frombuffer(row["bits"], np.uint8)
     return out
 
 
+def _probes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of a key in the filter of windows."""
+    return keys, blocks.mix(keys ^ np.uint64(0x5851F42D4C957F2D))
+
+
+def _passing(keys: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """Which keys have both their bits set."""
+    some = np.arange(len(keys))
+    for places in _probes(keys):
+        at = places[some] & np.uint64(8 * len(packed) - 1)
+        some = some[(packed[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+    return some
+
+
 def _slots(item: Canonical, own: Canonical) -> tuple[np.ndarray, np.ndarray]:
     """Word by word: the kind of slot that both have there or 0, and whether the words fit each other."""
     kinds = np.where((item.codes == own.codes) & (item.codes <= NAME), item.codes, np.uint64(0))
@@ -334,18 +352,23 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     windows = store.table(items.mapInArrow(known, "item_id long, own int, keys array<long>, pairs array<long>"), "items")
     keys = windows.select("item_id", F.explode("keys").alias("key"))
     sizes = sorted(r["own"] for r in windows.select("own").distinct().collect())  # `size` at most
-    share = spark.sparkContext.broadcast((_bitmap(keys.select("key")), _bitmap(windows.select(F.explode("pairs").alias("pair")).distinct())))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_probes(batch.column(0).to_numpy().view(np.uint64))).view(np.int64))], names=["place"])
+
+    filters = _bitmap(keys.select("key").distinct().mapInArrow(places, "place long"), WINDOW_ROOM, WINDOW_BITS), _bitmap(windows.select(F.explode("pairs").alias("pair")).distinct(), PAIR_ROOM, PAIR_BITS)
+    share = spark.sparkContext.broadcast(filters)
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, pairs = (np.unpackbits(x).view(bool) for x in share.value)
-        mask = np.uint64(len(seen) - 1)
+        seen, pairs = share.value[0], np.unpackbits(share.value[1], bitorder="little").view(bool)
         for batch in batches:
             for part in blocks.slices(batch.column(1)):
                 can = canonical(part)
                 rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
                 for own, start, hashes in _met(can, sizes, pairs, size, least):
                     key = _key(hashes, own)
-                    hit = np.flatnonzero(seen[(key & mask).astype(np.int64)])
+                    hit = _passing(key, seen)
                     rows.append(np.searchsorted(can.of, start[hit], side="right") - 1)
                     found.append(key[hit])
                 row, key = np.concatenate(rows), np.concatenate(found).view(np.int64)
