@@ -214,21 +214,15 @@ def _bitmap(values: DataFrame, room: int, most: int) -> np.ndarray:
     bits = min(most, max(PART_BITS, (room * values.count()).bit_length()))
     part = 1 << PART_BITS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, np.ndarray] = {}
-        for batch in batches:
-            at = np.unique(batch.column(0).to_numpy().view(np.uint64) & np.uint64((1 << bits) - 1)).astype(np.int64)
-            cuts = np.flatnonzero(np.diff(at >> PART_BITS)) + 1
-            for own in np.split(at, cuts) if len(at) else []:
-                seen.setdefault(int(own[0] >> PART_BITS), np.zeros(part, bool))[own & (part - 1)] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in seen.values()], pa.binary())], names=["part", "bits"])
-
-    def both(group: pa.Table) -> pa.Table:
-        whole = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in group.column("bits")])
-        return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "bits": pa.array([whole.tobytes()], pa.binary())})
+    def packed(group: pa.Table) -> pa.Table:
+        seen = np.zeros(part, bool)
+        seen[group.column("place").to_numpy() & (part - 1)] = True
+        return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(seen, bitorder="little").tobytes()], pa.binary())})
 
+    places = values.select(F.col(values.columns[0]).bitwiseAND((1 << bits) - 1).alias("place"))
+    places = places.select("place", F.shiftright("place", PART_BITS).cast("int").alias("part")).distinct()
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for row in values.mapInArrow(run, "part int, bits binary").groupBy("part").applyInArrow(both, "part int, bits binary").toLocalIterator():  # 2**most bits at most
+    for row in places.groupBy("part").applyInArrow(packed, "part int, bits binary").toLocalIterator():  # 2**most bits at most
         out[row["part"] * part // 8 : (row["part"] + 1) * part // 8] = np.frombuffer(row["bits"], np.uint8)
     return out
 
