@@ -225,7 +225,7 @@ def keep_one(documents: DataFrame) -> DataFrame:
     # Of the codes of one component the first by (doc_id, code) stays; the others, and repeated rows, go.
     ids = narrow.select("code", F.col("doc_id").alias("id")).distinct()
     rows = found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("code"), "component_id").agg(F.count("*").alias("rows")).join(ids, "code")
-    best = rows.groupBy("component_id").agg(F.min(F.struct("id", "code")).alias("best"))
+    best = store.table(rows.groupBy("component_id").agg(F.min(F.struct("id", "code")).alias("best")), "best")  # so the join can split a large component
     dropped = store.table(rows.join(best, "component_id").select("code", "rows", (F.col("code") != F.col("best.code")).alias("gone")).where("gone or rows > 1"), "dropped")
     gone = dropped.where("gone").select(F.col("code").alias(own))
     rest = documents.withColumn(own, F.when(F.col("doc_id").isNotNull(), code)).join(gone.hint("shuffle_hash"), own, "left_anti")
