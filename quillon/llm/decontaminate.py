@@ -194,8 +194,8 @@ def _table(items: list[Canonical], size: int, least: int) -> Table:
 
 
 def _key(hashes: np.ndarray, own: int) -> np.ndarray:
-    """One key for a window's hash and size."""
-    return blocks.mix(hashes + np.uint64(own))
+    """One key for a window's hash, which is mixed well, and size."""
+    return hashes + np.uint64(own) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def _met(can: Canonical, sizes: list[int], pairs: np.ndarray, size: int, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -227,18 +227,20 @@ def _bitmap(values: DataFrame, room: int, most: int) -> np.ndarray:
     return out
 
 
-def _probes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two places of a key in the filter of windows."""
-    return keys, blocks.mix(keys ^ np.uint64(0x5851F42D4C957F2D))
+def _second(keys: np.ndarray) -> np.ndarray:
+    """The other place of a key in the filter of windows; the first is the key's own."""
+    return blocks.mix(keys ^ np.uint64(0x5851F42D4C957F2D))
 
 
 def _passing(keys: np.ndarray, packed: np.ndarray) -> np.ndarray:
-    """Which keys have both their bits set."""
-    some = np.arange(len(keys))
-    for places in _probes(keys):
-        at = places[some] & np.uint64(8 * len(packed) - 1)
-        some = some[(packed[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0]
-    return some
+    """Which keys have both their bits set; few have the first, so the second is worked out for those only."""
+
+    def there(places: np.ndarray) -> np.ndarray:
+        at = places & np.uint64(8 * len(packed) - 1)
+        return np.flatnonzero((packed[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
+
+    some = there(keys)
+    return some[there(_second(keys[some]))]
 
 
 def _slots(item: Canonical, own: Canonical) -> tuple[np.ndarray, np.ndarray]:
@@ -349,7 +351,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW,
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_probes(batch.column(0).to_numpy().view(np.uint64))).view(np.int64))], names=["place"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own := batch.column(0).to_numpy().view(np.uint64), _second(own)]).view(np.int64))], names=["place"])
 
     filters = _bitmap(keys.select("key").distinct().mapInArrow(places, "place long"), WINDOW_ROOM, WINDOW_BITS), _bitmap(windows.select(F.explode("pairs").alias("pair")).distinct(), PAIR_ROOM, PAIR_BITS)
     share = spark.sparkContext.broadcast(filters)
