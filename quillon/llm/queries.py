@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, multi_index, ngram_join, passage_dedup, pii, quality, secrets, substring_dedup, warc
+from . import conversations, decontaminate, mixing, multi_index, ngram_join, packing, passage_dedup, pii, quality, secrets, substring_dedup, warc
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -57,7 +57,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_dedup.remove_repeated_passages(_read(spark, sf_dir, "documents"))
 
 
+def op11_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packed(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    return conversations.repairs(conversations.damaged(rows), rows)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii_surrogates, op2_ngram_jaccard_join, op3_warc_packages, op4_suffix_array_dedup, op5_secret_ledger, op6_multi_index, op7_pfair_mixing, op8_template_decontamination, op9_quality_classifier, op10_substring_dedup)
+    for f in (op1_pii_surrogates, op2_ngram_jaccard_join, op3_warc_packages, op4_suffix_array_dedup, op5_secret_ledger, op6_multi_index, op7_pfair_mixing, op8_template_decontamination, op9_quality_classifier, op10_substring_dedup, op11_best_two_fit, op12_conversation_repair)
 }
