@@ -198,10 +198,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for length, n in sizes.groupBy("length").agg(F.sum("n")).collect():  # at most `capacity` rows
         counts[length] = n
     table = places(best_two_fit(counts, capacity))
-    steps = np.flatnonzero(np.diff(table[:, 0], prepend=0))
-    first = np.zeros(capacity + 2, np.int64)  # rows of a length begin there
-    for a, b in zip(steps, [*steps[1:], len(table)], strict=True):
-        first[table[a, 0] : table[a, 0] + 2] = a, b
+    first = np.searchsorted(table[:, 0], np.arange(capacity + 2))  # rows of a length begin there
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,9 +206,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             row = np.empty(len(length), np.int64)
             for x in np.unique(length).tolist():
                 own = length == x
-                low = first[x]
-                high = low + np.searchsorted(table[low:, 0], x, "right")
-                row[own] = low + np.searchsorted(table[low:high, 1], number[own], "right") - 1
+                row[own] = first[x] + np.searchsorted(table[first[x] : first[x + 1], 1], number[own], "right") - 1
             _, low, uses, sequence, offset = table[row].T
             turn = number - low
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence + turn // uses), pa.array(offset + turn % uses * length)], names=[*names, "sequence_id", "offset"])
@@ -219,7 +214,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     ahead = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32"))
-    numbered = found.withColumn("inside", inside - 1).join(sizes.select("length", "bucket", ahead.alias("ahead")), ["length", "bucket"])
+    numbered = found.withColumn("inside", inside - 1).join(sizes.select("length", "bucket", ahead.alias("ahead")).hint("merge"), ["length", "bucket"])
     return numbered.select(*names, (F.col("ahead") + F.col("inside")).alias("number")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, mixing, multi_index, ngram_join, packing, passage_dedup, pii, quality, secrets, substring_dedup, warc
+from . import compaction, conversations, decontaminate, mixing, multi_index, ngram_join, packing, passage_dedup, pii, quality, secrets, store, substring_dedup, warc
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -68,7 +68,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repairs(conversations.damaged(rows), rows)
 
 
+def op13_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.compacted(_read(spark, sf_dir, "clicks"), store.new_path(spark, "compacted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii_surrogates, op2_ngram_jaccard_join, op3_warc_packages, op4_suffix_array_dedup, op5_secret_ledger, op6_multi_index, op7_pfair_mixing, op8_template_decontamination, op9_quality_classifier, op10_substring_dedup, op11_best_two_fit, op12_conversation_repair)
+    for f in (op1_pii_surrogates, op2_ngram_jaccard_join, op3_warc_packages, op4_suffix_array_dedup, op5_secret_ledger, op6_multi_index, op7_pfair_mixing, op8_template_decontamination, op9_quality_classifier, op10_substring_dedup, op11_best_two_fit, op12_conversation_repair, op13_compaction)
 }
