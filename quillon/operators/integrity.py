@@ -66,6 +66,34 @@ def with_previous(rows: DataFrame, group: str, order: str, value: str, out: str,
     return rows.withColumn(out, F.when(F.col("first_"), F.col("carried_")).otherwise(F.col("own_"))).drop("part_", "first_", "own_", "group_", "of_", "carried_")
 
 
+def numbered(rows: DataFrame, group: str, order: str, part: Column, out: str) -> DataFrame:
+    """rows with their number in the group's order, from 0; part never falls along the order, and each part is a task's work."""
+    rows = rows.withColumn("part_", part)
+    sizes = rows.groupBy(F.col(group).alias("group_"), F.col("part_").alias("of_")).agg(F.count("*").alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy("group_").orderBy("of_").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("group_", "of_", F.coalesce(ahead, F.lit(0)).alias("ahead_"))
+    rows = rows.withColumn("own_", F.row_number().over(Window.partitionBy(group, "part_").orderBy(order)) - 1)
+    rows = rows.join(sizes, rows[group].eqNullSafe(F.col("group_")) & rows["part_"].eqNullSafe(F.col("of_")))
+    return rows.withColumn(out, F.col("ahead_") + F.col("own_")).drop("part_", "own_", "ahead_", "group_", "of_")
+
+
+def with_last(rows: DataFrame, group: str, order: list[str], part: Column, value: str, out: str) -> DataFrame:
+    """rows with the last value up to each row, itself included, that is not null, in the group's order.
+
+    part is a number that never falls along the order. Each part of a group is a task's work; what its last row
+    has is carried to the parts after it, which meet with a row each.
+    """
+    rows = rows.withColumn("part_", part)
+    known = F.when(F.col(value).isNotNull(), F.struct(*order))
+    ends = rows.groupBy(F.col(group).alias("group_"), F.col("part_").alias("of_")).agg(F.max_by(F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"))), known).alias("end"))
+    ahead = Window.partitionBy("group_").orderBy("of_").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("group_", "of_", F.last("end", ignorenulls=True).over(ahead)["v"].alias("carried_"))
+    inside = Window.partitionBy(group, "part_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("own_", F.last(value, ignorenulls=True).over(inside))
+    rows = rows.join(ends, rows[group].eqNullSafe(F.col("group_")) & rows["part_"].eqNullSafe(F.col("of_")))
+    return rows.withColumn(out, F.coalesce("own_", "carried_")).drop("part_", "own_", "group_", "of_", "carried_")
+
+
 def out_of_order(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
     """Rows whose value does not exceed the one before it in the group."""
     before = F.lag(value).over(Window.partitionBy(group).orderBy(order))
@@ -106,6 +134,10 @@ def release_id(value: Column) -> Column:
     return value.rlike(RELEASE_ID)
 
 
+def is_release_id(value: object) -> bool:
+    return isinstance(value, str) and re.match(RELEASE_ID.replace("\\z", "\\Z"), value) is not None
+
+
 def member_path(value: Column) -> Column:
     """A path that a backup may hold, in no other spelling."""
     return value.rlike(MEMBER) & (F.trim(value) == value) & ~F.exists(F.split(value, "/"), lambda x: x.isin("", ".", ".."))
