@@ -395,6 +395,14 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW,
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of documents that hold no passage of the benchmark; rows without an id stay."""
-    found = contaminated(documents, benchmark).select(F.col("doc_id").alias("found_id")).distinct()
-    return documents.join(found, documents["doc_id"] == found["found_id"], "left_anti")
+    """The rows of documents that hold no passage of the benchmark; rows without an id stay.
+
+    Rows are told apart by id and text, so a clean text that shares its id with another one stays.
+    """
+    own = "row_code"
+    while own in documents.columns:
+        own += "_"
+    code = F.xxhash64("doc_id", "text")
+    found = contaminated(documents.where("doc_id is not null").select(code.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("found_code")).distinct()
+    rows = documents.withColumn(own, F.when(F.col("doc_id").isNotNull(), code))
+    return rows.join(found, F.col(own) == F.col("found_code"), "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,13 +53,28 @@ class Index:
         Only cells (i, j) of sorted codes with (i + 1)(j + 1) <= visits can be among the nearest.
         """
         first, second = self.distances(unit)
-        a, b = np.argsort(first, axis=1, kind="stable"), np.argsort(second, axis=1, kind="stable")
-        i, j = np.array([(i, j) for i in range(first.shape[1]) for j in range(second.shape[1]) if (i + 1) * (j + 1) <= visits]).T
+        a, b = _nearest(first, visits), _nearest(second, visits)
+        i, j = _candidates(a.shape[1], b.shape[1], visits)
         near = np.take_along_axis(first, a, 1)[:, i] + np.take_along_axis(second, b, 1)[:, j]
         best = np.argsort(near, axis=1, kind="stable")[:, :visits]
         return np.take_along_axis(a[:, i] * second.shape[1] + b[:, j], best, 1)
 
 
+def _nearest(distance: np.ndarray, n: int) -> np.ndarray:
+    """The n nearest codes of each vector in order, of equal ones the first: no more are sorted."""
+    if n >= distance.shape[1]:
+        return np.argsort(distance, axis=1, kind="stable")
+    some = np.sort(np.argpartition(distance, n - 1, axis=1)[:, :n], axis=1)
+    return np.take_along_axis(some, np.argsort(np.take_along_axis(distance, some, 1), axis=1, kind="stable"), 1)
+
+
+@lru_cache(maxsize=64)
+def _candidates(n: int, m: int, visits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks (i, j) of codes whose cell may be among the nearest: some visits * log(visits) of them."""
+    width = [min(m, visits // (i + 1)) for i in range(min(n, visits))]
+    return np.repeat(np.arange(len(width)), width), np.concatenate([np.arange(w) for w in width])
+
+
 def _codebook(points: np.ndarray, codes: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     book = points[rng.choice(len(points), min(codes, len(points)), replace=False)].copy()
@@ -94,6 +110,7 @@ def fit(unit: np.ndarray, codes: int = CODES, threshold: float = THRESHOLD, targ
 
 def _units(raw: list[bytes], kind: str) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), kind).astype(np.float64).reshape(len(raw), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # a square of very large or small components is not a number of doubles
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -102,19 +119,16 @@ def _kind(embeddings: DataFrame) -> tuple[str, str]:
     return ("<f8", "array<double>") if embeddings.schema["embedding"].dataType.simpleString() == "array<double>" else ("<f4", "array<float>")
 
 
-def valid_vectors(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, label, dim, key, vector) of rows that can link; vector as bytes of its element type."""
+def vectors(embeddings: DataFrame) -> DataFrame:
+    """(vec_id, label, dim, key, vector) of all rows; vector as bytes of its element type, null where it can't link."""
     kind, cast = _kind(embeddings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for v, label, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if label is None or not e or None in e:
-                    continue
-                x = np.array(e, kind)
-                if np.isfinite(x).all() and x.any():
-                    rows.append((v, label, len(x), x.tobytes()))
+                x = np.array(e if label is not None and e and None not in e else [], kind)
+                rows.append((v, label, len(x), x.tobytes() if np.isfinite(x).all() and x.any() else None))
             cols = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)], names=["vec_id", "label", "dim", "vector"])
 
@@ -190,8 +204,9 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """
     spark = embeddings.sparkSession
     rows = embeddings.where("vec_id is not null")
-    kind, cast = _kind(rows)
-    valid = store.table(valid_vectors(rows), "vectors")
+    kind, _ = _kind(rows)
+    every = store.table(vectors(rows), "vectors")
+    valid = every.where("vector is not null")
     entries = valid.groupBy("key").agg(F.first("label").alias("label"), F.first("dim").alias("dim"), F.count("*").alias("n"), F.first("vector").alias("vector"), F.min("vec_id").alias("least"))
     entries = store.table(entries, "entries")
     indexes: dict[int, Index] = {}
@@ -238,8 +253,5 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
     least = entry.groupBy("label").agg(F.min("least").alias("component_id"))
     entry = entry.join(least, "label").select("key", "n_links", "component_id")
     linked = valid.select("vec_id", "key").join(entry, "key").select("vec_id", "n_links", "component_id")
-    alone = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("embedding").cast(cast).alias("e"))
-    size = F.aggregate("e", F.lit(0.0).cast("double"), lambda a, x: a + F.abs(x.cast("double")))
-    good = F.col("label").isNotNull() & F.coalesce((size > 0) & (size < float("inf")), F.lit(False))
-    alone = alone.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    alone = every.where("vector is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, repeats, suffixes
-from .substring_dedup import assembled
+from .substring_dedup import assembled, coded
 
 LENGTH = 35
 _WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -44,11 +44,12 @@ def remove_repeated_passages(documents: DataFrame, id_column: str = "doc_id", te
 
     A word goes when a window of `length` words that covers it also starts anywhere else, in the same
     document or another; kept words are joined by one space. Null counts as no words. Shorter texts
-    keep all words. Repeated rows are copies of each other. Rows whose id is null are left out.
+    keep all words. Repeated rows are copies of each other, and an id may have several texts. Rows whose id is null
+    are left out.
     """
-    rows = documents.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")).where("id is not null")
+    rows = coded(documents, id_column, text_column)
     own = kind(length)
-    members, cuts = repeats.removals(rows, own, "words", _kept)
+    members, cuts = repeats.removals(rows.select("id", "text"), own, "words", _kept)
     spaced = F.regexp_replace(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", " "), "^ | $", "")
     size = F.when(spaced == "", 0).otherwise(F.length(spaced) - F.length(F.translate(spaced, " ", "")) + 1).cast("long")
-    return assembled(members, cuts, rows.select("id", F.sha2(F.encode(spaced, "UTF-8"), 256).alias("sha"), size.alias("n")), "n_words", own.sampling).drop("n_shared")
+    return assembled(members, cuts, rows.select("id", "doc_id", F.sha2(F.encode(spaced, "UTF-8"), 256).alias("sha"), size.alias("n")), "n_words", own.sampling).drop("n_shared")

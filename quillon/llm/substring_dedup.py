@@ -49,30 +49,36 @@ def kind(length: int = LENGTH, short: int = SHORT) -> repeats.Kind:
     return repeats.Kind(repeats.Sampling(length, short, gram, max(1, (short - gram + 1) // 4)), _units, _body, _matches, _near)
 
 
+def coded(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, doc_id, text) of the rows with an id; id is a code of both, so that one doc_id may stand on several texts."""
+    rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    return rows.select(F.xxhash64("doc_id", "text").alias("id"), "doc_id", "text")
+
+
 def remove_repeated_bytes(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, short: int = SHORT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared) of every document with an id.
 
     A byte goes when a string of `length` bytes that covers it also starts anywhere else, in the same
     document or another. n_shared counts the bytes that a string of `short` bytes covers in that way: they
     stay where they are in no longer one. Null counts as empty. Shorter texts keep all bytes. Repeated
-    rows are copies of each other. Rows whose id is null are left out.
+    rows are copies of each other, and an id may have several texts. Rows whose id is null are left out.
     """
-    rows = documents.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")).where("id is not null")
+    rows = coded(documents, id_column, text_column)
     own = kind(length, short)
-    members, cuts = repeats.removals(rows, own, "bytes", _kept)
-    sums = rows.select("id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"), F.octet_length("text").cast("long").alias("n"))
+    members, cuts = repeats.removals(rows.select("id", "text"), own, "bytes", _kept)
+    sums = rows.select("id", "doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"), F.octet_length("text").cast("long").alias("n"))
     return assembled(members, cuts, sums, "n_bytes", own.sampling)
 
 
 def assembled(members: DataFrame, cuts: DataFrame, sums: DataFrame, size: str, sampling: repeats.Sampling) -> DataFrame:
-    """What becomes of every document, from the parts of repeats.removals and (id, n, sha) of the whole texts."""
+    """What becomes of every document, from the parts of repeats.removals and (id, doc_id, n, sha) of the whole texts."""
     whole = F.col("copied") & (F.col("size") >= sampling.length)
     found = members.join(cuts, "key", "left").select(
-        "doc_id", F.col("size").alias(size),
+        F.col("doc_id").alias("code"), F.col("size").alias(size),
         F.when(whole, F.col("size")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(EMPTY_SHA256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
         F.when(F.col("copied") & (F.col("size") >= sampling.short), F.col("size")).otherwise(F.coalesce("n_shared", F.lit(0))).alias("n_shared"),
     )
-    untouched = sums.select(F.col("id").alias("doc_id"), F.col("n").alias(size), "sha").distinct()
-    return found.join(untouched, ["doc_id", size]).select("doc_id", size, "n_removed", "n_spans", F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "n_shared")
+    untouched = sums.select(F.col("id").alias("code"), "doc_id", "sha").distinct()
+    return found.join(untouched, "code").select("doc_id", size, "n_removed", "n_spans", F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "n_shared")

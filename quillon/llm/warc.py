@@ -247,15 +247,16 @@ def read_packages(paths: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every page, from packages read back.
 
-    A revisit has size and digest of the response that it refers to.
+    A revisit has size and digest of the response that it refers to: of that page the one whose digest it states,
+    since one page_id may stand on several payloads.
     """
     spark = pages.sparkSession
     found = read_packages(write_packages(pages, store.new_path(spark, "warc")))
-    found = found.select("page_id", "record_type", "refers_to", F.length("payload").cast("long").alias("n"), F.sha1("payload").alias("digest"))
+    found = found.select("page_id", "record_type", "refers_to", "stated_digest", F.length("payload").cast("long").alias("n"), F.sha1("payload").alias("digest"))
     found = store.table(found, "records")
-    full = found.where("record_type = 'response'").groupBy(F.col("page_id").alias("first")).agg(F.max(F.struct("n", "digest")).alias("full"))
+    full = found.where("record_type = 'response'").groupBy(F.col("page_id").alias("first"), F.col("stated_digest").alias("of")).agg(F.max(F.struct("n", "digest")).alias("full"))
     full = store.table(full.where("first is not null"), "responses")  # of two fresh exchanges, so the revisits of one response can be split
-    again = found.where("refers_to is not null").join(full, F.col("refers_to") == F.col("first"), "left").drop("first")
+    again = found.where("refers_to is not null").join(full, (F.col("refers_to") == F.col("first")) & (F.col("stated_digest") == F.col("of")), "left").drop("first", "of")
     alone = found.where("refers_to is null").withColumn("full", F.lit(None).cast(full.schema["full"].dataType))
     found = again.unionByName(alone)
     return found.select("page_id", F.coalesce("full.n", "n").alias("payload_bytes"), F.coalesce("full.digest", "digest").alias("payload_digest"), "record_type", "refers_to")
