@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import scratch
 from ..functions import text as T
 
 # Keys and the labels they give.
@@ -75,7 +79,7 @@ def context(passages: DataFrame, group: str, order: str, text: str, before: int,
 
 
 def _kept(frame: DataFrame) -> DataFrame:
-    return frame.checkpoint() if frame.sparkSession.sparkContext.getCheckpointDir() else frame.cache()
+    return scratch.table(frame, "kept")
 
 
 def progress(passages: DataFrame, group: str, order: str) -> DataFrame:
@@ -128,11 +132,81 @@ def prior_links(events: DataFrame) -> DataFrame:
     events: id, action, passage_id, supersedes_event_id of undo events. An event counts as long as no undo
     before this one took it back.
     """
-    undone = events.where("action = 'undo'").select(F.col("supersedes_event_id").alias("gone_id"), F.col("id").alias("gone_at"))
-    lived = events.where("action <> 'undo'").join(undone, F.col("id") == F.col("gone_id"), "left").select("id", "passage_id", F.coalesce("gone_at", F.lit((1 << 63) - 1)).alias("until"))
-    before = F.collect_list(F.struct("id", "until")).over(Window.partitionBy("passage_id").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
-    still = F.filter(before, lambda e: e["until"] > F.col("id"))
-    return lived.select("id", F.array_max(F.transform(still, lambda e: e["id"])).alias("prior_id"))
+    undone = events.where("action = 'undo' and supersedes_event_id is not null").groupBy(F.col("supersedes_event_id").alias("gone_id")).agg(F.min("id").alias("gone_at"))
+    lived = events.where("action <> 'undo'").join(undone, F.col("id") == F.col("gone_id"), "left")
+    lived = lived.select(F.col("passage_id").cast("string").alias("key"), F.col("id").cast("long").alias("id"), F.coalesce("gone_at", F.lit((1 << 63) - 1)).alias("until"))
+    return latest_alive(lived).withColumnRenamed("prior", "prior_id")
+
+
+class _Alive:
+    """Events that may yet be the latest one alive: starts rise, ends fall. One that a later event outlives is never asked for."""
+
+    def __init__(self):
+        self.start: list[int] = []
+        self.until: list[int] = []
+
+    def latest(self, at: int) -> int | None:
+        while self.until and self.until[-1] <= at:
+            self.start.pop()
+            self.until.pop()
+        return self.start[-1] if self.start else None
+
+    def add(self, start: int, until: int) -> None:
+        while self.until and self.until[-1] <= until:
+            self.start.pop()
+            self.until.pop()
+        self.start.append(start)
+        self.until.append(until)
+
+
+def latest_alive(events: DataFrame) -> DataFrame:
+    """(id, prior) of events (key, id, until): the latest earlier event of the key that is alive at id, that is, whose until is greater.
+
+    Each event is put on a stack and taken off it at most once. Events are dealt by ranges of (key, id), so a key with
+    very many of them is the work of many tasks. A range answers for all keys that begin in it; of a key that goes on from
+    the range before, only the events that nothing in the range answers, and what stood on the stacks at the ends of its
+    ranges, meet in a second pass.
+    """
+    kinds = "key string, id long, kind int, value long"
+    names, types = ["key", "id", "kind", "value"], [pa.string(), pa.int64(), pa.int32(), pa.int64()]
+    answer, question, standing = 0, 1, 2
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, head, seen, alive = None, True, False, _Alive()
+        for batch in batches:
+            rows = []
+            for own, at, until in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not seen or own != key:
+                    key, head, seen, alive = own, not seen, True, _Alive()
+                prior = alive.latest(at)
+                rows.append((own, at, question if prior is None and head else answer, prior))
+                alive.add(at, until)
+            if rows:
+                yield batch_of(rows)
+        if alive.start:
+            yield batch_of([(key, at, standing, until) for at, until in zip(alive.start, alive.until, strict=True)])
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, seen, alive = None, False, _Alive()
+        for batch in batches:
+            rows = []
+            for own, at, kind, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not seen or own != key:
+                    key, seen, alive = own, True, _Alive()
+                if kind == question:
+                    rows.append((own, at, answer, alive.latest(at)))
+                else:
+                    alive.add(at, value)
+            if rows:
+                yield batch_of(rows)
+
+    found = events.select("key", "id", "until").repartitionByRange("key", "id").sortWithinPartitions("key", "id").mapInArrow(ranges, kinds)
+    found = scratch.table(found, "alive")
+    left = found.where(F.col("kind") != answer).repartition("key").sortWithinPartitions("key", "id", F.desc("kind")).mapInArrow(rest, kinds)
+    return found.where(F.col("kind") == answer).unionByName(left).select("id", F.col("value").alias("prior"))
 
 
 def resume(stored: Column, known: Column, following: Column) -> Column:

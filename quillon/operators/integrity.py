@@ -100,10 +100,15 @@ def out_of_order(rows: DataFrame, group: str, order: str, value: str) -> DataFra
     return rows.withColumn("before", before).where(F.col(value) <= F.col("before"))
 
 
-def dangling(events: DataFrame) -> DataFrame:
-    """Events (id, action, passage_id, supersedes_event_id) whose superseded event is no earlier classify or defer event of the passage."""
-    old = events.where("action <> 'undo'").select(F.col("id").alias("old_id"), F.col("passage_id").alias("old_passage"))
+def dangling(events: DataFrame, *scope: str) -> DataFrame:
+    """Events (id, action, passage_id, supersedes_event_id) whose superseded event is no earlier classify or defer event of the passage.
+
+    scope: columns that both events share, such as the log: ids count within it.
+    """
+    old = events.where("action <> 'undo'").select(F.col("id").alias("old_id"), F.col("passage_id").alias("old_passage"), *[F.col(c).alias(f"old_{c}") for c in scope])
     same = (F.col("supersedes_event_id") == F.col("old_id")) & (F.col("old_id") < F.col("id")) & (F.col("old_passage") == F.col("passage_id"))
+    for c in scope:
+        same = same & F.col(c).eqNullSafe(F.col(f"old_{c}"))
     return events.where("supersedes_event_id is not null").join(old, same, "left_anti")
 
 
@@ -122,8 +127,12 @@ def sidecar(line: Column) -> Column:
 
 
 def zoned_timestamp(value: Column) -> Column:
-    """ISO 8601 with a T and a zone, and a real moment."""
-    return value.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(:[0-9]{2}([.,][0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})\\z") & F.try_to_timestamp(F.left(value, F.lit(16)), F.lit("yyyy-MM-dd'T'HH:mm")).isNotNull()
+    """ISO 8601 with a T and a zone, in its long or its short form, and a real moment of a real zone."""
+    day = F.regexp_replace(F.regexp_extract(value, "^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{8})T", 1), "-", "")
+    hour, sixty = "([01][0-9]|2[0-3])", "[0-5][0-9]"
+    time = f"{hour}(:{sixty}(:{sixty}([.,][0-9]+)?)?|{sixty}({sixty}([.,][0-9]+)?)?)?"
+    zone = f"(Z|[+-]{hour}(:{sixty}(:{sixty}([.][0-9]+)?)?|{sixty}({sixty}([.][0-9]+)?)?)?)"
+    return value.rlike(f"^[0-9]{{4}}-?[0-9]{{2}}-?[0-9]{{2}}T{time}{zone}\\z") & (day > "00010000") & F.try_to_timestamp(day, F.lit("yyyyMMdd")).isNotNull()
 
 
 def backup_label(value: Column) -> Column:

@@ -12,12 +12,15 @@ import re
 import shutil
 import tarfile
 import tempfile
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from .. import scratch
 from ..functions.text import canonical_document
 from . import curation, integrity
 
@@ -45,22 +48,63 @@ def write_once(path: Path, content: bytes) -> bool:
     return True
 
 
-def write_articles(articles: DataFrame, folder: str) -> None:
-    """Add articles (article_artifact_id, document) that the table at folder lacks.
+def _commits(spark: SparkSession, folder: str) -> list[dict]:
+    """The commits of a table of articles in order; each names one folder of data."""
+    out: list[dict] = []
+    while (raw := scratch.read_bytes(spark, f"{folder}/_commits/{len(out) + 1:020d}.json")) is not None:
+        out.append(json.loads(raw))
+    return out
 
-    An id that is there with another document is an error and nothing is written.
+
+def _committed(spark: SparkSession, folder: str, commits: list[dict], shape: StructType) -> DataFrame:
+    paths = [f"{folder}/{c['data']}" for c in commits]
+    return spark.read.schema(shape).parquet(*paths) if paths else spark.createDataFrame([], shape)
+
+
+def read_articles(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """The articles that are committed at folder, or were at a version (how many commits there were)."""
+    commits = _commits(spark, folder)
+    if version is not None and not 0 <= version <= len(commits):
+        raise ValueError(f"{folder} has no version {version}")
+    return _committed(spark, folder, commits[:version], StructType.fromDDL("article_artifact_id string, document string"))
+
+
+def write_articles(articles: DataFrame, folder: str) -> int:
+    """Add articles (article_artifact_id, document) that the table at folder lacks; the version of the table then.
+
+    An id with another document, in the table or among the given ones, is an error and nothing is added. Repeated
+    rows count once. Data is written aside and becomes part of the table by a commit, a small file whose number can
+    be put once only. A writer that finds its number taken looks at what the others committed, drops what they
+    already have, and tries the next number, so of writers with different documents for an id one succeeds, and
+    a writer that tries again after a failure adds nothing twice.
     """
     spark = articles.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        articles.write.parquet(folder)
-        return
-    old = spark.read.parquet(folder).select("article_artifact_id", F.col("document").alias("old"))
-    both = articles.join(old, "article_artifact_id", "left")
-    clash = both.where("old is not null and old <> document").select("article_artifact_id").first()
+    rows = articles.select(F.col("article_artifact_id").cast("string").alias("article_artifact_id"), F.col("document").cast("string").alias("document"))
+    shape = rows.schema
+    # Digests decide what is equal, so that a document that many rows repeat is not moved for each of them.
+    rows = rows.withColumn("digest_", F.sha2("document", 256)).dropDuplicates(["article_artifact_id", "digest_"])
+    rows = scratch.table(rows, "new_articles")
+    clash = rows.groupBy("article_artifact_id").agg(F.count("*").alias("n")).where("n > 1").select("article_artifact_id").first()
     if clash:
-        raise FileExistsError(f"{clash[0]} holds something else")
-    both.where("old is null").drop("old").write.mode("append").parquet(folder)
+        raise FileExistsError(f"{clash[0]} comes with several documents")
+    known = 0
+    while True:
+        commits = _commits(spark, folder)
+        if commits[known:]:
+            old = _committed(spark, folder, commits[known:], shape).select("article_artifact_id", F.sha2("document", 256).alias("old_"))
+            both = scratch.table(rows.join(old, "article_artifact_id", "left"), "new_articles")
+            clash = both.where("old_ is not null and not (old_ <=> digest_)").select("article_artifact_id").first()
+            if clash:
+                raise FileExistsError(f"{clash[0]} holds something else")
+            rows = both.where("old_ is null").drop("old_")
+        known = len(commits)
+        if rows.isEmpty():
+            return known
+        data = f"data-{uuid.uuid4().hex}"
+        rows.select("article_artifact_id", "document").write.parquet(f"{folder}/{data}")
+        if scratch.put_if_absent(spark, f"{folder}/_commits/{known + 1:020d}.json", json.dumps({"data": data}).encode()):
+            return known + 1
+        scratch.remove(spark, f"{folder}/{data}")
 
 
 def selection(passages: DataFrame, events: DataFrame) -> DataFrame:

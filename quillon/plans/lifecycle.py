@@ -115,8 +115,8 @@ def content_addressed_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").select(F.sha2(F.encode("text", "UTF-8"), 256).alias("article_artifact_id"), F.col("text").alias("document"), "doc_id")
     path = scratch.new_path(spark, "articles")
     for part in ("doc_id % 3 < 2", "doc_id % 3 > 0"):
-        release.write_articles(rows.where(part).select("article_artifact_id", "document").dropDuplicates(["article_artifact_id"]), path)
-    return spark.read.parquet(path).select("article_artifact_id", F.length("document").alias("n"))
+        release.write_articles(rows.where(part), path)
+    return release.read_articles(spark, path).select("article_artifact_id", F.length("document").alias("n"))
 
 
 @query("""WITH e AS (SELECT 'page ' || (doc_id % 97) AS title, CASE WHEN doc_id % 4 <> 0 THEN ' target_' || doc_id || '#part' END AS target, doc_id FROM documents)

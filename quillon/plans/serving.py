@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import scratch
-from ..operators import activation, evaluation, integrity, retrieval, scopes
+from ..operators import activation, evaluation, integrity, merkle, retrieval, scopes
 from .corpus import read
 
 QUERIES: dict = {}
@@ -202,3 +202,18 @@ def pair_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     reviews = evaluation.unblinded(_sides(spark, sf_dir).withColumn("verdict", F.coalesce(verdict, better)))
     found = evaluation.strengths(evaluation.pair_counts(reviews), rounds=20)
     return found.select(F.col("condition").alias("vendor_id"), F.round("strength", 6).alias("strength"), "n", "points")
+
+
+@query("""
+WITH m AS (SELECT 'docs/' || doc_id AS path, octet_length(encode(text)) AS size, sha256(text) AS sha FROM documents WHERE doc_id % 101 <> 5),
+f AS (SELECT 'docs/' || doc_id AS path, octet_length(encode(CASE WHEN doc_id % 97 = 3 THEN text || '!' ELSE text END)) AS size, sha256(CASE WHEN doc_id % 97 = 3 THEN text || '!' ELSE text END) AS sha FROM documents WHERE doc_id % 89 <> 7)
+SELECT path, CASE WHEN f.sha IS NULL THEN 'missing' WHEN m.sha IS NULL THEN 'unexpected' ELSE 'changed' END AS state FROM m FULL JOIN f USING (path) WHERE m.sha IS NULL OR f.sha IS NULL OR m.sha <> f.sha OR m.size <> f.size""")
+def merkle_inventory_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An inventory of documents against one in which some changed, went and came, by their trees."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    path, folders = F.concat(F.lit("docs/"), "doc_id"), []
+    later = F.when(F.col("doc_id") % 97 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    for rows, text in ((docs.where("doc_id % 101 <> 5"), F.col("text")), (docs.where("doc_id % 89 <> 7"), later)):
+        folders.append(scratch.new_path(spark, "inventory"))
+        merkle.write(integrity.inventory(rows, path, text), folders[-1])
+    return merkle.compared(spark, *folders)[0]

@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions.text import canonical_line
 from ..operators import integrity
 
@@ -99,6 +100,8 @@ def event_violations(lines: DataFrame, labels: tuple[str, ...]) -> DataFrame:
         F.when(kind("supersedes_event_id") == "BIGINT", prior).alias("supersedes_event_id"), kind("supersedes_event_id").isin("VOID", "BIGINT").alias("prior_typed"),
         *[((kind(f) == "STRING") & (text(f) != "")).alias(f"good_{f}") for f in ("passage_id", "rubric_id", "question", "evidence", "semantic_answer", "created_at")],
     )
+    rows = scratch.table(rows, "event_lines")  # lines are taken apart once; what follows reads narrow rows
+    old = rows.where("id is not null").select("log", "line_no", "id", "action", "passage_id", "supersedes_event_id")
     rows = integrity.with_previous(rows, "log", "line_no", "id", "before")
     rules = {
         "event fields": F.col("keys") == F.array(*[F.lit(k) for k in sorted((*EVENT, "record_type"))]), "event id": F.col("id") > 0, "event order": F.col("before").isNull() | F.col("id").isNull() | (F.col("id") > F.col("before")),
@@ -107,8 +110,7 @@ def event_violations(lines: DataFrame, labels: tuple[str, ...]) -> DataFrame:
         **{f"event {c.removeprefix('good_')}": F.col(c) for c in rows.columns if c.startswith("good_")},
     }
     plain = integrity.violations(rows, F.col("line_no"), rules).withColumnRenamed("subject", "line_no")
-    old = rows.where("id is not null").select("line_no", "id", "action", "passage_id", "supersedes_event_id")
-    return plain.unionByName(integrity.dangling(old).select(F.lit("superseded event is none of this passage").alias("check_id"), "line_no"))
+    return plain.unionByName(integrity.dangling(old, "log").select(F.lit("superseded event is none of this passage").alias("check_id"), "line_no"))
 
 
 def lines_of(metadata: dict[str, str], events: list[dict], session: dict) -> list[str]:

@@ -198,7 +198,7 @@ def test_publication(spark, tmp_path):
     rows = spark.createDataFrame([("a", "1"), ("b", "2")], "article_artifact_id string, document string")
     release.write_articles(rows, str(tmp_path / "t"))
     release.write_articles(rows, str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+    assert release.read_articles(spark, str(tmp_path / "t")).count() == 2
     with pytest.raises(FileExistsError):
         release.write_articles(rows.withColumn("document", F.lit("3")), str(tmp_path / "t"))
 
