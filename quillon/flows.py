@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import checks, curation, extract, integrity, release, resolve
 from .sources import articles, dump, snapshot, statefile, web
+from .sources.progress import EVERY, Progress
 
 LABELS = tuple(curation.CLASSIFICATIONS.values())
 
@@ -43,7 +44,7 @@ def discover(spark: SparkSession, output: Path, categories: list[str], nominatio
     return len(records)
 
 
-def acquire(spark: SparkSession, discoveries: Path, dump_path: Path, data: Path, retrieved_at: datetime, progress: Callable[[str], None] = lambda _: None) -> dict:
+def acquire(spark: SparkSession, discoveries: Path, dump_path: Path, data: Path, retrieved_at: datetime, progress: Callable[[str], None] = lambda _: None, every: int = EVERY) -> dict:
     """Articles of the candidates, written once each under data/articles, and the result as written.
 
     The dump is checked to its end before anything is written.
@@ -58,7 +59,9 @@ def acquire(spark: SparkSession, discoveries: Path, dump_path: Path, data: Path,
     if candidates.isEmpty():
         raise ValueError("no candidates")
     progress("checking the dump")
-    dump.check(spark, str(dump_path), source["wiki_database"])
+    scan = Progress(spark, lambda step, n: progress(f"{n} records read") if n else None, every)
+    dump.check(spark, str(dump_path), source["wiki_database"], scan)
+    progress(f"{scan.final['pages']} pages, {scan.final['redirects']} redirects")
     progress("resolving candidates")
     selected, failures = resolve.acquired(candidates, dump.pages(spark, str(dump_path)))
     rows = extract.articles(selected, source)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from .. import scratch
 from ..operators import activation, evaluation, integrity, merkle, retrieval, scopes
+from ..sources import dump_index
 from .corpus import read
 
 QUERIES: dict = {}
@@ -217,3 +218,18 @@ def merkle_inventory_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         folders.append(scratch.new_path(spark, "inventory"))
         merkle.write(integrity.inventory(rows, path, text), folders[-1])
     return merkle.compared(spark, *folders)[0]
+
+
+@query("""SELECT 'Page ' || page_id AS title, page_id, page_id + 7 AS revision_id, sha256('== Top ==' || E'\\n' || page_id || repeat(' word' || (page_id * 7919 % 1000003), 200)) AS text_sha256 FROM pages WHERE page_id % 10 = 3""")
+def dump_index_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as a compressed dump that is indexed in one pass; of the second pass every tenth page is wanted."""
+    text = F.concat(F.lit("== Top ==\n"), "page_id", F.repeat(F.concat(F.lit(" word"), F.col("page_id") * 7919 % 1000003), F.lit(200)))
+    revision = F.concat(F.lit("<revision><id>"), F.col("page_id") + 7, F.lit("</id><timestamp>2026-06-30T00:00:00Z</timestamp><text>"), text, F.lit("</text></revision>"))
+    body = F.concat(F.lit("<page><title>Page "), "page_id", F.lit("</title><ns>0</ns><id>"), "page_id", F.lit("</id>"), revision, F.lit("</page>"))
+    path = scratch.new_path(spark, "dump")
+    rows = read(spark, sf_dir, "pages").select("page_id", body.alias("value"))
+    rows.repartitionByRange(4, "page_id").sortWithinPartitions("page_id").select("value").write.option("compression", "bzip2").text(path)
+    files = sorted(spark.read.text(path).inputFiles())  # a dump in several files
+    directory = dump_index.write(spark, files, scratch.new_path(spark, "directory"))
+    found = dump_index.fetch(directory.where("page_id % 10 = 3"))
+    return found.select("title", "page_id", "revision_id", F.sha2(F.encode("raw_wikitext", "UTF-8"), 256).alias("text_sha256"))

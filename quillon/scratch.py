@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -37,6 +38,15 @@ def table(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def filesystem(path: str):
+    """The store of a path and the path in it, for executors that open files themselves. Stores that Arrow doesn't know are an error."""
+    import pyarrow.fs as pafs
+
+    if "://" not in path and not path.startswith("file:"):
+        return pafs.LocalFileSystem(), path
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", re.sub("^file:/(?!/)", "file:///", path)))
+
+
 def _hadoop(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where

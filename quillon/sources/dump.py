@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .progress import Progress
+
 PAGE = """title string, ns int, id long, redirect struct<_title string>,
 revision struct<id long, parentid long, timestamp string, text struct<_VALUE string, _bytes long>>"""
 
@@ -18,9 +20,17 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "</page>").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
-def check(spark: SparkSession, path: str, database: str) -> None:
-    """Raise unless the dump names the database before its first page and is complete."""
-    rows = records(spark, path).withColumn("pos", F.monotonically_increasing_id())
+def check(spark: SparkSession, path: str, database: str, progress: Progress | None = None) -> None:
+    """Raise unless the dump names the database before its first page and is complete. progress is told of its records."""
+    rows = records(spark, path)
+    if progress is not None:
+        with progress.watch(rows, pages=F.col("value").contains("<page>"), redirects=F.col("value").contains("<redirect ")) as watched:
+            return _check(watched, database)
+    return _check(rows, database)
+
+
+def _check(rows: DataFrame, database: str) -> None:
+    rows = rows.withColumn("pos", F.monotonically_increasing_id())
     name = F.regexp_extract("value", "<siteinfo[\\s\\S]*?<dbname>\\s*([^<]*?)\\s*</dbname>", 1)
     before = F.regexp_extract("value", "^([\\s\\S]*?)(?:<page>|\\z)", 1).contains("</dbname>")
     found = rows.agg(
@@ -49,12 +59,17 @@ def pages(spark: SparkSession, path: str, database: str | None = None) -> DataFr
     if database is not None:
         check(spark, path, database)
     rows = records(spark, path).withColumn("scan_pos", F.struct("path", "block", F.monotonically_increasing_id().alias("row")))
+    return parsed(rows)
+
+
+def parsed(rows: DataFrame, *more: str) -> DataFrame:
+    """The pages of records (scan_pos, value) that have a revision; more: other columns that stay."""
     rows = rows.where(F.col("value").contains("<page>"))
     body = F.concat(F.regexp_replace(F.regexp_extract("value", "(<page>[\\s\\S]*)", 1), "xml:space=\"preserve\"", ""), F.lit("</page>"))
     page = F.from_xml(body, PAGE, {"rowTag": "page", "ignoreSurroundingSpaces": "false", "mode": "FAILFAST"})
-    rows = rows.select("scan_pos", page.alias("p")).where("p.revision is not null")
+    rows = rows.select("scan_pos", *more, page.alias("p")).where("p.revision is not null")
     return rows.select(
-        "scan_pos", F.coalesce("p.title", F.lit("")).alias("title"), F.coalesce("p.ns", F.lit(-1)).alias("namespace"), F.coalesce("p.id", F.lit(0)).alias("page_id"),
+        "scan_pos", *more, F.coalesce("p.title", F.lit("")).alias("title"), F.coalesce("p.ns", F.lit(-1)).alias("namespace"), F.coalesce("p.id", F.lit(0)).alias("page_id"),
         F.col("p.redirect._title").alias("redirect_target"), F.coalesce("p.revision.id", F.lit(0)).alias("revision_id"), F.col("p.revision.parentid").alias("parent_revision_id"),
         F.coalesce("p.revision.timestamp", F.lit("")).alias("revision_timestamp"), F.coalesce("p.revision.text._VALUE", F.lit("")).alias("raw_wikitext"),
     )

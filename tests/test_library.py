@@ -259,13 +259,3 @@ def test_previous_values_across_parts(spark):
         for _, o, v in sorted((r for r in rows if r[0] == g), key=lambda r: r[1]):
             want[g, o], last = last, v
     assert {(r["g"], r["o"]): r["before"] for r in got} == want
-
-
-def test_stream_of_decisions(spark, tmp_path):
-    from quillon.streaming import decisions
-
-    schema = "id long, action string, passage_id string, classification string, supersedes_event_id long"
-    for i, part in enumerate((LOG[:3], LOG[3:])):
-        spark.createDataFrame([(e["id"], e["action"], e["passage_id"], e["classification"], e["supersedes_event_id"]) for e in part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        decisions.follow(spark, spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "now"), str(tmp_path / "cp")).awaitTermination()
-    assert {r["passage_id"]: r["id"] for r in spark.read.parquet(str(tmp_path / "now/version=1")).collect()} == {"p1": 1, "p2": 5}
