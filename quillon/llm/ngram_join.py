@@ -29,6 +29,7 @@ PERCENT = 75
 LENGTHS = (1, 2, 3, 4, 6, 8, 12, 16)
 VERIFY_COST = 20  # list entries that one verification costs
 BITMAP_BITS = 1024
+SHARD_BYTES = 32 << 20  # of list entries in a group
 BLOCK = 1024  # list entries on either side of a block of a long list
 _PROFILE = "key long, size long, need long, center double, prefix array<long>, codes array<long>, bitmap binary"
 
@@ -110,7 +111,7 @@ def _across(percent: int):
         changed = np.zeros(len(order), bool)
         for c in ("token", "class", "low", "high"):
             changed[1:] |= np.diff(cols[c][order]) != 0
-        found = set()
+        found = [np.zeros((0, 2), np.int64)]
         for rows in np.split(order, np.flatnonzero(changed)):
             label = cols["label"][rows]
             if len(rows) < 2 or (label == label[0]).all():
@@ -130,8 +131,8 @@ def _across(percent: int):
                 x, y = left[at + i], right[j]
                 apart = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) + size[x] - own[x] + size[y] - own[y]
                 near = (100 + percent) * apart <= (100 - percent) * total[i, j]
-                found.update(zip(np.minimum(key[x[near]], key[y[near]]).tolist(), np.maximum(key[x[near]], key[y[near]]).tolist(), strict=True))
-        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+                found.append(np.unique(np.sort(np.stack([key[x[near]], key[y[near]]], axis=1), axis=1), axis=0))
+        pairs = np.concatenate(found)
         return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return run
@@ -182,7 +183,9 @@ def links(profile: DataFrame, percent: int) -> DataFrame:
 
     lists = profile.join(label, F.col("key") == F.col("node"), "left").select("key", "size", F.coalesce("label", "key").alias("label"), F.size("codes").cast("long").alias("own"), "bitmap", F.explode("prefix").alias("token"))
     dealt = blocks_of_lists(lists, percent)
-    shards = store.parallelism(spark) * 2
+    # A group's memory doesn't follow the input: entries are counted, without their bitmaps, and dealt to as many groups as they fill.
+    entry = 64 + (profile.agg(F.avg(F.length("bitmap"))).first()[0] or 0)
+    shards = max(store.parallelism(spark) * 2, int(dealt.count() * entry // SHARD_BYTES) + 1)
     lists = dealt.withColumn("shard", F.pmod(F.xxhash64("token", "class", "low", "high"), F.lit(shards)).cast("int"))
     rest = lists.groupBy("shard").applyInArrow(_across(percent), "a long, b long").distinct()
     second = verified(rest, profile, percent)

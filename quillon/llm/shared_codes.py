@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from . import blocks, store
 
-CHUNK_CODES = 1 << 20
+CHUNK_CODES = 1 << 20  # that a task packs at once, or CODES_A_ROW for each range where that is more
+CODES_A_ROW = 16
 RANGE_BYTES = 16 << 20  # of documents, for each range of codes
-MOST_BITS = 16
+MOST_BITS = 20
 _PACKED = "slot int, kind int, ids binary, keys binary, sizes binary, codes binary"
 _OUT = "target int, kind int, ids binary, keys binary, sizes binary, codes binary"
 
@@ -85,7 +86,7 @@ def _packer(make: Callable[[blocks.Slice], Coded], bits: int):
                 held[2].append(got.sizes)
                 held[3].extend(got.codes)
                 total += sum(map(len, got.codes))
-                if total >= CHUNK_CODES:
+                if total >= max(CHUNK_CODES, CODES_A_ROW << bits):
                     yield from _pack(*held, bits)
                     held, total = ([], [], [], []), 0
         if held[0]:
@@ -147,15 +148,17 @@ def visible(codes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def carried_bits(documents: DataFrame) -> int:
-    """Leading bits that name a range: ranges follow the bytes that Spark expects of the documents.
+    """Leading bits that name a range: ranges follow the bytes that Spark expects of the documents, or, where it knows
+    nothing of them, those that they have.
 
-    Never fewer ranges than spark.sql.shuffle.partitions, and never more than 2**MOST_BITS, with which a
-    chunk still packs some 16 codes a row; 100 TB then make ranges of some 200 MB.
+    Never fewer ranges than spark.sql.shuffle.partitions, and never more than 2**MOST_BITS. Those make ranges of RANGE_BYTES up
+    to 16 TB, and of some 100 MB at 100 TB; a range of n bytes of text has n / 6 word codes of 24 bytes, so 400 MB then.
+    A task holds CODES_A_ROW codes for each range before it packs them, some 600 MB with 2**20 ranges.
     """
     spark = documents.sparkSession
     expected = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if expected >= 1 << 56:  # what Spark says of frames it knows nothing of
-        expected = 0
+        expected = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return min(MOST_BITS, max(_bits(store.parallelism(spark, 16)), (expected // RANGE_BYTES).bit_length()))
 
 
