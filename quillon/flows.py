@@ -12,9 +12,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
 from .functions import text as T
 from .operators import checks, curation, extract, integrity, release, resolve
-from .sources import articles, dump, snapshot, statefile, web
+from .sources import articles, dump, dump_index, snapshot, statefile, web
 from .sources.progress import EVERY, Progress
 
 LABELS = tuple(curation.CLASSIFICATIONS.values())
@@ -63,7 +64,11 @@ def acquire(spark: SparkSession, discoveries: Path, dump_path: Path, data: Path,
     dump.check(spark, str(dump_path), source["wiki_database"], scan)
     progress(f"{scan.final['pages']} pages, {scan.final['redirects']} redirects")
     progress("resolving candidates")
-    selected, failures = resolve.acquired(candidates, dump.pages(spark, str(dump_path)))
+    if dump_path.suffix == ".bz2":  # one pass for a directory of all pages, then the blocks of those that are wanted
+        directory = dump_index.write(spark, [str(dump_path.resolve())], scratch.new_path(spark, "directory"))
+        selected, failures = resolve.acquired(candidates, directory, lambda wanted: dump_index.fetch(wanted).drop("bytes_read"))
+    else:
+        selected, failures = resolve.acquired(candidates, dump.pages(spark, str(dump_path)))
     rows = extract.articles(selected, source)
     documents = extract.documents(rows).join(selected.select(extract.article_ids(F.lit(source["dump_run"]), "page_id", "revision_id").alias("article_artifact_id"), "observed_page_title", "first_order"), "article_artifact_id")
     written = documents.orderBy("first_order").collect()  # at most 500 candidates

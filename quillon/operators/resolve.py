@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import scratch
 from ..functions import text as T
 
 # What discovery and acquisition records say.
@@ -14,7 +18,6 @@ WIKI = "https://en.wikipedia.org/wiki/"
 ABSENT = ("source scan", "candidate absent from source snapshot")
 LOOP = ("redirect resolution", "redirect loop at ")
 NO_TARGET = ("redirect resolution", "redirect target absent from source snapshot")
-_PICKED = "array<struct<ord:bigint,route:string,reference:string,title:string,page_id:bigint>>"
 
 
 def category_url(name: Column) -> Column:
@@ -28,7 +31,7 @@ def discover(listings: DataFrame, nominations: DataFrame, most: int) -> DataFram
     Categories come in order, and each gives no more of its pages than were missing before it; then
     single titles. A page is passed over when its id or its folded title was taken before; what is
     passed over takes neither. Only the first `most` pages of a category can matter, so what is folded in one
-    row is bounded by categories x most, and by most nominations of different titles.
+    task is bounded by categories x most, and by most nominations of different titles.
     """
     title = T.normalized_title(F.col("title"))
     pages = listings.withColumn("rank", F.row_number().over(Window.partitionBy("category_ord").orderBy("page_ord"))).where(F.col("rank") <= most)
@@ -39,25 +42,25 @@ def discover(listings: DataFrame, nominations: DataFrame, most: int) -> DataFram
     rows = rows.withColumn("again", F.row_number().over(Window.partitionBy("phase", F.when(F.col("phase") == 1, F.col("folded")).otherwise(F.concat_ws(",", "a", "b"))).orderBy("b"))).where("again = 1")
     order = Window.partitionBy("phase", "a").orderBy("b")
     rows = rows.withColumn("place", F.row_number().over(order)).where((F.col("phase") == 0) | (F.col("place") <= 2 * most))
-    one = rows.agg(F.array_sort(F.collect_list(F.struct("phase", "a", "b", "reference", "page_id", "title", "folded"))).alias("rows"))
-    start = F.struct(F.lit(-1).cast("long").alias("at"), F.lit(0).alias("before"), F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<string>").alias("titles"), F.array().cast(_PICKED).alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        fresh = (x["phase"] == 0) & (x["a"] != state["at"])
-        before = F.when(fresh, F.size(state["out"])).otherwise(state["before"])
-        room = (F.size(state["out"]) < most) & ((x["phase"] == 1) | (x["b"] <= most - before))
-        new = room & ~F.array_contains(state["titles"], x["folded"]) & ~F.coalesce(F.array_contains(state["ids"], x["page_id"]), F.lit(False))
-        route = F.when(x["phase"] == 0, CATEGORY_ROUTE).otherwise(NOMINATION_ROUTE)
-        record = F.struct(F.size(state["out"]).cast("long").alias("ord"), route.alias("route"), x["reference"].alias("reference"), x["title"].alias("title"), x["page_id"].alias("page_id"))
-        return F.struct(
-            F.when(x["phase"] == 0, x["a"]).otherwise(state["at"]).alias("at"), before.alias("before"),
-            F.when(new & x["page_id"].isNotNull(), F.concat(state["ids"], F.array(x["page_id"]))).otherwise(state["ids"]).alias("ids"),
-            F.when(new, F.concat(state["titles"], F.array(x["folded"]))).otherwise(state["titles"]).alias("titles"),
-            F.when(new, F.concat(state["out"], F.array(record))).otherwise(state["out"]).alias("out"),
-        )
-
-    found = one.select(F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("x"))
-    return found.select("x.ord", F.col("x.route").alias("discovery_route"), F.col("x.reference").alias("discovery_reference"), F.col("x.title").alias("observed_page_title"), F.col("x.page_id").alias("observed_page_id"))
+    rows = rows.select("phase", "a", "b", "reference", "page_id", "title", "folded")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, before, ids, titles, out = -1, 0, set(), set(), []
+        for batch in batches:
+            for phase, a, b, reference, page_id, title, folded in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if phase == 0 and a != at:
+                    at, before = a, len(out)
+                room = len(out) < most and (phase == 1 or b <= most - before)
+                if room and folded not in titles and (page_id is None or page_id not in ids):
+                    titles.add(folded)
+                    ids.add(page_id)
+                    out.append((len(out), NOMINATION_ROUTE if phase else CATEGORY_ROUTE, reference, title, page_id))
+        if out:
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["ord", "discovery_route", "discovery_reference", "observed_page_title", "observed_page_id"])
+
+    bounded = rows.repartition(1).sortWithinPartitions("phase", "a", "b")
+    return bounded.mapInArrow(fold, "ord long, discovery_route string, discovery_reference string, observed_page_title string, observed_page_id long")
 
 
 def last_per(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -73,7 +76,7 @@ def redirect_edges(pages: DataFrame) -> DataFrame:
 
 
 def _kept(frame: DataFrame) -> DataFrame:
-    return frame.checkpoint() if frame.sparkSession.sparkContext.getCheckpointDir() else frame.cache()
+    return scratch.table(frame, "kept")
 
 
 def _jumped(edges: DataFrame) -> tuple[DataFrame, bool]:
@@ -179,13 +182,14 @@ def collapsed_targets(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("x"), F.min(order).alias("first_order")).select(key, "x.*", "first_order")
 
 
-def acquired(candidates: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def acquired(candidates: DataFrame, pages: DataFrame, fetch: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(selected, failures) of candidates (ord, observed_page_title, observed_page_id) in a dump's pages.
 
     selected: ord, observed_page_title, redirect_chain and the page's own columns, one row for each
     target. failures: candidate_identity, stage, reason, recoverable, in `place`: candidates without a
     page and loops as they come, then targets as they were first met. Of candidates that share a title or
-    an id the last stands for all, and of two with one target too, which is no failure.
+    an id the last stands for all, and of two with one target too, which is no failure. With fetch, pages are a
+    directory of narrow columns, and fetch gives whole pages of some of its rows by their scan_pos.
     """
     keyed = pages.withColumn("title_key", T.title_key(F.col("title")))
     own = candidates.withColumn("own_key", T.title_key(F.col("observed_page_title")))
@@ -204,6 +208,8 @@ def acquired(candidates: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFr
     targets = met.where("not loop").join(ends, "start_key").select(T.title_key(F.col("target_title")).alias("wanted_key"), "ord", "observed_page_title", "redirect_chain")
     targets = _kept(collapsed_targets(targets, "wanted_key", "ord"))
     fetched = last_per(keyed.join(F.broadcast(targets.select("wanted_key")), F.col("title_key") == F.col("wanted_key"), "left_semi"), ["title_key"], "scan_pos")
+    if fetch is not None:
+        fetched = fetch(fetched).withColumn("title_key", T.title_key(F.col("title")))
     got = targets.join(fetched, F.col("wanted_key") == F.col("title_key"), "left").withColumn("why", failure(F.lit("x"), F.lit(None), F.col("title"), F.col("namespace")))
     columns = [F.col("observed_page_title").alias("candidate_identity"), "why.stage", "why.reason", "why.recoverable"]
     failures = early.select(F.struct(F.lit(0), "ord").alias("place"), *columns).unionByName(got.where("why is not null").select(F.struct(F.lit(0) + 1, F.col("first_order").alias("ord")).alias("place"), *columns))

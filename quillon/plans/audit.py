@@ -152,3 +152,35 @@ def schema_violation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "events").select(F.lit("one").alias("log"), n.alias("line_no"), F.concat(ident, F.substring(line, 2, 1 << 20)).alias("value"))
     found = snapshot.event_violations(lines, tuple(curation.CLASSIFICATIONS.values()))
     return found.groupBy("check_id").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"))
+
+
+@query("""
+WITH e AS (SELECT event_id AS n, user_id % 8 AS k FROM events), logs AS (SELECT DISTINCT k FROM e),
+lines AS (SELECT k, 10 + n AS line_no, CASE WHEN n % 59 = 0 THEN 'none' WHEN n % 53 = 0 THEN 'other' ELSE 'event' END AS kind, n FROM e),
+v AS (SELECT 'record' AS check_id, k FROM lines WHERE kind = 'none' UNION ALL SELECT 'record type', k FROM lines WHERE kind = 'other'
+  UNION ALL SELECT 'event rubric', k FROM lines WHERE kind = 'event' AND (k = 4 OR n % 31 = 0) UNION ALL SELECT 'record order', k FROM lines WHERE kind = 'event' AND k = 7
+  UNION ALL SELECT 'event classification', k FROM lines WHERE kind = 'event' AND n % 17 = 0
+  UNION ALL SELECT unnest(CASE k WHEN 0 THEN ['record comes once'] WHEN 1 THEN ['header version', 'session fields'] WHEN 2 THEN ['header is missing'] WHEN 3 THEN ['metadata fields', 'session cursor'] WHEN 4 THEN ['metadata is missing']
+    WHEN 5 THEN ['metadata key'] WHEN 6 THEN ['metadata key', 'session state is missing'] END), k FROM logs)
+SELECT 'log ' || k AS log, check_id, count(*) AS n FROM v GROUP BY ALL""")
+def snapshot_rule_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as eight logs in whole snapshots, each with a fault of its own in header, metadata, session or order: rules broken in each."""
+    events = read(spark, sf_dir, "events").select(F.col("event_id").alias("n"), (F.col("user_id") % 8).alias("k"))
+    n, k = F.col("n"), F.col("k")
+    body = F.concat(F.lit('{"record_type":"audit_event","action":"classify","passage_id":"p","question":"q","evidence":"e","semantic_answer":"s","created_at":"c","supersedes_event_id":null,"id":'), n + 1, F.lit(',"rubric_id":"'), F.when(n % 31 == 0, "r0").otherwise("r1"), F.lit('","classification":"'), F.when(n % 17 == 0, "x").otherwise("internal lore"), F.lit('"}'))
+    body = F.when(n % 59 == 0, '["no object"]').when(n % 53 == 0, '{"record_type":"else"}').otherwise(body)
+    lines = events.select(k.alias("k"), (n + 10).alias("line_no"), body.alias("value"))
+    header = '{"record_type":"curation_snapshot","schema_version":%d}'
+    entry = '{"record_type":"metadata","key":"%s","value":"%s"}'
+    session = '{"record_type":"session_state","singleton":%s,"current_passage_id":"p","current_undecided_passage_id":null,"current_deferred_passage_id":%s}'
+    around = []  # of each log the lines around its events
+    for i in range(8):
+        around += [(i, 1, header % (2 if i == 1 else 1))] if i != 2 else []
+        around += [(i, 2, entry % ("corpus_fingerprint", "" if i == 3 else "f"))]
+        around += [(i, 3, entry % ("rubric_id", "r1"))] if i != 4 else []
+        around += [(i, 4, entry % ("rubric_id" if i == 5 else "else", "r2"))] if i in (5, 6) else []
+        around += [(i, 5 if i == 7 else 1 << 40, session % ("true" if i == 1 else "1", '""' if i == 3 else "null"))] if i != 6 else []
+        around += [(i, 1 << 41, session % ("1", "null"))] if i == 0 else []
+    around = spark.createDataFrame(around, "k long, line_no long, value string").join(events.select("k").distinct(), "k", "left_semi")
+    found = snapshot.violations(lines.unionByName(around).select(F.concat(F.lit("log "), "k").alias("log"), "line_no", "value"), tuple(curation.CLASSIFICATIONS.values()))
+    return found.groupBy("log", "check_id").agg(F.count("*").alias("n"))

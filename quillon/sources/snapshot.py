@@ -6,7 +6,7 @@ import json
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import scratch
@@ -83,34 +83,88 @@ def _event(record: dict, n: int, metadata: dict, events: list[dict], by_id: dict
     events.append(record)
 
 
-def event_violations(lines: DataFrame, labels: tuple[str, ...]) -> DataFrame:
-    """(check_id, line_no) of the rules that event lines (log, line_no, value) break, as rows; lines of other records are left out.
+def records(lines: DataFrame) -> DataFrame:
+    """Lines (log, line_no, value) of snapshots taken apart once: kind, keys, and each field with whether it has its type.
 
-    For logs too long to read line by line; validated() stops at the first fault of a file.
+    kind is null where a line is no JSON object or has no record type. Fields of other types than theirs are null.
     """
     record = F.try_parse_json("value")
     of = lambda name: F.try_variant_get("r", f"$.{name}", "variant")
-    kind = lambda name: F.schema_of_variant(of(name))
-    text = lambda name: F.try_variant_get("r", f"$.{name}", "string")
-    rows = lines.withColumn("r", record).where(text("record_type") == PHASES[2])
-    prior, action = F.try_variant_get("r", "$.supersedes_event_id", "bigint"), text("action")
+    type_of = lambda name: F.schema_of_variant(of(name))
+    text = lambda name: F.when(type_of(name) == "STRING", F.try_variant_get("r", f"$.{name}", "string"))
+    whole = lambda name: F.when(type_of(name) == "BIGINT", F.try_variant_get("r", f"$.{name}", "bigint"))
+    rows = lines.withColumn("r", record).withColumn("object", F.coalesce(F.schema_of_variant("r").startswith("OBJECT"), F.lit(False)))
     rows = rows.select(
-        "log", "line_no", F.array_sort(F.json_object_keys("value")).alias("keys"), F.when(kind("id") == "BIGINT", F.try_variant_get("r", "$.id", "bigint")).alias("id"), action.alias("action"), text("passage_id").alias("passage_id"),
-        F.when(kind("classification") == "STRING", text("classification")).alias("classification"), (kind("classification") == "VOID").alias("unclassified"),
-        F.when(kind("supersedes_event_id") == "BIGINT", prior).alias("supersedes_event_id"), kind("supersedes_event_id").isin("VOID", "BIGINT").alias("prior_typed"),
-        *[((kind(f) == "STRING") & (text(f) != "")).alias(f"good_{f}") for f in ("passage_id", "rubric_id", "question", "evidence", "semantic_answer", "created_at")],
+        "log", "line_no", "object", F.when(F.col("object"), text("record_type")).alias("kind"), F.when(F.col("object"), F.array_sort(F.json_object_keys("value"))).alias("keys"),
+        whole("schema_version").alias("schema_version"), text("key").alias("key"), text("value").alias("value"), whole("singleton").alias("singleton"),
+        F.forall(F.array(*[F.coalesce((type_of(c) == "VOID") | (text(c) != ""), F.lit(False)) for c in SESSION[1:]]), lambda good: good).alias("cursors"),
+        whole("id").alias("id"), text("action").alias("action"), text("passage_id").alias("passage_id"), text("rubric_id").alias("rubric_id"), text("classification").alias("classification"),
+        (type_of("classification") == "VOID").alias("unclassified"), whole("supersedes_event_id").alias("supersedes_event_id"), type_of("supersedes_event_id").isin("VOID", "BIGINT").alias("prior_typed"),
+        *[(text(f) != "").alias(f"good_{f}") for f in ("passage_id", "rubric_id", "question", "evidence", "semantic_answer", "created_at")],
     )
-    rows = scratch.table(rows, "event_lines")  # lines are taken apart once; what follows reads narrow rows
+    return scratch.table(rows, "snapshot_records")
+
+
+def event_violations(lines: DataFrame, labels: tuple[str, ...]) -> DataFrame:
+    """(check_id, line_no) of the rules that event lines (log, line_no, value) break, as rows; lines of other records are left out."""
+    return _event_violations(records(lines), labels).select("check_id", "line_no")
+
+
+def _has(*fields: str) -> Column:
+    return F.col("keys") == F.array(*[F.lit(k) for k in sorted((*fields, "record_type"))])
+
+
+def _event_violations(rows: DataFrame, labels: tuple[str, ...]) -> DataFrame:
+    rows = rows.where(F.col("kind") == PHASES[2])
     old = rows.where("id is not null").select("log", "line_no", "id", "action", "passage_id", "supersedes_event_id")
     rows = integrity.with_previous(rows, "log", "line_no", "id", "before")
     rules = {
-        "event fields": F.col("keys") == F.array(*[F.lit(k) for k in sorted((*EVENT, "record_type"))]), "event id": F.col("id") > 0, "event order": F.col("before").isNull() | F.col("id").isNull() | (F.col("id") > F.col("before")),
+        "event fields": _has(*EVENT), "event id": F.col("id") > 0, "event order": F.col("before").isNull() | F.col("id").isNull() | (F.col("id") > F.col("before")),
         "event action": F.col("action").isin("classify", "defer", "undo"), "event classification": F.when(F.col("action") == "classify", F.col("classification").isin(*labels)).otherwise(F.col("unclassified")),
         "superseded event": F.col("prior_typed") & ((F.col("action") != "undo") | F.col("supersedes_event_id").isNotNull()),
         **{f"event {c.removeprefix('good_')}": F.col(c) for c in rows.columns if c.startswith("good_")},
     }
-    plain = integrity.violations(rows, F.col("line_no"), rules).withColumnRenamed("subject", "line_no")
-    return plain.unionByName(integrity.dangling(old, "log").select(F.lit("superseded event is none of this passage").alias("check_id"), "line_no"))
+    plain = _violations(rows, rules)
+    return plain.unionByName(integrity.dangling(old, "log").select(F.lit("superseded event is none of this passage").alias("check_id"), "log", "line_no"))
+
+
+def _violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    return integrity.violations(rows, F.struct("log", "line_no"), rules).select("check_id", "subject.log", "subject.line_no")
+
+
+def violations(lines: DataFrame, labels: tuple[str, ...]) -> DataFrame:
+    """(check_id, log, line_no) of all rules of a snapshot that the lines of any number of logs break.
+
+    The rules of validated(), each on its own: that a line is a record, that records stand in the order of their phases and
+    header and session come once, the header's version, fields and keys of metadata and session, the events' rules, and that an
+    event has the rubric that its log's metadata names. What a log lacks is told with its last line.
+    """
+    rows = records(lines)
+    phase = F.create_map(*[F.lit(x) for i, k in enumerate(PHASES) for x in (k, i)])[F.col("kind")]
+    rows = rows.withColumn("phase", phase)
+    first = lambda condition: F.min(F.when(condition, F.col("line_no")))
+    rubric = F.min_by(F.col("value"), F.when((F.col("phase") == 1) & (F.col("key") == "rubric_id"), F.col("line_no")))
+    logs = rows.groupBy("log").agg(
+        F.array(*[first(F.col("phase") == i) for i in range(4)]).alias("firsts"), F.min("line_no").alias("top"), F.max("line_no").alias("last"), rubric.alias("rubric"),
+        F.min_by("kind", "line_no").alias("top_kind"), *[F.coalesce(F.bool_or((F.col("phase") == 1) & (F.col("key") == k)), F.lit(False)).alias(f"has_{k}") for k in METADATA],
+    )
+    logs = scratch.table(logs, "logs")
+    lacks = {"header is missing": F.coalesce(F.col("top_kind") == PHASES[0], F.lit(False)), "metadata is missing": F.col("has_corpus_fingerprint") & F.col("has_rubric_id"), "session state is missing": F.col("firsts")[3].isNotNull()}
+    found = integrity.violations(logs, F.struct("log", F.col("last").alias("line_no")), lacks).select("check_id", "subject.log", "subject.line_no")
+
+    known = rows.join(logs.select(F.col("log").alias("log_"), "firsts", "rubric"), F.col("log").eqNullSafe(F.col("log_"))).drop("log_")
+    later = F.exists(F.sequence(F.lit(0), F.lit(3)), lambda k: (k > F.col("phase")) & F.coalesce(F.element_at("firsts", k + 1) < F.col("line_no"), F.lit(False)))
+    again = F.col("phase").isin(0, 3) & (F.element_at("firsts", F.col("phase") + 1) < F.col("line_no"))
+    found = found.unionByName(_violations(known, {"record": F.col("object"), "record type": ~F.col("object") | F.col("phase").isNotNull(), "record order": F.col("phase").isNull() | ~later, "record comes once": F.col("phase").isNull() | ~again}))
+    found = found.unionByName(_violations(known.where("phase = 0"), {"header version": _has("schema_version") & (F.col("schema_version") == 1)}))
+    found = found.unionByName(_violations(known.where("phase = 2"), {"event rubric": F.col("rubric_id") == F.col("rubric")}))
+    session = {"session fields": _has(*SESSION) & (F.col("singleton") == 1), "session cursor": F.col("cursors")}
+    found = found.unionByName(_violations(known.where("phase = 3"), session))
+    metadata = rows.where("phase = 1")
+    named = metadata.groupBy(F.col("log").alias("log_"), F.col("key").alias("key_")).agg(F.min("line_no").alias("first"))
+    metadata = metadata.join(named, F.col("log").eqNullSafe(F.col("log_")) & (F.col("key") == F.col("key_")), "left")
+    found = found.unionByName(_violations(metadata, {"metadata fields": _has("key", "value") & (F.col("key") != "") & (F.col("value") != ""), "metadata key": F.col("key").isin(*METADATA) & (F.col("first") == F.col("line_no"))}))
+    return found.unionByName(_event_violations(rows.drop("phase"), labels))
 
 
 def lines_of(metadata: dict[str, str], events: list[dict], session: dict) -> list[str]:
