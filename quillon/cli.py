@@ -9,7 +9,7 @@ from pathlib import Path
 
 from . import cockpit, flows
 from .operators import checks, release
-from .sources import statefile, web
+from .sources import snapshot, statefile, web
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -68,7 +68,7 @@ def run(arguments: list[str], listing: web.Listing | None = None) -> str:
         statefile.export(a.state_db, a.output, flows.LABELS)
         return f"wrote {a.output}"
     if a.command == "load-curation":
-        flows.load_curation(a.input.read_text(encoding="utf-8").splitlines(), a.state_db)
+        flows.load_curation(snapshot.file_lines(a.input), a.state_db)
         return f"made {a.state_db}"
     if a.command == "curate":
         if not (sys.stdin.isatty() and sys.stdout.isatty()):

@@ -94,6 +94,15 @@ def canonical_line(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False) + "\n"
 
 
+def canonical_json(**fields: Column) -> Column:
+    """The fields as canonical_line has them, without the line end: keys in order, nulls written, control characters in small letters."""
+    out = F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+    fixed = out
+    for code in ("000B", "000E", "000F", "001A", "001B", "001C", "001D", "001E", "001F"):
+        fixed = F.regexp_replace(fixed, rf"(?<!\\)((?:\\\\)*)\\u{code}", rf"$1\\u{code.lower()}")
+    return F.when(out.contains("\\u00"), fixed).otherwise(out)
+
+
 def heading_label(path: Column) -> Column:
     return F.coalesce(F.nullif(F.array_join(path, " › "), F.lit("")), F.lit("Lead"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import scratch
-from . import integrity
+from . import curation, integrity
 
 LOG_SCHEMA = "version long, action string, release_id string, at timestamp"
 
@@ -115,13 +115,11 @@ def states(entries: DataFrame, registry: str = "registry_id") -> DataFrame:
     A rollback takes back the last activation that is not taken back yet, so what is active is what stands at the
     depth that it leaves.
     """
-    order = Window.partitionBy(registry).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     rows = entries.select(registry, "id", "at", "release_id", (F.col("action") == "rollback").alias("undo"))
-    rows = rows.withColumn("sum", F.sum(F.when(F.col("undo"), -1).otherwise(1)).over(order))
-    rows = rows.withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(order)))
-    level = Window.partitionBy(registry, "depth").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    top = F.last(F.when(~F.col("undo"), F.struct("release_id")), ignorenulls=True).over(level)["release_id"]
-    return rows.select(registry, "id", "at", F.when(F.col("depth") > 0, top).alias("release_id"))
+    rows = curation.depths(rows, registry)
+    rows = rows.withColumns({"level_": F.struct(registry, "depth"), "own_": F.when(~F.col("undo"), F.struct("release_id"))})
+    rows = integrity.with_last(rows, "level_", ["id"], F.floor(F.col("id") / (1 << 16)), "own_", "top_")
+    return rows.select(registry, "id", "at", F.when(F.col("depth") > 0, F.col("top_.release_id")).alias("release_id"))
 
 
 def active_at(entries: DataFrame, times: DataFrame, registry: str = "registry_id") -> DataFrame:

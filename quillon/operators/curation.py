@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from .. import scratch
 from ..functions import text as T
+from . import integrity
 
 # Keys and the labels they give.
 CLASSIFICATIONS = {"l": "internal lore", "w": "external creation history", "a": "analysis or reception", "d": "adaptation material", "r": "reference or administrative material"}
@@ -38,22 +39,38 @@ def latest_active(events: DataFrame) -> DataFrame:
     return active(events).orderBy(F.desc("id")).limit(1)
 
 
+def depths(events: DataFrame, scope: str, width: int = 1 << 16) -> DataFrame:
+    """events (scope, id, undo) with depth and idle: how many are active after each one, and whether an undo found none.
+
+    An undo with nothing to take back doesn't lower the depth, as the running least of the plain sum shows. A long scope
+    is cut at every `width` ids: each part is a task's, and what is ahead of it comes from a table with a row for each part.
+    """
+    rows = events.withColumns({"part_": F.floor(F.col("id") / width), "one_": F.when(F.col("undo"), -1).otherwise(1)})
+    inside = Window.partitionBy(scope, "part_").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("sum_", F.sum("one_").over(inside))
+    rows = rows.withColumns({"low_": F.min("sum_").over(inside), "before_": F.min("sum_").over(Window.partitionBy(scope, "part_").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))})
+    parts = rows.groupBy(F.col(scope).alias("scope_"), F.col("part_").alias("of_")).agg(F.sum("one_").alias("total"), F.min("sum_").alias("low"))
+    ahead = Window.partitionBy("scope_").orderBy("of_").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("base_", F.coalesce(F.sum("total").over(ahead), F.lit(0)))
+    parts = parts.select("scope_", "of_", "base_", F.least(F.lit(0), F.min(F.col("base_") + F.col("low")).over(ahead)).alias("floor_"))
+    rows = rows.join(parts, rows[scope].eqNullSafe(F.col("scope_")) & (F.col("part_") == F.col("of_")))
+    least = lambda own: F.least(F.col("floor_"), F.col("base_") + F.col(own))
+    depth = F.col("base_") + F.col("sum_") - least("low_")
+    idle = F.col("undo") & (least("low_") < least("before_"))
+    return rows.withColumns({"depth": depth, "idle": idle}).drop("part_", "one_", "sum_", "low_", "before_", "scope_", "of_", "base_", "floor_")
+
+
 def undo_pairs(events: DataFrame, scope: str) -> DataFrame:
     """Which event each undo of a scope takes back: the latest that is not taken back yet.
 
     events: scope, id, undo. Depth counts what is active; an undo meets the last event that reached the
-    depth it leaves. An undo with nothing to take back does nothing: it doesn't lower the depth, as the
-    running least of the plain sum shows.
+    depth it leaves. An undo with nothing to take back does nothing.
     """
-    order = Window.partitionBy(scope).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = events.withColumn("sum", F.sum(F.when(F.col("undo"), -1).otherwise(1)).over(order))
-    rows = rows.withColumn("floor", F.least(F.lit(0), F.min("sum").over(order)))
-    rows = rows.withColumn("depth", F.col("sum") - F.col("floor"))
-    idle = F.col("undo") & (F.col("sum") == F.col("floor")) & (F.coalesce(F.lag("floor").over(Window.partitionBy(scope).orderBy("id")), F.lit(0)) > F.col("floor"))
-    rows = rows.withColumn("idle", idle).withColumn("level", F.when(F.col("undo"), F.col("depth") + 1).otherwise(F.col("depth")))
-    level = Window.partitionBy(scope, "level").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    taken = F.last(F.when(~F.col("undo"), F.col("id")), ignorenulls=True).over(level)
-    return rows.withColumn("undone_id", F.when(F.col("undo") & ~F.col("idle"), taken)).select(scope, "id", "undo", "undone_id")
+    rows = depths(events, scope)
+    rows = rows.withColumn("level_", F.struct(F.col(scope).alias("scope"), F.when(F.col("undo"), F.col("depth") + 1).otherwise(F.col("depth")).alias("depth")))
+    rows = rows.withColumn("own_", F.when(~F.col("undo"), F.col("id")))
+    rows = integrity.with_last(rows, "level_", ["id"], F.floor(F.col("id") / (1 << 16)), "own_", "taken_")
+    return rows.withColumn("undone_id", F.when(F.col("undo") & ~F.col("idle"), F.col("taken_"))).select(scope, "id", "undo", "undone_id")
 
 
 def counts(decisions: DataFrame, total: Column | int, labels: list[str]) -> DataFrame:

@@ -8,13 +8,12 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from .. import scratch
 from ..functions import text as T
 from ..operators import checks, curation, extract, integrity, release, resolve
-from ..sources import articles, dump, snapshot, statefile
+from ..sources import articles, dump, snapshot
 from .corpus import _WIKI, pseudo_wikitext, read
 
 QUERIES: dict = {}
@@ -76,17 +75,12 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + _EVENTS + "SELECT * FROM log")
 def snapshot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log through a snapshot, a state file and a snapshot again, each checked; a curator's log is one file."""
+    """The log through a snapshot in parts, written in order, read back and checked line by line."""
     labels = tuple(curation.CLASSIFICATIONS.values())
     session = dict(zip(snapshot.SESSION, (1, "p1", None, None), strict=True))
-    with tempfile.TemporaryDirectory() as name:
-        one, state, two = (Path(name, n) for n in ("one.jsonl", "state.db", "two.jsonl"))
-        snapshot.export({"corpus_fingerprint": "f", "rubric_id": "r1"}, _events(spark, sf_dir), session, one, labels)
-        statefile.load(state, one.read_text(encoding="utf-8").splitlines(), labels)
-        statefile.export(state, two, labels)
-        if one.read_bytes() != two.read_bytes():
-            raise ValueError("a snapshot does not come back as it was")
-        _, events, _ = snapshot.load(spark, two, labels)
+    path = scratch.new_path(spark, "snapshot")
+    snapshot.write_parts({"corpus_fingerprint": "f", "rubric_id": "r1"}, _events(spark, sf_dir), session, path, labels)
+    _, events, _ = snapshot.read_parts(spark, path, labels)
     return events.select("id", "action", "passage_id", "classification", "supersedes_event_id")
 
 
@@ -178,7 +172,7 @@ def release_precondition_violations(spark: SparkSession, sf_dir: str) -> DataFra
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     # Event ids rise with a document's rows: a decision is on one document, so only their order there matters.
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("quality", "toxic"))
-    events = labels.select((F.col("doc_id") * 64 + order).alias("id"), (F.col("doc_id") + F.when(F.col("doc_id") % 17 == 0, 1_000_000_000).otherwise(0)).alias("passage_id"), F.when(F.col("toxic") == 1, "defer").otherwise("classify").alias("action"), F.lit(None).cast("long").alias("supersedes_event_id"))
+    events = labels.select((F.col("doc_id") * (1 << 20) + order).alias("id"), (F.col("doc_id") + F.when(F.col("doc_id") % 17 == 0, 1_000_000_000).otherwise(0)).alias("passage_id"), F.when(F.col("toxic") == 1, "defer").otherwise("classify").alias("action"), F.lit(None).cast("long").alias("supersedes_event_id"))
     heads = docs.groupBy("source").agg(F.min("doc_id").alias("page_id"), F.count("*").alias("n"))
     doc = F.struct(F.col("source").alias("article_artifact_id"), F.when(F.col("n") % 2 == 1, "t").alias("canonical_title"), "page_id", F.lit(1).alias("revision_id"), F.lit("").alias("revision_timestamp"), F.struct((F.col("page_id") % 3).alias("dump_run")).alias("source_snapshot"))
     return checks.release_rules(docs.select(F.col("doc_id").alias("passage_id"), F.col("source").alias("article_artifact_id")), events, heads.select(F.col("source").alias("file"), doc.alias("doc")))
@@ -277,14 +271,9 @@ def heading_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.placed_blocks(pages, "page_id", "raw").select("page_id", "block_no", T.heading_label(path).alias("label"))
 
 
-@F.pandas_udf(StringType())
-def _lines(ids: pd.Series, turns: pd.Series, roles: pd.Series, texts: pd.Series) -> pd.Series:
-    return pd.Series([T.canonical_line({"turn": int(n), "text": t, "conv_id": int(i), "role": r}) for i, n, r, t in zip(ids, turns, roles, texts, strict=True)], dtype=object)
-
-
 @query("""SELECT conv_id, turn, sha256(to_json({'conv_id': conv_id, 'role': role, 'text': text, 'turn': turn})::VARCHAR || chr(10)) AS line_sha256 FROM conversations""")
 def canonical_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.encode(_lines("conv_id", "turn", "role", "text"), "UTF-8"), 256).alias("line_sha256"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.concat(T.canonical_json(**{c: F.col(c) for c in ("conv_id", "turn", "role", "text")}), F.lit("\n")), 256).alias("line_sha256"))
 
 
 @query("""WITH l AS (SELECT doc_id, sha256(text) AS d, 'quillon-v' || doc_id || '.tar.gz' AS name FROM documents)

@@ -8,9 +8,10 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import scratch
-from ..functions.text import canonical_line
+from ..functions.text import canonical_json, canonical_line
 from ..operators import integrity
 
 # Record fields of the format.
@@ -176,6 +177,12 @@ def lines_of(metadata: dict[str, str], events: list[dict], session: dict) -> lis
     return [canonical_line(r) for r in rows]
 
 
+def file_lines(path: str | Path) -> list[str]:
+    """The lines of a snapshot's file. Only line feeds end one: texts may hold other separators as they are."""
+    with open(path, encoding="utf-8") as stream:
+        return [line.removesuffix("\n") for line in stream]
+
+
 def export(metadata: dict[str, str], events: DataFrame, session: dict, path: str | Path, labels: tuple[str, ...]) -> None:
     """Write a snapshot, read it back and check it, then put it in place in one step.
 
@@ -186,10 +193,69 @@ def export(metadata: dict[str, str], events: DataFrame, session: dict, path: str
     validated(text, labels)
     stage = Path(f"{path}.partial")
     stage.write_text("".join(text), encoding="utf-8", newline="")
-    validated(stage.read_text(encoding="utf-8").splitlines(), labels)
+    validated(file_lines(stage), labels)
     os.replace(stage, path)
 
 
 def load(spark: SparkSession, path: str | Path, labels: tuple[str, ...]) -> tuple[dict[str, str], DataFrame, dict]:
-    metadata, events, session = validated(Path(path).read_text(encoding="utf-8").splitlines(), labels)
+    metadata, events, session = validated(file_lines(path), labels)
     return metadata, spark.createDataFrame([tuple(e[f] for f in EVENT) for e in events], EVENTS_SCHEMA), session
+
+
+def line_rows(metadata: dict[str, str], events: DataFrame, session: dict) -> DataFrame:
+    """(phase, id, value): the canonical lines of a snapshot, without line ends; phase and id give their order."""
+    spark = events.sparkSession
+    around = [(0, 0, {"record_type": PHASES[0], "schema_version": 1})]
+    around += [(1, i, {"record_type": PHASES[1], "key": k, "value": metadata[k]}) for i, k in enumerate(sorted(metadata))]
+    around += [(3, 0, {"record_type": PHASES[3], **session})]
+    fixed = spark.createDataFrame([(p, i, canonical_line(r)[:-1]) for p, i, r in around], "phase int, id long, value string")
+    line = canonical_json(record_type=F.lit(PHASES[2]), **{f: F.col(f) for f in EVENT})
+    return fixed.unionByName(events.select(F.lit(2).alias("phase"), F.col("id").cast("long").alias("id"), line.alias("value")))
+
+
+def write_parts(metadata: dict[str, str], events: DataFrame, session: dict, path: str, labels: tuple[str, ...]) -> None:
+    """Write a snapshot of any length as parts, in a new folder, that one after another are the file of export(); then check it.
+
+    Lines are dealt by ranges of their order, so each part is a task's. A snapshot that breaks a rule is removed, and
+    SnapshotError raised.
+    """
+    spark = events.sparkSession
+    rows = line_rows(metadata, events, session).repartitionByRange("phase", "id").sortWithinPartitions("phase", "id")
+    rows.select("value").write.text(path)
+    try:
+        read_parts(spark, path, labels)
+    except SnapshotError:
+        scratch.remove(spark, path)
+        raise
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(log, line_no, value) of the lines of a folder's parts in order; log is the folder.
+
+    Parts follow each other by name, and readers may split them. Each split numbers its own lines; what is ahead of it comes from
+    a table with a row for each split.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    rows = scratch.table(rows, "lines")
+    sizes = rows.groupBy(F.col("file").alias("file_"), F.col("block").alias("block_")).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("file_", "block_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("file_", "block_", "first", ahead.alias("ahead"))
+    rows = rows.join(sizes, (F.col("file") == F.col("file_")) & (F.col("block") == F.col("block_")))
+    return rows.select(F.lit(path).alias("log"), (F.col("ahead") + F.col("at") - F.col("first") + 1).alias("line_no"), "value")
+
+
+def read_parts(spark: SparkSession, path: str, labels: tuple[str, ...]) -> tuple[dict[str, str], DataFrame, dict]:
+    """(metadata, events, session) of a snapshot in parts, whatever its length; SnapshotError for the first line that breaks a rule.
+
+    Rules are checked as rows; what comes to the driver is the first fault, the metadata and the session.
+    """
+    lines = numbered_lines(spark, path)
+    worst = violations(lines, labels).agg(F.min(F.struct("line_no", "check_id")).alias("x")).first()["x"]
+    if worst is not None:
+        raise SnapshotError(f"line {worst['line_no']}: {worst['check_id']}")
+    kind = F.get_json_object("value", "$.record_type")
+    few = [json.loads(r["value"]) for r in lines.where(kind.isin(PHASES[1], PHASES[3])).select("value").collect()]  # one for each key, and the session
+    metadata = {r["key"]: r["value"] for r in few if r["record_type"] == PHASES[1]}
+    session = next({k: r[k] for k in SESSION} for r in few if r["record_type"] == PHASES[3])
+    events = lines.where(kind == PHASES[2]).select(F.from_json("value", EVENTS_SCHEMA).alias("e")).select("e.*")
+    return metadata, events.select(*EVENT), session

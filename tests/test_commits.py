@@ -135,3 +135,16 @@ def test_stamps_are_real_moments_in_real_zones(spark):
     rows = spark.createDataFrame([(x, i < len(good)) for i, x in enumerate(good + bad)], "x string, ok boolean")
     wrong = rows.where(F.coalesce(integrity.zoned_timestamp(F.col("x")), F.lit(False)) != F.col("ok")).collect()
     assert wrong == []
+
+
+@pytest.mark.parametrize("width", [3, 1 << 16])
+def test_depths_across_parts(spark, width):
+    draw = random.Random(width)
+    rows = [(draw.choice(["a", "a", None]), i, draw.random() < 0.55) for i in range(400)]
+    expected, held = {}, {}
+    for scope, i, undo in rows:
+        idle = undo and not held.get(scope, 0)
+        held[scope] = held.get(scope, 0) + (0 if idle else -1 if undo else 1)
+        expected[i] = (held[scope], idle)
+    found = curation.depths(spark.createDataFrame(rows, "scope string, id long, undo boolean"), "scope", width)
+    assert {r["id"]: (r["depth"], r["idle"]) for r in found.collect()} == expected

@@ -53,3 +53,27 @@ def test_rows_and_reader_agree(spark):
                 snapshot.validated(texts, LABELS)
             assert found.get(name), name
     assert "record" in found["no json"] and found["two headers"] == {"record comes once"} and found["other rubric"] == {"event rubric"}
+
+
+def test_parts_are_the_file_and_come_back(spark, tmp_path):
+    odd = "".join(map(chr, range(32))) + "\x7f é王🙂\u2028\x85 \\u001F \\\x0b \\\\\x1f\"/"
+    events = [event(i, question=f"{odd}{i}", passage_id=f"p{i % 7}", **({"action": "defer", "classification": None} if i % 3 == 0 else {})) for i in range(1, 400)]
+    events += [event(400, **UNDO, passage_id="p1", supersedes_event_id=1)]
+    rows = spark.createDataFrame([tuple(e[f] for f in snapshot.EVENT) for e in events], snapshot.EVENTS_SCHEMA).repartition(5)
+    metadata, session = {"rubric_id": "r", "corpus_fingerprint": "f"}, {k: v for k, v in END.items() if k != "record_type"}
+    snapshot.export(metadata, rows, session, tmp_path / "one.jsonl", LABELS)
+    folder = tmp_path / "parts"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")  # parts are read in splits
+    try:
+        snapshot.write_parts(metadata, rows, session, str(folder), LABELS)
+        parts = sorted(p for p in folder.iterdir() if p.name.startswith("part-"))
+        assert b"".join(p.read_bytes() for p in parts) == (tmp_path / "one.jsonl").read_bytes()
+        got = snapshot.read_parts(spark, str(folder), LABELS)
+        assert got[0] == metadata and got[2] == session and sorted(map(tuple, got[1].collect())) == sorted(map(tuple, rows.collect()))
+        numbers = {r["line_no"]: r["value"] for r in snapshot.numbered_lines(spark, str(folder)).collect()}
+        assert [numbers[i + 1] for i in range(len(numbers))] == (tmp_path / "one.jsonl").read_text(encoding="utf-8", newline="").split("\n")[:-1]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    with pytest.raises(snapshot.SnapshotError, match="line 4: event rubric"):
+        snapshot.write_parts({**metadata, "rubric_id": "z"}, rows, session, str(tmp_path / "bad"), LABELS)
+    assert not (tmp_path / "bad").exists()
