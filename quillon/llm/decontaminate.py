@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import blocks, store
 
+ITEMS_AT_ONCE = 512  # items that a text is aligned with together
 WINDOW = 12
 LEAST_LITERALS = 8  # in a window
 FEWEST_LITERALS = 4  # in a window of an item none of whose windows has more
@@ -330,8 +331,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     no passage; null ids are left out. Each pair of ids appears once, also for repeated rows.
 
     One pass over the documents leaves those with a window that may be the benchmark's; their windows are
-    joined with the items' by hash. Each pair of a document and an item is aligned as a row of its own, so
-    a template that very many items share is spread over tasks.
+    joined with the items' by hash. A text is then told once, followed by the items that it may hold, and aligned with
+    ITEMS_AT_ONCE of them together, however many there are.
     """
     spark = documents.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item")).where("item_id is not null and item is not null").distinct()
@@ -379,16 +380,43 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     pairs = rows.select("row", F.explode("keys").alias("key")).join(keys, "key").select("row", "item_id").distinct()
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = []
-            for doc, text, item, theirs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own, table = canonical(next(blocks.slices(pa.array([text])))), _table([canonical(next(blocks.slices(pa.array([theirs]))))], size, least)
-                met = [(n, start[hit], hashes[hit]) for n, start, hashes in _met(own, list(table.sizes), table.pairs, size, least) if len(hit := np.flatnonzero(np.isin(hashes, table.sizes[n][0])))]
-                got += [(doc, item, *rest) for _, *rest in _aligned(table, own, met, size)]
+        """Rows in order: a text, then the items that it may hold."""
+        doc = own = text = None
+        held: list[tuple[int, str]] = []
+        got: list[tuple[int, int, int, int, int]] = []
+
+        def align() -> None:
+            nonlocal own
+            own = own or canonical(next(blocks.slices(pa.array([text]))))
+            table = _table([canonical(next(blocks.slices(pa.array([item])))) for _, item in held], size, least)
+            met = [(n, start[hit], hashes[hit]) for n, start, hashes in _met(own, list(table.sizes), table.pairs, size, least) if len(hit := np.flatnonzero(np.isin(hashes, table.sizes[n][0])))]
+            got.extend((doc, held[k][0], *rest) for k, *rest in _aligned(table, own, met, size))
+            held.clear()
+
+        def batch_of() -> pa.RecordBatch:
             cols = list(zip(*got, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "n_words", "n_slots", "n_equal"])
+            got.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "n_words", "n_slots", "n_equal"])
 
-    both = pairs.join(rows.select("row", "doc_id", "text"), "row").join(items, "item_id").select("doc_id", "text", "item_id", "item")
+        for batch in batches:
+            for kind, number, said in zip(*(batch.column(c) for c in ("kind", "number", "said")), strict=True):
+                if kind.as_py() == 0:
+                    if held:
+                        align()
+                    doc, own, text = number.as_py(), None, said.as_py()
+                else:
+                    held.append((number.as_py(), said.as_py()))
+                    if len(held) == ITEMS_AT_ONCE:
+                        align()
+            if len(got) > 1 << 14:
+                yield batch_of()
+        if held:
+            align()
+        yield batch_of()
+
+    texts = rows.select("row", F.lit(0).alias("kind"), F.col("doc_id").alias("number"), F.col("text").alias("said"))
+    asked = pairs.join(items, "item_id").select("row", F.lit(1).alias("kind"), F.col("item_id").alias("number"), F.col("item").alias("said"))
+    both = texts.unionByName(asked).repartition("row").sortWithinPartitions("row", "kind", "number")
     out = both.mapInArrow(aligned, "doc_id long, item_id long, n_words long, n_slots long, n_equal long")
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_words", "n_slots", "n_equal")).alias("x"))
     return best.select("doc_id", "item_id", "x.n_words", "x.n_slots", "x.n_equal")
