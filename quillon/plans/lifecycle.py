@@ -365,17 +365,19 @@ def evidence_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evidence(spark, sf_dir, True)
 
 
-@query("SELECT conv_id, turn, length(text) AS n, greatest(1, ceil(length(text) / 40.0))::BIGINT AS least_lines, true AS fits, true AS whole FROM conversations")
+@query(r"""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations),
+l AS (SELECT conv_id, turn, text, CASE WHEN regexp_matches(text, '[^ ]{41}') THEN NULL WHEN text = '' THEN [''] ELSE regexp_extract_all(text, '(.{1,40})(?: |$)', 1) END AS lines FROM t)
+SELECT conv_id, turn, length(text) AS n, len(lines) AS n_lines, sha256(array_to_string(lines, chr(10))) AS lines_sha256 FROM l""")
 def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns in lines of 40 characters: none is longer, none is lost but white space, and there are at least as many as it takes."""
+    """Single-spaced turns in lines of 40 characters; no lines are given of turns with a longer word, which SQL can't break as they are broken."""
 
-    @F.pandas_udf("fits boolean, whole boolean")
-    def held(texts: pd.Series) -> pd.DataFrame:
-        lines = texts.map(lambda t: T.wrapped(t, 40))
-        return pd.DataFrame({"fits": lines.map(lambda x: max(map(len, x)) <= 40), "whole": [("".join("".join(x).split()) == "".join(t.split())) for x, t in zip(lines, texts, strict=True)]})
+    @F.pandas_udf("array<string>")
+    def lines(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: T.wrapped(t, 40))
 
-    rows = read(spark, sf_dir, "conversations").withColumn("x", held("text"))
-    return rows.select("conv_id", "turn", F.length("text").alias("n"), F.greatest(F.lit(1), F.ceil(F.length("text") / 40)).alias("least_lines"), "x.fits", "x.whole")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", T.collapsed(F.col("text")).alias("text"))
+    rows = rows.withColumn("lines", F.when(~F.col("text").rlike("[^ ]{41}"), lines("text")))
+    return rows.select("conv_id", "turn", F.length("text").cast("long").alias("n"), F.when(F.col("lines").isNotNull(), F.size("lines")).cast("long").alias("n_lines"), F.sha2(F.array_join("lines", "\n"), 256).alias("lines_sha256"))
 
 
 @query("""WITH n AS (SELECT unnest(range(8)) AS k), t AS (SELECT doc_id, k, CASE k WHEN 0 THEN 'l' WHEN 1 THEN 'w' WHEN 2 THEN 'a' WHEN 3 THEN 'd' WHEN 4 THEN 'r' WHEN 5 THEN 's' WHEN 6 THEN 'L' ELSE 'x' END AS key FROM documents JOIN n ON k = doc_id % 8)
