@@ -139,11 +139,7 @@ def _across(percent: int):
 
 
 def blocks_of_lists(lists: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    return counted_blocks(lists, percent, block)[0]
-
-
-def counted_blocks(lists: DataFrame, percent: int, block: int = BLOCK) -> tuple[DataFrame, int]:
-    """lists (token, key, size, label, ...) of several labels, with class, part, low and high: their blocks; and how many entries those have.
+    """lists (token, key, size, label, ...) of several labels, with class, part, low and high: their blocks.
 
     Only pairs of different labels and of sizes near each other matter. So a list of more than a block is
     split into classes of size, each with the next smaller one, and in a class into the members of its most
@@ -159,11 +155,8 @@ def counted_blocks(lists: DataFrame, percent: int, block: int = BLOCK) -> tuple[
     counts = rows.groupBy("token", "class", "label").agg(F.count("*").alias("n"))
     counts = counts.groupBy("token", "class").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
     parts = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
-    counts = counts.select("token", "class", F.col("top.label").alias("common"), parts(F.col("top.n")).alias("commons"), parts(F.col("n") - F.col("top.n")).alias("others"), F.col("top.n").alias("most"), "n")
-    counts = store.table(counts, "list_counts")
-    met = F.col("most") * F.col("others") + (F.col("n") - F.col("most")) * (F.col("others") + F.col("commons"))
-    entries = counts.agg(F.sum(F.when((F.col("commons") == 1) & (F.col("others") == 1), F.col("n")).otherwise(met))).first()[0] or 0
-    rows = rows.join(counts.drop("most", "n"), ["token", "class"])
+    counts = counts.select("token", "class", F.col("top.label").alias("common"), parts(F.col("top.n")).alias("commons"), parts(F.col("n") - F.col("top.n")).alias("others"))
+    rows = rows.join(counts, ["token", "class"])
     hashed = F.xxhash64("key")
     is_common = F.col("label") == F.col("common")
     rows = rows.withColumn("part", F.when(is_common, -1 - F.pmod(hashed, F.col("commons"))).otherwise(F.pmod(hashed, F.col("others"))).cast("int"))
@@ -175,7 +168,7 @@ def counted_blocks(lists: DataFrame, percent: int, block: int = BLOCK) -> tuple[
     met = F.when(is_common, met).otherwise(F.concat(met, F.transform(F.sequence(F.lit(-1), -F.col("commons"), F.lit(-1)), low_high)))
     alone = F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))
     rows = rows.withColumn("x", F.explode(F.when(single, alone).otherwise(met))).withColumn("part", F.when(single, 0).otherwise(F.col("part")))
-    return rows.select("token", "class", "key", "label", "size", "own", "bitmap", "part", F.col("x.low").alias("low"), F.col("x.high").alias("high")), entries
+    return rows.select("token", "class", "key", "label", "size", "own", "bitmap", "part", F.col("x.low").alias("low"), F.col("x.high").alias("high"))
 
 
 def links(profile: DataFrame, percent: int) -> DataFrame:
@@ -189,10 +182,10 @@ def links(profile: DataFrame, percent: int) -> DataFrame:
     label = store.table(components(first), "labels")
 
     lists = profile.join(label, F.col("key") == F.col("node"), "left").select("key", "size", F.coalesce("label", "key").alias("label"), F.size("codes").cast("long").alias("own"), "bitmap", F.explode("prefix").alias("token"))
-    dealt, entries = counted_blocks(lists, percent)
-    # A group's memory doesn't follow the input: entries are dealt to as many groups as they fill.
-    entry = 64 + (profile.agg(F.avg(F.length("bitmap"))).first()[0] or 0)
-    shards = max(store.parallelism(spark) * 2, int(entries * entry // SHARD_BYTES) + 1)
+    dealt = blocks_of_lists(lists, percent)
+    # Groups follow the bytes of all list entries, before the blocks of long lists of several labels repeat some of them.
+    size = profile.agg(F.sum(F.size("prefix") * (64 + F.length("bitmap")))).first()[0] or 0
+    shards = max(store.parallelism(spark) * 2, int(size // SHARD_BYTES) + 1)
     lists = dealt.withColumn("shard", F.pmod(F.xxhash64("token", "class", "low", "high"), F.lit(shards)).cast("int"))
     rest = lists.groupBy("shard").applyInArrow(_across(percent), "a long, b long").distinct()
     second = verified(rest, profile, percent)
