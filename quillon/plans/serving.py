@@ -73,7 +73,7 @@ SELECT question_id, count(*) AS blocks, count_if(place <= 4 OR least IS NULL OR
 def lexical_search_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many blocks of the index hold terms of a question, and how many of them a search had to read."""
     index = retrieval.postings(_passages(spark, sf_dir), BLOCK_WIDTH)
-    return retrieval.search(scratch.table(index, "postings"), _questions(spark, sf_dir), 10)[1]
+    return retrieval.search(scratch.table(index, "postings"), _questions(spark, sf_dir), 10, width=BLOCK_WIDTH)[1]
 
 
 @query("""
