@@ -30,7 +30,7 @@ def check(spark: SparkSession, path: str, database: str, progress: Progress | No
 
 
 def _check(rows: DataFrame, database: str) -> None:
-    rows = rows.withColumn("pos", F.monotonically_increasing_id())
+    rows = rows.withColumn("pos", F.struct("path", "block", F.monotonically_increasing_id().alias("row")))  # tasks may read files in another order
     name = F.regexp_extract("value", "<siteinfo[\\s\\S]*?<dbname>\\s*([^<]*?)\\s*</dbname>", 1)
     before = F.regexp_extract("value", "^([\\s\\S]*?)(?:<page>|\\z)", 1).contains("</dbname>")
     found = rows.agg(
