@@ -13,9 +13,10 @@ them (a Feistel permutation around an increment), so two values never meet and n
 Names are drawn from a larger space by a keyed hash. Over the values of the whole corpus it is checked
 that no two names meet and that no surrogate is a value of its own. Else all names are drawn from a larger
 space, but of other values only those that meet one: each goes on over further cycles to the first surrogate
-that is neither a value of the corpus nor another's. Where a format has no free place left for them (the corpus
-holds some half of all its values, as of 192.168.0.0/16), such values keep their first surrogate: still apart,
-but a value of the corpus.
+that is neither a value of the corpus nor another's. Of a format that the corpus fills by a part that counts (as of
+192.168.0.0/16), all free places are listed and dealt out instead, in an order that the key gives, so no place stays
+free while a value wants one. Only where the corpus holds more than half of all values of a format are there fewer
+places than values, whatever is drawn: those left over keep their first surrogate, still apart, but a value of the corpus.
 """
 
 from __future__ import annotations
@@ -29,20 +30,22 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, repeat
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .store import table
+from .store import parallelism, table
 
 KINDS = ("email", "phone", "ip", "card", "ssn", "iban", "name")
 KEY_SETTING = "quillon.pii.key"
 DEMO_KEY = "no secret: set quillon.pii.key"
-OFFERS = (1, 4, 16, 64, 256, 1024)  # cycles that a round of redrawing tries for each value that is left
-FEW_OFFERS = 1 << 14  # a format whose values of a round get more, and more than OFFERS_EACH for each value that the
-OFFERS_EACH = 4  # corpus has of it, is too full: so the work stays linear
+OFFERS = (1, 4, 16)  # cycles that the rounds of redrawing try for each value that is left; the last of them for all further rounds
+DENSE = 32  # of a format with at most so many values for each that the corpus has, all places are listed: so the work stays linear
+PLACES = 1 << 14  # places that are listed at a time
 MOST_CARRIED = 1 << 16  # redrawn values that tasks get as a list; of more, each text gets its own by a join
 # Forms of address and the gender they tell.
 TITLES = {"Mr": "m", "Mister": "m", "Sir": "m", "Lord": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Don": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Lady": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f", "Doña": "f", "Dra": "f", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f", "Dr": "", "Doctor": "", "Prof": "", "Professor": "", "Mx": "", "Rev": ""}
@@ -253,8 +256,8 @@ class Surrogates:
 
     @lru_cache(maxsize=2048)  # noqa: B019
     def at(self, draw: int) -> Surrogates:
-        """The surrogates of another draw."""
-        return self if draw == self.draw else Surrogates(self.secret, self.width, draw)
+        """The surrogates of another draw; a negative one is a place (see Placed)."""
+        return self if draw == self.draw else Placed(-1 - draw) if draw < 0 else Surrogates(self.secret, self.width, draw)
 
     def _hash(self, data: bytes, size: int = 64) -> int:
         return int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=size).digest())
@@ -394,6 +397,48 @@ class Surrogates:
         return "".join([*out, text[at:]]), Counter(e.kind for e in found)
 
 
+class Placed(Surrogates):
+    """Of every value the one that has the number `place` among all of its format, where there is one; else ValueError."""
+
+    def __init__(self, place: int = 0):
+        super().__init__(b"")
+        self.place = place
+
+    def __reduce__(self):
+        return Placed, (self.place,)
+
+    def _of(self, kind: str, text: str, gender: str = "") -> str:
+        self.rest, self.steps = self.place, []
+        return super()._of(kind, text, gender)
+
+    def step(self, tweak: bytes, value: int, total: int) -> int:
+        if tweak in self.steps:
+            raise ValueError(f"place {self.place} is none of this format")  # it was no valid value
+        self.steps.append(tweak)
+        self.rest, own = divmod(self.rest, total)
+        return own
+
+
+class _Format(Surrogates):
+    """What makes the format of a value: its surrogate is the value itself, and the steps are noted."""
+
+    def step(self, tweak: bytes, value: int, total: int) -> int:
+        self.tweaks.append(tweak)
+        self.total *= total
+        return value
+
+    def of_value(self, kind: str, text: str) -> tuple[str, int]:
+        """(shape, total): values of one shape can stand for each other, and have numbers below total, of which some may be invalid."""
+        self.tweaks, self.total = [], 1
+        own = canonical(kind, self._of(kind, text))
+        tweaks = [t.decode(errors="replace") for t in self.tweaks]
+        if kind == "email":  # without the domain, which takes a step too
+            domain = own.partition("@")[2].split(".")
+            tweaks = [t.split("|", 1)[-1] for t in tweaks] + domain[-2 if domain[-2] == "example" and len(domain) > 2 else -1 :]
+        good = {"card": luhn, "ssn": lambda s: s[:3] not in ("000", "666") and s[:1] != "9", "phone": lambda s: s[:1] in ("0", "1")}.get(kind, bool)
+        return "|".join([*tweaks, str(good(own))]), min(self.total, 1 << 62)
+
+
 def _filled(pattern: str, characters: str) -> str:
     rest = iter(characters)
     return "".join(next(rest) if c.isalnum() else c for c in pattern)
@@ -433,11 +478,61 @@ def clashes(rows: DataFrame) -> DataFrame:
     return shared.unionByName(real.withColumn("least", F.lit(None).cast("string"))).groupBy("kind", "surrogate").agg(F.when(F.count("*") == F.count("least"), F.min("least")).alias("least"))
 
 
+def _formats(rows: DataFrame, made: Surrogates) -> DataFrame:
+    """rows (kind, value, text, surrogate) with the shape and total of their format and a number that the key draws for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _Format(b"")
+        for batch in batches:
+            kinds, values, texts = (batch.column(c).to_pylist() for c in ("kind", "value", "text"))
+            shapes = [of.of_value(k, t) for k, t in zip(kinds, texts, strict=True)]
+            lots = [made._hash(f"lot|{k}|{v}".encode(), 8) >> 1 for k, v in zip(kinds, values, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in shapes], pa.string()), pa.array([n for _, n in shapes], pa.int64()), pa.array(lots, pa.int64())], names=[*batch.schema.names, "shape", "total", "lot"])
+
+    return rows.mapInArrow(run, "kind string, value string, text string, surrogate string, shape string, total long, lot long")
+
+
+def _places(formats: DataFrame) -> DataFrame:
+    """(kind, shape, place, surrogate) of all values of formats (kind, shape, total, text), in canonical form; text is one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = Placed()
+        for batch in batches:
+            for r in batch.to_pylist():
+                out = []
+                for made.place in range(r["first"], min(r["first"] + PLACES, r["total"])):
+                    with contextlib.suppress(ValueError):
+                        out.append((made.place, canonical(r["kind"], made._of(r["kind"], r["text"]))))
+                cols = [[r["kind"]] * len(out), [r["shape"]] * len(out), [p for p, _ in out], [x for _, x in out]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], names=["kind", "shape", "place", "surrogate"])
+
+    some = formats.select("kind", "shape", "total", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(PLACES).cast("long"))).alias("first"))
+    return some.repartition(parallelism(formats.sparkSession), "shape", "first").mapInArrow(run, "kind string, shape string, place long, surrogate string")
+
+
+def _numbered(rows: DataFrame, order: str) -> DataFrame:
+    """rows (kind, shape, ...) with their number `no` in their format. Parts number their own rows; what is ahead of a part comes from a table with a row for each."""
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("kind", "shape", order), F.lit(parallelism(rows.sparkSession, 64))))
+    ahead = F.sum("n").over(Window.partitionBy("kind", "shape").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = rows.groupBy("kind", "shape", "part").agg(F.count("*").alias("n")).select("kind", "shape", "part", F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    own = F.row_number().over(Window.partitionBy("kind", "shape", "part").orderBy(order))
+    return rows.withColumn("own", own).join(sizes, ["kind", "shape", "part"]).withColumn("no", F.col("ahead") + F.col("own")).drop("part", "own", "ahead")
+
+
+def _dealt(left: DataFrame, taken: DataFrame, dense: DataFrame) -> DataFrame:
+    """(kind, value, draw, surrogate) of what is left in dense formats: free places, one each, until there are no more."""
+    places = _places(dense).join(taken, ["kind", "surrogate"], "left_anti")
+    free = table(places.groupBy("kind", "surrogate").agg(F.min(F.struct("shape", "place")).alias("x")).select("kind", "surrogate", "x.shape", "x.place"), "free")
+    wanted = _numbered(left.select("kind", "shape", "value", F.struct("lot", "value").alias("lot")), "lot")
+    return wanted.join(_numbered(free, "place"), ["kind", "shape", "no"]).select("kind", "value", (-1 - F.col("place")).alias("draw"), "surrogate")
+
+
 def redrawn(rows: DataFrame, bad: DataFrame, made: Surrogates) -> DataFrame:
-    """(kind, value, draw) of the values other than names whose surrogate is bad (see clashes), as far as their format has places.
+    """(kind, value, draw) of the values other than names whose surrogate is bad (see clashes), as long as their format has places.
 
-    Every round offers each value that is left surrogates of further cycles. Those that no value has, as its own or
-    as its surrogate, are free; a value asks for its first free one, and the least value that asks gets it.
+    Of dense formats all places are listed, and those that no value has, as its own or as its surrogate, are dealt out.
+    In all others most places are free. Every round offers each value that is left surrogates of further cycles; a value
+    asks for its first free one, and the least value that asks gets it. Rounds end when no value is left.
     """
 
     def offered(first: int, count: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -446,22 +541,25 @@ def redrawn(rows: DataFrame, bad: DataFrame, made: Surrogates) -> DataFrame:
                 for at in range(0, len(batch), 64):
                     some = batch.slice(at, 64).to_pylist()
                     new = [(r["kind"], r["value"], d, canonical(r["kind"], made.at(d).of(r["kind"], r["text"]))) for d in range(first, first + count) for r in some]
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in new], pa.schema(list(zip(names, (pa.string(), pa.string(), pa.int32(), pa.string()), strict=True))))
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in new], pa.schema(list(zip(names, (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True))))
 
         names = ("kind", "value", "draw", "surrogate")
         return run
 
-    rows = rows.where("kind <> 'name'")
-    shape = F.when(F.col("kind") == "ip", F.substring_index("value", ".", 1)).otherwise(F.regexp_replace(F.regexp_replace("value", r"\d", "0"), r"\p{L}", "a"))
-    formats = table(rows.groupBy("kind", shape.alias("shape")).agg(F.count("*").alias("held")), "formats")
-    left = rows.join(bad, ["kind", "surrogate"]).where("least is null or value <> least").select("kind", "value", "text", shape.alias("shape"))
-    left = table(left, "left")
+    rows = table(_formats(rows.where("kind <> 'name'"), made), "formats")
+    left = table(rows.join(bad, ["kind", "surrogate"]).where("least is null or value <> least").select("kind", "value", "text", "shape", "lot"), "left")
     taken = rows.select("kind", "surrogate").unionByName(rows.select("kind", F.col("value").alias("surrogate")))
+    dense = rows.groupBy("kind", "shape", "total").agg(F.count("*").alias("held"), F.min("text").alias("text")).where(F.col("total") / DENSE <= F.col("held"))
+    dense = table(dense.join(left.select("kind", "shape").distinct(), ["kind", "shape"], "left_semi"), "dense")
     got, first = [], 1
-    for count in OFFERS:
-        room = left.groupBy("kind", "shape").agg(F.count("*").alias("n")).join(formats, ["kind", "shape"])
-        left = left.join(room.where(F.col("n") * count <= F.greatest(F.lit(FEW_OFFERS), F.col("held") * OFFERS_EACH)).select("kind", "shape"), ["kind", "shape"], "left_semi")
-        offers = table(left.select("kind", "value", "text").mapInArrow(offered(first, count), "kind string, value string, draw int, surrogate string"), "offers")
+    if not dense.isEmpty():
+        got.append(table(_dealt(left.join(dense, ["kind", "shape"], "left_semi"), taken, dense), "dealt"))
+        taken = taken.unionByName(got[-1].select("kind", "surrogate"))
+        left = table(left.join(dense, ["kind", "shape"], "left_anti"), "left")
+    for count in chain(OFFERS, repeat(OFFERS[-1])):
+        if left.isEmpty():
+            break
+        offers = table(left.select("kind", "value", "text").mapInArrow(offered(first, count), "kind string, value string, draw long, surrogate string"), "offers")
         free = offers.join(taken.join(offers.select("kind", "surrogate"), ["kind", "surrogate"], "left_semi"), ["kind", "surrogate"], "left_anti")
         asked = free.groupBy("kind", "value").agg(F.min(F.struct("draw", "surrogate")).alias("x")).select("kind", "value", "x.draw", "x.surrogate")
         won = asked.groupBy("kind", "surrogate").agg(F.min(F.struct("value", "draw")).alias("x")).select("kind", "x.value", "x.draw", "surrogate")
@@ -469,8 +567,6 @@ def redrawn(rows: DataFrame, bad: DataFrame, made: Surrogates) -> DataFrame:
         taken = taken.unionByName(got[-1].select("kind", "surrogate"))
         left = table(left.join(got[-1].select("kind", "value"), ["kind", "value"], "left_anti"), "left")
         first += count
-        if left.isEmpty():
-            break
     out = got[0]
     for more in got[1:]:
         out = out.unionByName(more)

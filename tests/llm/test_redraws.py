@@ -51,6 +51,35 @@ def test_a_full_format_stays_apart(spark):
     assert sorted(new) == sorted(own) and all(a != b for a, b in zip(own, new, strict=True)) and "a@b.co" not in out[-1]
 
 
+@pytest.mark.parametrize("carried", [pii.MOST_CARRIED, 0])
+def test_every_free_place_of_a_format_is_dealt_out(spark, carried):
+    """Half of all values of two formats get exactly the other halves; of three quarters, a third gets the last quarter."""
+    half = [f"192.168.{a}.{b}" for a in range(256) for b in range(0, 256, 2)] + [f"{a}@{b}.co" for a in "acegikmoqsuwy" for b in "abcdefghijklmnopqrstuvwxyz"]
+    most = [f"192.168.{a}.{b}" for a in range(256) for b in range(256) if b % 4]
+    for own, free in ((half, len(half)), (most, 1 << 14)):
+        frame = corpus(spark, [" ; ".join(own[i : i + 512]) for i in range(0, len(own), 512)])
+        new = [x for r in pii.replace_private(frame, KEY, most_carried=carried).orderBy("doc_id").collect() for x in r["text"].split(" ; ")]
+        assert len(new) == len(own) == len(set(new)) and len(set(new) - set(own)) == free
+        assert all(a != b and [x for x in a if x in "@."] == [x for x in b if x in "@."] for a, b in zip(own, new, strict=True))
+
+
+@pytest.mark.parametrize(
+    ("kind", "text", "total"),
+    [("phone", "+49 30 1234567", 10**9), ("phone", "(012) 345-6789", 10**9), ("ssn", "123-45-6789", 10**9), ("ip", "192.168.1.2", 1 << 16), ("ip", "8.8.8.8", 1 << 32), ("email", "Ab@x.example.com", 26**3), ("email", "ab1@mail.co", 26**6 * 10), ("card", "4111 1111 1111 1111", 10**14), ("card", "4111 1111 1111 1112", 10**15)],
+)
+def test_places_are_the_values_of_a_format(kind, text, total):
+    shape = pii._Format(b"").of_value(kind, text)
+    assert shape[1] == total and pii._Format(b"").of_value(kind, pii.Surrogates(KEY).of(kind, text)) == shape
+    some, seen = pii.Placed(), {}
+    for some.place in range(0, total, max(1, total // 300)):
+        try:
+            seen[some.place] = some._of(kind, text)
+        except ValueError:  # the number is no valid value
+            continue
+    assert len(set(seen.values())) == len(seen) > 30
+    assert all(pii._Format(b"").of_value(kind, x) == shape and pii.Surrogates(KEY).at(-1 - p).of(kind, text) == x for p, x in seen.items())
+
+
 def test_clashes_by_brute_force(spark):
     rows = [("ip", "a", "a", "x"), ("ip", "b", "b", "x"), ("ip", "c", "c", "a"), ("phone", "d", "d", "a"), ("ip", "e", "e", "b"), ("ip", "f", "f", "b"), ("ip", "g", "g", "y")]
     frame = spark.createDataFrame(rows, "kind string, value string, text string, surrogate string")
