@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+from functools import reduce
+from operator import or_
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,16 +91,18 @@ def records(lines: DataFrame) -> DataFrame:
 
     kind is null where a line is no JSON object or has no record type. Fields of other types than theirs are null.
     """
-    record = F.try_parse_json("value")
-    of = lambda name: F.try_variant_get("r", f"$.{name}", "variant")
-    type_of = lambda name: F.schema_of_variant(of(name))
-    text = lambda name: F.when(type_of(name) == "STRING", F.try_variant_get("r", f"$.{name}", "string"))
-    whole = lambda name: F.when(type_of(name) == "BIGINT", F.try_variant_get("r", f"$.{name}", "bigint"))
-    rows = lines.withColumn("r", record).withColumn("object", F.coalesce(F.schema_of_variant("r").startswith("OBJECT"), F.lit(False)))
+    names = ("record_type", "schema_version", "key", "value", *SESSION, *EVENT)
+    fields = F.try_variant_get("r", "$", f"struct<{','.join(f'{n} variant' for n in names)}>")  # all fields in one pass
+    rows = lines.withColumn("r", F.try_parse_json("value"))
+    rows = rows.select("log", "line_no", "value", F.coalesce(F.schema_of_variant("r").startswith("OBJECT"), F.lit(False)).alias("object"), fields.alias("f"))
+    rows = rows.select("*", F.struct(*[F.schema_of_variant(f"f.{n}").alias(n) for n in names]).alias("type"))
+    type_of = lambda name: F.col(f"type.{name}")
+    text = lambda name: F.when(type_of(name) == "STRING", F.try_variant_get(f"f.{name}", "$", "string"))
+    whole = lambda name: F.when(type_of(name) == "BIGINT", F.try_variant_get(f"f.{name}", "$", "bigint"))
+    cursors = [F.coalesce((type_of(c) == "VOID") | (text(c) != ""), F.lit(False)) for c in SESSION[1:]]
     rows = rows.select(
         "log", "line_no", "object", F.when(F.col("object"), text("record_type")).alias("kind"), F.when(F.col("object"), F.array_sort(F.json_object_keys("value"))).alias("keys"),
-        whole("schema_version").alias("schema_version"), text("key").alias("key"), text("value").alias("value"), whole("singleton").alias("singleton"),
-        F.forall(F.array(*[F.coalesce((type_of(c) == "VOID") | (text(c) != ""), F.lit(False)) for c in SESSION[1:]]), lambda good: good).alias("cursors"),
+        whole("schema_version").alias("schema_version"), text("key").alias("key"), text("value").alias("value"), whole("singleton").alias("singleton"), (cursors[0] & cursors[1] & cursors[2]).alias("cursors"),
         whole("id").alias("id"), text("action").alias("action"), text("passage_id").alias("passage_id"), text("rubric_id").alias("rubric_id"), text("classification").alias("classification"),
         (type_of("classification") == "VOID").alias("unclassified"), whole("supersedes_event_id").alias("supersedes_event_id"), type_of("supersedes_event_id").isin("VOID", "BIGINT").alias("prior_typed"),
         *[(text(f) != "").alias(f"good_{f}") for f in ("passage_id", "rubric_id", "question", "evidence", "semantic_answer", "created_at")],
@@ -108,25 +112,32 @@ def records(lines: DataFrame) -> DataFrame:
 
 def event_violations(lines: DataFrame, labels: tuple[str, ...]) -> DataFrame:
     """(check_id, line_no) of the rules that event lines (log, line_no, value) break, as rows; lines of other records are left out."""
-    return _event_violations(records(lines), labels).select("check_id", "line_no")
+    rows = records(lines)
+    found = _violations(rows.where(F.col("kind") == PHASES[2]), _event_rules(rows, labels))
+    return found.unionByName(_event_violations(rows)).select("check_id", "line_no")
 
 
 def _has(*fields: str) -> Column:
     return F.col("keys") == F.array(*[F.lit(k) for k in sorted((*fields, "record_type"))])
 
 
-def _event_violations(rows: DataFrame, labels: tuple[str, ...]) -> DataFrame:
-    rows = rows.where(F.col("kind") == PHASES[2])
-    old = rows.where("id is not null").select("log", "line_no", "id", "action", "passage_id", "supersedes_event_id")
-    rows = integrity.with_previous(rows, "log", "line_no", "id", "before")
-    rules = {
-        "event fields": _has(*EVENT), "event id": F.col("id") > 0, "event order": F.col("before").isNull() | F.col("id").isNull() | (F.col("id") > F.col("before")),
+def _event_rules(rows: DataFrame, labels: tuple[str, ...]) -> dict[str, Column]:
+    """The rules of events that each line keeps or breaks by itself."""
+    return {
+        "event fields": _has(*EVENT), "event id": F.col("id") > 0,
         "event action": F.col("action").isin("classify", "defer", "undo"), "event classification": F.when(F.col("action") == "classify", F.col("classification").isin(*labels)).otherwise(F.col("unclassified")),
         "superseded event": F.col("prior_typed") & ((F.col("action") != "undo") | F.col("supersedes_event_id").isNotNull()),
         **{f"event {c.removeprefix('good_')}": F.col(c) for c in rows.columns if c.startswith("good_")},
     }
-    plain = _violations(rows, rules)
-    return plain.unionByName(integrity.dangling(old, "log").select(F.lit("superseded event is none of this passage").alias("check_id"), "log", "line_no"))
+
+
+def _event_violations(rows: DataFrame) -> DataFrame:
+    """The rules of events that take other lines of the log, which are met by few of their columns."""
+    rows = rows.where(F.col("kind") == PHASES[2])
+    old = rows.where("id is not null").select("log", "line_no", "id", "action", "passage_id", "supersedes_event_id")
+    ids = integrity.with_previous(rows.select("log", "line_no", "id"), "log", "line_no", "id", "before")
+    order = _violations(ids, {"event order": F.col("before").isNull() | F.col("id").isNull() | (F.col("id") > F.col("before"))})
+    return order.unionByName(integrity.dangling(old, "log").select(F.lit("superseded event is none of this passage").alias("check_id"), "log", "line_no"))
 
 
 def _violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -141,31 +152,30 @@ def violations(lines: DataFrame, labels: tuple[str, ...]) -> DataFrame:
     event has the rubric that its log's metadata names. What a log lacks is told with its last line.
     """
     rows = records(lines)
-    phase = F.create_map(*[F.lit(x) for i, k in enumerate(PHASES) for x in (k, i)])[F.col("kind")]
+    phase = F.coalesce(*[F.when(F.col("kind") == k, i) for i, k in enumerate(PHASES)])
     rows = rows.withColumn("phase", phase)
     first = lambda condition: F.min(F.when(condition, F.col("line_no")))
     rubric = F.min_by(F.col("value"), F.when((F.col("phase") == 1) & (F.col("key") == "rubric_id"), F.col("line_no")))
     logs = rows.groupBy("log").agg(
         F.array(*[first(F.col("phase") == i) for i in range(4)]).alias("firsts"), F.min("line_no").alias("top"), F.max("line_no").alias("last"), rubric.alias("rubric"),
-        F.min_by("kind", "line_no").alias("top_kind"), *[F.coalesce(F.bool_or((F.col("phase") == 1) & (F.col("key") == k)), F.lit(False)).alias(f"has_{k}") for k in METADATA],
+        F.min_by("kind", "line_no").alias("top_kind"), *[first((F.col("phase") == 1) & (F.col("key") == k)).alias(f"first_{k}") for k in METADATA],
     )
     logs = scratch.table(logs, "logs")
-    lacks = {"header is missing": F.coalesce(F.col("top_kind") == PHASES[0], F.lit(False)), "metadata is missing": F.col("has_corpus_fingerprint") & F.col("has_rubric_id"), "session state is missing": F.col("firsts")[3].isNotNull()}
+    lacks = {"header is missing": F.coalesce(F.col("top_kind") == PHASES[0], F.lit(False)), "metadata is missing": F.col("first_corpus_fingerprint").isNotNull() & F.col("first_rubric_id").isNotNull(), "session state is missing": F.col("firsts")[3].isNotNull()}
     found = integrity.violations(logs, F.struct("log", F.col("last").alias("line_no")), lacks).select("check_id", "subject.log", "subject.line_no")
 
-    known = rows.join(logs.select(F.col("log").alias("log_"), "firsts", "rubric"), F.col("log").eqNullSafe(F.col("log_"))).drop("log_")
-    later = F.exists(F.sequence(F.lit(0), F.lit(3)), lambda k: (k > F.col("phase")) & F.coalesce(F.element_at("firsts", k + 1) < F.col("line_no"), F.lit(False)))
+    known = rows.join(F.broadcast(logs.select(F.col("log").alias("log_"), "firsts", "rubric", *[f"first_{k}" for k in METADATA])), F.col("log").eqNullSafe(F.col("log_"))).drop("log_")
+    of = lambda phase, rules: {name: F.when(F.col("phase") == phase, ok).otherwise(True) for name, ok in rules.items()}
+    later = reduce(or_, [(F.col("phase") < k) & F.coalesce(F.col("firsts")[k] < F.col("line_no"), F.lit(False)) for k in range(1, 4)])
     again = F.col("phase").isin(0, 3) & (F.element_at("firsts", F.col("phase") + 1) < F.col("line_no"))
-    found = found.unionByName(_violations(known, {"record": F.col("object"), "record type": ~F.col("object") | F.col("phase").isNotNull(), "record order": F.col("phase").isNull() | ~later, "record comes once": F.col("phase").isNull() | ~again}))
-    found = found.unionByName(_violations(known.where("phase = 0"), {"header version": _has("schema_version") & (F.col("schema_version") == 1)}))
-    found = found.unionByName(_violations(known.where("phase = 2"), {"event rubric": F.col("rubric_id") == F.col("rubric")}))
-    session = {"session fields": _has(*SESSION) & (F.col("singleton") == 1), "session cursor": F.col("cursors")}
-    found = found.unionByName(_violations(known.where("phase = 3"), session))
-    metadata = rows.where("phase = 1")
-    named = metadata.groupBy(F.col("log").alias("log_"), F.col("key").alias("key_")).agg(F.min("line_no").alias("first"))
-    metadata = metadata.join(named, F.col("log").eqNullSafe(F.col("log_")) & (F.col("key") == F.col("key_")), "left")
-    found = found.unionByName(_violations(metadata, {"metadata fields": _has("key", "value") & (F.col("key") != "") & (F.col("value") != ""), "metadata key": F.col("key").isin(*METADATA) & (F.col("first") == F.col("line_no"))}))
-    return found.unionByName(_event_violations(rows.drop("phase"), labels))
+    rules = {
+        "record": F.col("object"), "record type": ~F.col("object") | F.col("phase").isNotNull(), "record order": F.col("phase").isNull() | ~later, "record comes once": F.col("phase").isNull() | ~again,
+        **of(0, {"header version": _has("schema_version") & (F.col("schema_version") == 1)}),
+        **of(1, {"metadata fields": _has("key", "value") & (F.col("key") != "") & (F.col("value") != ""), "metadata key": reduce(or_, [(F.col("key") == k) & (F.col(f"first_{k}") == F.col("line_no")) for k in METADATA])}),
+        **of(2, {"event rubric": F.col("rubric_id") == F.col("rubric"), **_event_rules(rows, labels)}),
+        **of(3, {"session fields": _has(*SESSION) & (F.col("singleton") == 1), "session cursor": F.col("cursors")}),
+    }
+    return found.unionByName(_violations(known, rules)).unionByName(_event_violations(rows))
 
 
 def lines_of(metadata: dict[str, str], events: list[dict], session: dict) -> list[str]:
@@ -213,17 +223,17 @@ def line_rows(metadata: dict[str, str], events: DataFrame, session: dict) -> Dat
     return fixed.unionByName(events.select(F.lit(2).alias("phase"), F.col("id").cast("long").alias("id"), line.alias("value")))
 
 
-def write_parts(metadata: dict[str, str], events: DataFrame, session: dict, path: str, labels: tuple[str, ...]) -> None:
-    """Write a snapshot of any length as parts, in a new folder, that one after another are the file of export(); then check it.
+def write_parts(metadata: dict[str, str], events: DataFrame, session: dict, path: str, labels: tuple[str, ...]) -> tuple[dict[str, str], DataFrame, dict]:
+    """Write a snapshot of any length as parts, in a new folder, that one after another are the file of export(); then read it back.
 
-    Lines are dealt by ranges of their order, so each part is a task's. A snapshot that breaks a rule is removed, and
-    SnapshotError raised.
+    Lines are dealt by ranges of their order, so each part is a task's. What read_parts makes of them, every line checked, is
+    returned. A snapshot that breaks a rule is removed, and SnapshotError raised.
     """
     spark = events.sparkSession
     rows = line_rows(metadata, events, session).repartitionByRange("phase", "id").sortWithinPartitions("phase", "id")
     rows.select("value").write.text(path)
     try:
-        read_parts(spark, path, labels)
+        return read_parts(spark, path, labels)
     except SnapshotError:
         scratch.remove(spark, path)
         raise
@@ -240,7 +250,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     sizes = rows.groupBy(F.col("file").alias("file_"), F.col("block").alias("block_")).agg(F.count("*").alias("n"), F.min("at").alias("first"))
     ahead = F.coalesce(F.sum("n").over(Window.orderBy("file_", "block_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("file_", "block_", "first", ahead.alias("ahead"))
-    rows = rows.join(sizes, (F.col("file") == F.col("file_")) & (F.col("block") == F.col("block_")))
+    rows = rows.join(F.broadcast(sizes), (F.col("file") == F.col("file_")) & (F.col("block") == F.col("block_")))
     return rows.select(F.lit(path).alias("log"), (F.col("ahead") + F.col("at") - F.col("first") + 1).alias("line_no"), "value")
 
 

@@ -77,3 +77,36 @@ def test_parts_are_the_file_and_come_back(spark, tmp_path):
     with pytest.raises(snapshot.SnapshotError, match="line 4: event rubric"):
         snapshot.write_parts({**metadata, "rubric_id": "z"}, rows, session, str(tmp_path / "bad"), LABELS)
     assert not (tmp_path / "bad").exists()
+
+
+def test_odd_fields_and_reader_agree(spark):
+    """Fields that are objects, arrays, numbers with a point, of other case, or dotted, where others are meant."""
+    changes = [{"id": {"id": 1}}, {"id": 1.0}, {"id": 1e3}, {"id": True}, {"question": ["q"]}, {"passage_id": {"a": "p"}}, {"classification": {}}, {"supersedes_event_id": 1.5}, {"supersedes_event_id": "1"}, {"action": None}, {"created_at": 7}]
+    odd = {f"event {c}": [HEADER, MARK, RUBRIC, event(1) | c, END] for c in changes}
+    odd |= {"case": [HEADER, MARK, RUBRIC, {("ID" if k == "id" else k): v for k, v in event(1).items()}, END], "dotted": [HEADER, MARK, RUBRIC, {("x.id" if k == "id" else k): v for k, v in event(1).items()}, END]}
+    odd |= {"type object": [HEADER, MARK, RUBRIC, event(1), {**END, "record_type": {"record_type": "session_state"}}], "key object": [HEADER, {**MARK, "key": {"key": "corpus_fingerprint"}}, RUBRIC, END]}
+    rows = spark.createDataFrame([(name, i, json.dumps(r)) for name, records in (odd | WHOLE).items() for i, r in enumerate(records, 1)], "log string, line_no long, value string")
+    assert {r["log"] for r in snapshot.violations(rows, LABELS).collect()} == set(odd)
+    for name, records in odd.items():
+        with pytest.raises(snapshot.SnapshotError):
+            snapshot.validated([json.dumps(r) for r in records], LABELS)
+
+
+def test_writing_gives_what_was_read_back_and_lines_stay_in_place(spark, tmp_path):
+    rows = spark.createDataFrame([tuple(event(i)[f] for f in snapshot.EVENT) for i in range(1, 50)], snapshot.EVENTS_SCHEMA)
+    metadata, session = {"rubric_id": "r", "corpus_fingerprint": "f"}, {k: v for k, v in END.items() if k != "record_type"}
+    got = snapshot.write_parts(metadata, rows, session, str(tmp_path / "parts"), LABELS)  # so nobody has to read and check it twice
+    assert got[0] == metadata and got[2] == session and sorted(map(tuple, got[1].collect())) == sorted(map(tuple, rows.collect()))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:  # numbers are carried to the lines, not lines to a task for each split
+        plan = snapshot.numbered_lines(spark, str(tmp_path / "parts"))._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_rules_take_few_passes_over_the_records(spark):
+    lines = spark.createDataFrame([("a", i, json.dumps(r)) for i, r in enumerate(WHOLE["plain"], 1)], "log string, line_no long, value string")
+    plan = snapshot.violations(lines, LABELS)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 7 and snapshot.violations(lines, LABELS).isEmpty()
