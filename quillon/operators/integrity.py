@@ -60,13 +60,11 @@ def with_previous(rows: DataFrame, group: str, order: str, value: str, out: str,
 
     A long group is cut at every `width` numbers, so no task has all of it; what ends a part is carried to the next one.
     """
-    rows = rows.withColumn("part_", F.floor(F.col(order) / width))
-    ends = rows.groupBy(group, "part_").agg(F.max(F.struct(F.col(order).alias("o"), F.struct(F.col(value).alias("v")).alias("s"))).alias("end"))
-    ends = ends.select(F.col(group).alias("group_"), F.col("part_").alias("of_"), F.lag("end.s.v").over(Window.partitionBy(group).orderBy("part_")).alias("carried_"))
-    inside = Window.partitionBy(group, "part_").orderBy(order)
-    rows = rows.withColumns({"first_": F.row_number().over(inside) == 1, "own_": F.lag(value).over(inside)})
-    rows = rows.join(ends, rows[group].eqNullSafe(F.col("group_")) & (F.col("part_") == F.col("of_")))
-    return rows.withColumn(out, F.when(F.col("first_"), F.col("carried_")).otherwise(F.col("own_"))).drop("part_", "first_", "own_", "group_", "of_", "carried_")
+    rows = rows.where(F.col(order).isNotNull()).withColumn("part_", F.floor(F.col(order) / width))
+    ends = rows.groupBy(group, "part_").agg(F.max_by(value, order).alias("end"))
+    carried = ends.select(group, "part_", F.lag("end").over(Window.partitionBy(group).orderBy("part_")).alias(value), F.lit(False).alias("row_"))
+    rows = rows.withColumn("row_", F.lit(True)).unionByName(carried, allowMissingColumns=True)  # stands ahead of its part
+    return rows.withColumn(out, F.lag(value).over(Window.partitionBy(group, "part_").orderBy("row_", order))).where("row_").drop("part_", "row_")
 
 
 def numbered(rows: DataFrame, group: str, order: str, part: Column, out: str) -> DataFrame:

@@ -169,7 +169,8 @@ def snapshot_rule_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, k = F.col("n"), F.col("k")
     body = F.concat(F.lit('{"record_type":"audit_event","action":"classify","passage_id":"p","question":"q","evidence":"e","semantic_answer":"s","created_at":"c","supersedes_event_id":null,"id":'), n + 1, F.lit(',"rubric_id":"'), F.when(n % 31 == 0, "r0").otherwise("r1"), F.lit('","classification":"'), F.when(n % 17 == 0, "x").otherwise("internal lore"), F.lit('"}'))
     body = F.when(n % 59 == 0, '["no object"]').when(n % 53 == 0, '{"record_type":"else"}').otherwise(body)
-    lines = events.select(k.alias("k"), (n + 10).alias("line_no"), body.alias("value"))
+    # Dealt out evenly while rows are narrow: the file's groups of rows may be fewer than cores, and lines cost much more than rows.
+    lines = events.repartition("n").select(k.alias("k"), (n + 10).alias("line_no"), body.alias("value"))
     header = '{"record_type":"curation_snapshot","schema_version":%d}'
     entry = '{"record_type":"metadata","key":"%s","value":"%s"}'
     session = '{"record_type":"session_state","singleton":%s,"current_passage_id":"p","current_undecided_passage_id":null,"current_deferred_passage_id":%s}'

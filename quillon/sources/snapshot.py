@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -86,28 +88,57 @@ def _event(record: dict, n: int, metadata: dict, events: list[dict], by_id: dict
     events.append(record)
 
 
+# What the rules ask of a record: these fields as texts, as whole numbers, or only whether they hold a text; and the fields of each kind.
+TEXTS = ("record_type", "key", "value", "action", "passage_id", "rubric_id", "classification")
+WHOLES = ("schema_version", "singleton", "id", "supersedes_event_id")
+FILLED = ("question", "evidence", "semantic_answer", "created_at")
+FIELDS = {kind: {"record_type", *own} for kind, own in zip(PHASES, (("schema_version",), ("key", "value"), EVENT, SESSION), strict=True)}
+
+
+def _taken_apart(line: str | None) -> tuple:
+    """Whether a line is an object, and has just the fields of its kind; its texts and whole numbers; what of the rest is as it should be."""
+    try:
+        record = json.loads(line or "")
+    except (ValueError, RecursionError):
+        record = None
+    if not isinstance(record, dict):
+        return (False, False, *[None] * (len(TEXTS) + len(WHOLES) + len(FILLED) + 3))
+    get = record.get
+    texts = [v if type(v := get(f)) is str else None for f in TEXTS]
+    wholes = [v if type(v := get(f)) is int and -(1 << 63) <= v < 1 << 63 else None for f in WHOLES]
+    filled = [type(v := get(f)) is str and v != "" for f in FILLED]
+    cursors = texts[0] == PHASES[3] and all((v := get(f, 0)) is None or (type(v) is str and v != "") for f in SESSION[1:])
+    prior_typed = wholes[-1] is not None or get(WHOLES[-1], 0) is None
+    return (True, record.keys() == FIELDS.get(texts[0]), *texts, *wholes, *filled, cursors, get("classification", 0) is None, prior_typed)
+
+
 def records(lines: DataFrame) -> DataFrame:
-    """Lines (log, line_no, value) of snapshots taken apart once: kind, keys, and each field with whether it has its type.
+    """Lines (log, line_no, value) of snapshots taken apart once, as the reader does: kind, and each field with whether it has its type.
 
-    kind is null where a line is no JSON object or has no record type. Fields of other types than theirs are null.
+    kind is null where a line is no JSON object or has no record type; exact tells whether a record has the fields of its kind
+    and no others. Fields of other types than theirs are null.
     """
-    names = ("record_type", "schema_version", "key", "value", *SESSION, *EVENT)
-    fields = F.try_variant_get("r", "$", f"struct<{','.join(f'{n} variant' for n in names)}>")  # all fields in one pass
-    rows = lines.withColumn("r", F.try_parse_json("value"))
-    rows = rows.select("log", "line_no", "value", F.coalesce(F.schema_of_variant("r").startswith("OBJECT"), F.lit(False)).alias("object"), fields.alias("f"))
-    rows = rows.select("*", F.struct(*[F.schema_of_variant(f"f.{n}").alias(n) for n in names]).alias("type"))
-    type_of = lambda name: F.col(f"type.{name}")
-    text = lambda name: F.when(type_of(name) == "STRING", F.try_variant_get(f"f.{name}", "$", "string"))
-    whole = lambda name: F.when(type_of(name) == "BIGINT", F.try_variant_get(f"f.{name}", "$", "bigint"))
-    cursors = [F.coalesce((type_of(c) == "VOID") | (text(c) != ""), F.lit(False)) for c in SESSION[1:]]
-    rows = rows.select(
-        "log", "line_no", "object", F.when(F.col("object"), text("record_type")).alias("kind"), F.when(F.col("object"), F.array_sort(F.json_object_keys("value"))).alias("keys"),
-        whole("schema_version").alias("schema_version"), text("key").alias("key"), text("value").alias("value"), whole("singleton").alias("singleton"), (cursors[0] & cursors[1] & cursors[2]).alias("cursors"),
-        whole("id").alias("id"), text("action").alias("action"), text("passage_id").alias("passage_id"), text("rubric_id").alias("rubric_id"), text("classification").alias("classification"),
-        (type_of("classification") == "VOID").alias("unclassified"), whole("supersedes_event_id").alias("supersedes_event_id"), type_of("supersedes_event_id").isin("VOID", "BIGINT").alias("prior_typed"),
-        *[(text(f) != "").alias(f"good_{f}") for f in ("passage_id", "rubric_id", "question", "evidence", "semantic_answer", "created_at")],
-    )
-    return scratch.table(rows, "snapshot_records")
+    flags = [*[f"good_{f}" for f in FILLED], "cursors", "unclassified", "prior_typed"]
+    names = ["object", "exact", *TEXTS, *WHOLES, *flags]
+    types = [pa.bool_()] * 2 + [pa.string()] * len(TEXTS) + [pa.int64()] * len(WHOLES) + [pa.bool_()] * len(flags)
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                columns = zip(*map(_taken_apart, batch.column("value").to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column("log"), batch.column("line_no"), *map(_array, columns, types)], names=["log", "line_no", *names])
+
+    rows = lines.select("log", "line_no", "value")
+    kinds = {pa.bool_(): "boolean", pa.string(): "string", pa.int64(): "long"}
+    schema = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:2]] + [f"{n} {kinds[t]}" for n, t in zip(names, types, strict=True)]
+    return scratch.table(rows.mapInArrow(apart, ", ".join(schema)).withColumnRenamed("record_type", "kind"), "snapshot_records")
+
+
+def _array(values: tuple, kind: pa.DataType) -> pa.Array:
+    try:
+        return pa.array(values, kind)
+    except UnicodeEncodeError:  # halves of surrogate pairs, which no column can hold
+        return pa.array([v and v.encode("utf-8", "replace").decode() for v in values], kind)
 
 
 def event_violations(lines: DataFrame, labels: tuple[str, ...]) -> DataFrame:
@@ -117,16 +148,13 @@ def event_violations(lines: DataFrame, labels: tuple[str, ...]) -> DataFrame:
     return found.unionByName(_event_violations(rows)).select("check_id", "line_no")
 
 
-def _has(*fields: str) -> Column:
-    return F.col("keys") == F.array(*[F.lit(k) for k in sorted((*fields, "record_type"))])
-
-
 def _event_rules(rows: DataFrame, labels: tuple[str, ...]) -> dict[str, Column]:
     """The rules of events that each line keeps or breaks by itself."""
     return {
-        "event fields": _has(*EVENT), "event id": F.col("id") > 0,
+        "event fields": F.col("exact"), "event id": F.col("id") > 0,
         "event action": F.col("action").isin("classify", "defer", "undo"), "event classification": F.when(F.col("action") == "classify", F.col("classification").isin(*labels)).otherwise(F.col("unclassified")),
         "superseded event": F.col("prior_typed") & ((F.col("action") != "undo") | F.col("supersedes_event_id").isNotNull()),
+        "event passage_id": F.col("passage_id") != "", "event rubric_id": F.col("rubric_id") != "",
         **{f"event {c.removeprefix('good_')}": F.col(c) for c in rows.columns if c.startswith("good_")},
     }
 
@@ -155,13 +183,14 @@ def violations(lines: DataFrame, labels: tuple[str, ...]) -> DataFrame:
     phase = F.coalesce(*[F.when(F.col("kind") == k, i) for i, k in enumerate(PHASES)])
     rows = rows.withColumn("phase", phase)
     first = lambda condition: F.min(F.when(condition, F.col("line_no")))
-    rubric = F.min_by(F.col("value"), F.when((F.col("phase") == 1) & (F.col("key") == "rubric_id"), F.col("line_no")))
+    # Lines of the log come as numbers only, which are kept without sorting the records by log; the rubric is looked up among its few lines.
     logs = rows.groupBy("log").agg(
-        F.array(*[first(F.col("phase") == i) for i in range(4)]).alias("firsts"), F.min("line_no").alias("top"), F.max("line_no").alias("last"), rubric.alias("rubric"),
-        F.min_by("kind", "line_no").alias("top_kind"), *[first((F.col("phase") == 1) & (F.col("key") == k)).alias(f"first_{k}") for k in METADATA],
+        F.array(*[first(F.col("phase") == i) for i in range(4)]).alias("firsts"), F.min("line_no").alias("top"), F.max("line_no").alias("last"),
+        *[first((F.col("phase") == 1) & (F.col("key") == k)).alias(f"first_{k}") for k in METADATA],
     )
-    logs = scratch.table(logs, "logs")
-    lacks = {"header is missing": F.coalesce(F.col("top_kind") == PHASES[0], F.lit(False)), "metadata is missing": F.col("first_corpus_fingerprint").isNotNull() & F.col("first_rubric_id").isNotNull(), "session state is missing": F.col("firsts")[3].isNotNull()}
+    rubrics = rows.where((F.col("kind") == PHASES[1]) & (F.col("key") == "rubric_id")).groupBy(F.col("log").alias("log_")).agg(F.min_by("value", "line_no").alias("rubric"))
+    logs = scratch.table(logs.join(rubrics, F.col("log").eqNullSafe(F.col("log_")), "left").drop("log_"), "logs")
+    lacks = {"header is missing": F.col("firsts")[0] == F.col("top"), "metadata is missing": F.col("first_corpus_fingerprint").isNotNull() & F.col("first_rubric_id").isNotNull(), "session state is missing": F.col("firsts")[3].isNotNull()}
     found = integrity.violations(logs, F.struct("log", F.col("last").alias("line_no")), lacks).select("check_id", "subject.log", "subject.line_no")
 
     known = rows.join(F.broadcast(logs.select(F.col("log").alias("log_"), "firsts", "rubric", *[f"first_{k}" for k in METADATA])), F.col("log").eqNullSafe(F.col("log_"))).drop("log_")
@@ -170,10 +199,10 @@ def violations(lines: DataFrame, labels: tuple[str, ...]) -> DataFrame:
     again = F.col("phase").isin(0, 3) & (F.element_at("firsts", F.col("phase") + 1) < F.col("line_no"))
     rules = {
         "record": F.col("object"), "record type": ~F.col("object") | F.col("phase").isNotNull(), "record order": F.col("phase").isNull() | ~later, "record comes once": F.col("phase").isNull() | ~again,
-        **of(0, {"header version": _has("schema_version") & (F.col("schema_version") == 1)}),
-        **of(1, {"metadata fields": _has("key", "value") & (F.col("key") != "") & (F.col("value") != ""), "metadata key": reduce(or_, [(F.col("key") == k) & (F.col(f"first_{k}") == F.col("line_no")) for k in METADATA])}),
+        **of(0, {"header version": F.col("exact") & (F.col("schema_version") == 1)}),
+        **of(1, {"metadata fields": F.col("exact") & (F.col("key") != "") & (F.col("value") != ""), "metadata key": reduce(or_, [(F.col("key") == k) & (F.col(f"first_{k}") == F.col("line_no")) for k in METADATA])}),
         **of(2, {"event rubric": F.col("rubric_id") == F.col("rubric"), **_event_rules(rows, labels)}),
-        **of(3, {"session fields": _has(*SESSION) & (F.col("singleton") == 1), "session cursor": F.col("cursors")}),
+        **of(3, {"session fields": F.col("exact") & (F.col("singleton") == 1), "session cursor": F.col("cursors")}),
     }
     return found.unionByName(_violations(known, rules)).unionByName(_event_violations(rows))
 

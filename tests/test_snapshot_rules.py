@@ -6,6 +6,7 @@ import json
 
 import pytest
 
+from quillon.operators import integrity
 from quillon.sources import snapshot
 
 LABELS = ("lore", "analysis")
@@ -110,3 +111,26 @@ def test_rules_take_few_passes_over_the_records(spark):
     lines = spark.createDataFrame([("a", i, json.dumps(r)) for i, r in enumerate(WHOLE["plain"], 1)], "log string, line_no long, value string")
     plan = snapshot.violations(lines, LABELS)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") <= 7 and snapshot.violations(lines, LABELS).isEmpty()
+
+
+def test_lines_are_taken_apart_as_the_reader_does(spark):
+    """What ends behind a record, fields that come twice, halves of characters, numbers beyond a long, and lines that are nothing."""
+    good, last = [json.dumps(r) for r in (HEADER, MARK, RUBRIC)], json.dumps(END)
+    plain = json.dumps(event(1))
+    odd = {"rest behind": plain + " x", "twice": plain[:-1] + ', "evidence": ""}', "twice and right": '{"evidence": "", ' + plain[1:], "half": plain.replace('"q"', '"\\ud800"'), "half passage": plain.replace('"p"', '"\\udc00"'), "nan": plain.replace('"q"', "NaN"), "blank": "", "null": "null"}
+    rows = [(name, i, text) for name, text in odd.items() for i, text in enumerate([*good, text, last], 1)]
+    rows += [("none", i, text) for i, text in enumerate([*good, None, last], 1)] + [("deep", i, text) for i, text in enumerate([*good, "[" * 200000, last], 1)]
+    found = {r["log"] for r in snapshot.violations(spark.createDataFrame(rows, "log string, line_no long, value string"), LABELS).collect()}
+    for name, text in odd.items():
+        try:
+            snapshot.validated([*good, text, last], LABELS)
+            assert name not in found, name
+        except snapshot.SnapshotError:
+            assert name in found, name
+    assert {"none", "deep", "rest behind", "twice"} <= found and not {"twice and right", "half", "half passage"} & found
+
+
+def test_order_is_told_without_a_join(spark):
+    rows = spark.createDataFrame([("g", i, i) for i in range(5)], "g string, o long, v long")
+    plan = integrity.with_previous(rows, "g", "o", "v", "before", 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "SortAggregate" not in plan  # rows are dealt once, to the windows
